@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces
 SEQ_LEN = 2048
 BATCH_SEQS = 256
 END_ID = 1
-_MEMO_WORDS = 600_000
+_MEMO_WORDS, _MEMO_KEPT = 800_000, 400_000
 # Anything but ASCII and the composed letters of Latin-1 and Latin Extended-A (dotted capital I aside).
 _UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _ENCODERS: dict[str, "LibraryEncoder"] = {}
@@ -41,19 +42,22 @@ class ChunkMemo(dict):
     """Remembers the ids of stretches between white space, which no piece of the tokenizer crosses.
 
     The dict maps a stretch to its place in ``starts`` and ``sizes``; a new one gets the next place and
-    waits in ``new`` until ``settle``. ``forget`` empties all, so memory stays bounded.
+    waits in ``new`` until ``settle``. Memory stays bounded: ``trim`` keeps the stretches that came first, among which the frequent ones are.
     """
 
     def __init__(self, dtype):
         self.dtype = dtype
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.new: list[str] = []
         self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def trim(self, most: int = _MEMO_WORDS, kept: int = _MEMO_KEPT) -> None:
+        if len(self) > most:
+            first = list(islice(self.items(), kept))
+            self.clear()
+            self.update(first)
+            self.used = int(self.starts[kept - 1] + self.sizes[kept - 1])
+
     def __missing__(self, chunk: str) -> int:
         at = self[chunk] = len(self)
         self.new.append(chunk)
@@ -92,25 +96,24 @@ class LibraryEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.tokenize = self.lib.model.tokenize
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
         self.memo = ChunkMemo(self.dtype)
 
     def spell(self, piece: str) -> str:
-        return piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
 
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or _UNUSUAL.search(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
         memo = self.memo
-        if len(memo) > _MEMO_WORDS:
-            memo.forget()
+        memo.trim()
         places = memo.places(text)
         if memo.new:
             ids, sizes = [], []
             for chunk in memo.new:
                 was = len(ids)
-                for piece in pieces(chunk):
+                for piece in [chunk.lower()] if chunk.isalpha() else pieces(chunk):
                     ids += [t.id for t in self.tokenize(self.spell(piece))]
                 sizes.append(len(ids) - was)
             memo.settle(np.array(ids, self.dtype), np.array(sizes, np.int64))

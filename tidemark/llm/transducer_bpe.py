@@ -10,7 +10,7 @@ which way a word takes; both ways give the same ids.
 
 Defined cases: null text is empty, empty text has no ids; special-token strings in a text
 become their ids, as the library has it; repeated rows each get a row; an empty table gives an
-empty automaton and no rows; further columns are ignored. Memory is bounded: a memo of pieces is emptied at a fixed size.
+empty automaton and no rows; further columns are ignored. Memory is bounded: the memo of stretches is trimmed at a fixed size.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces, split_specia
 
 LEXICON_WORDS = 100_000
 SUMMARY_WORDS = 60_000
-_MEMO_WORDS = 600_000
 _CODERS: dict[tuple[str, str], "Coder"] = {}
 _NONE = np.iinfo(np.int32).max
 
@@ -299,8 +298,7 @@ class Coder:
         self.memo.settle(gather(flat, starts[of], size[of]), sizes)
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo.forget()
+        self.memo.trim()
         split = [[self.memo.places(p) if not k % 2 else p for k, p in enumerate(split_specials(t))] for t in texts]
         if self.memo.new:
             self.learn()
