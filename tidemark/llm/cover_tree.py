@@ -71,7 +71,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points:
     q, p = CoverTree(queries, QUERY_LEAF), CoverTree(points, LEAF_ROWS)
     qi, pi = query_ids[q.order], ids[p.order]
     qx, px = q.points.astype(exact), p.points.astype(exact)
-    worst = -np.inf if exact is np.float64 else np.iinfo(np.int64).min
+    worst = -np.inf if exact is np.float64 else -np.iinfo(np.int64).max  # its negative exists
     best = np.full((len(qi), k), worst, exact)
     best_id = np.full((len(qi), k), np.iinfo(np.int64).max)
     norms = [np.sqrt(np.sum(np.square([n[3] for n in t.nodes]), axis=1)) for t in (q, p)]

@@ -82,9 +82,9 @@ def _fold(items: Column, done_type: str) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first, _meet)
 
 
-def sized(docs: DataFrame, also: list[str] = ()) -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, nth``; ``nth`` numbers rows that share a ``doc_id``, by source and size."""
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), *also)
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"))
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
 
 
@@ -131,7 +131,8 @@ def mix(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Documents without words go."""
     taken = mix(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "copies")
-    numbered = docs.withColumn("_size", word_count("text")).withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size")))
+    order = Window.partitionBy("doc_id").orderBy("source", "size")
+    numbered = docs.select(F.struct("*").alias("d"), "doc_id", "source", word_count("text").alias("size")).withColumn("nth", F.row_number().over(order))
     # The number is compared by difference: the rows then stay where the window has put them, by doc_id.
-    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") - F.col("_nth") == 0))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") - F.col("_nth") == 0))
+    return both.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")

@@ -26,6 +26,7 @@ MOD, HELD_OUT, THRESHOLD = 5, 0, 0.3
 STEPS, RIDGE = 150, 0.02
 _HINGES = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)
 _MARKS = b"#*$%&|<>{}[]\\~^_=@+"
+N_FEATURES = 18
 _BATCH_CHARS = 1 << 21
 
 
@@ -75,7 +76,7 @@ def batch_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         rows += r
         sizes += s
         counts.append(len(r))
-    return np.array(rows, np.float64).reshape(len(rows), -1), np.array(sizes, np.float64), np.array(counts, np.int64)
+    return np.array(rows, np.float64).reshape(-1, N_FEATURES), np.array(sizes, np.float64), np.array(counts, np.int64)
 
 
 class LineCrf:

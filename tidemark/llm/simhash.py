@@ -241,5 +241,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of rows with equal ``doc_id`` one stays, the first by text. All columns of ``docs`` stay.
     """
     kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
-    return first.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = docs.select(F.struct("*").alias("d"), "doc_id", "text").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return first.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select("d.*")
