@@ -12,7 +12,7 @@ columns stay out of the score, and ``keep_clean`` hands them on.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,8 @@ from tidemark.llm.training import adam, calibrate, labelled_sample, sigmoid
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.3
 VOCABULARY, LEAST_DOCS, STEPS, RIDGE = 2000, 4, 300, 3e-4
-_STEMS, _MEMO_WORDS = (4, 5, 6, 7, 8), 400_000
+SAMPLE = 2000  # documents of each class to learn from, at most
+_STEMS, _MEMO_WORDS, _SLOTS = (4, 5, 6, 7, 8), 200_000, 1 << 22
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,30 +56,50 @@ class WordWeights(dict):
         return total
 
 
+def choose_marks(texts: list[str], y: np.ndarray) -> list[str]:
+    """The ``VOCABULARY`` marks whose share of documents differs most between the classes, in units of its error.
+
+    Marks are first counted by hash in arrays of fixed size, and by name only where their hash stands out: rare
+    words are too many to keep.
+    """
+    size = np.array([(y == 0).sum(), (y == 1).sum()])
+
+    def apart(seen):
+        share = seen.sum(axis=0) / size.sum()
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / size).sum())
+        return np.where(seen.sum(axis=0) >= LEAST_DOCS, np.abs(seen[1] / size[1] - seen[0] / size[0]) / error, 0)
+
+    def marks(text):
+        return {m for w in set(_WORD.findall(text.lower())) for m in marks_of(w)}
+
+    slot = lambda m: zlib.crc32(m.encode()) & _SLOTS - 1
+    seen = np.zeros((2, _SLOTS), np.int32)
+    for t, label in zip(texts, y.astype(int)):
+        seen[label, list({slot(m) for m in marks(t)})] += 1
+    far = apart(seen)
+    first = set(np.argsort(-far, kind="stable")[: 3 * VOCABULARY].tolist())
+    by_name: dict[str, list[int]] = {}
+    for t, label in zip(texts, y.astype(int)):
+        for m in marks(t):
+            if slot(m) in first:
+                by_name.setdefault(m, [0, 0])[label] += 1
+    names = sorted(by_name)
+    far = apart(np.array([by_name[m] for m in names], np.int64).reshape(-1, 2).T)
+    return [names[i] for i in np.argsort(-far, kind="stable")[:VOCABULARY] if far[i] > 0]
+
+
 class NoisyOr:
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> "NoisyOr":
         self.weights, self.bias, self.slope, self.shift = {}, -12.0, 1.0, 0.0
         if not len(y) or y.min() == y.max():
             self.slope, self.shift = 0.0, -6.0 if not len(y) or y[0] == 0 else 6.0
             return self
-        bags = [[words_of(s) for s in sentences(t)] for t in texts]
-        seen = (Counter(), Counter())
-        for b, label in zip(bags, y):
-            seen[int(label)].update(set().union(*b))
-        n0, n1 = (y == 0).sum(), (y == 1).sum()
-        rank = {}
-        for w in seen[0].keys() | seen[1].keys():
-            a, b = seen[1][w], seen[0][w]
-            if a + b >= LEAST_DOCS:
-                share = (a + b) / (n0 + n1)
-                rank[w] = abs(a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
-        chosen = sorted(rank, key=lambda w: (-rank[w], w))[:VOCABULARY]
-        place = {w: i for i, w in enumerate(chosen)}
+        place = {m: i for i, m in enumerate(choose_marks(texts, y))}
         doc, sent, word, n_sent = [], [], [], 0
-        for d, b in enumerate(bags):
-            for s in b:
+        for d, t in enumerate(texts):
+            for s in sentences(t):
+                hits = [place[m] for m in words_of(s) if m in place]
                 doc.append(d)
-                hits = [place[w] for w in s if w in place]
                 word += hits
                 sent += [n_sent] * len(hits)
                 n_sent += 1
@@ -95,11 +116,11 @@ class NoisyOr:
             clean = np.exp(log_clean)
             push = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * weight  # of -log P by the sum of log(1 - p)
             gz = push[doc] * lone / len(y)
-            g = np.append(np.bincount(word, gz[sent], len(chosen)), gz.sum())
+            g = np.append(np.bincount(word, gz[sent], len(place)), gz.sum())
             g[:-1] += RIDGE * p[:-1]
             return g
 
-        start = np.zeros(len(chosen) + 1)
+        start = np.zeros(len(place) + 1)
         start[-1] = -4.0
         p = adam(gradient, start, STEPS, 0.1)
         self.weights = {w: float(p[i]) for w, i in place.items() if abs(p[i]) > 0.02}
@@ -130,7 +151,7 @@ class NoisyOr:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> NoisyOr:
-    return NoisyOr().fit(*labelled_sample(docs, labels, "toxic", MOD, HELD_OUT))
+    return NoisyOr().fit(*labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, SAMPLE))
 
 
 def toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
