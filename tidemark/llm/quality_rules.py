@@ -21,7 +21,7 @@ from tidemark.llm.shared import materialize
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 LEAST_DOCS, SPREAD = 100, 3
 # Slack beyond the fence in the measure's unit: thousandths of words, of lines, of words; hundredths of a character.
-SLACK = {"symbols": 100, "dup_lines": 300, "repeats": 250, "word_length": 150}
+SLACK = {"symbols": 100, "dup_lines": 500, "repeats": 250, "word_length": 150}
 TWO_SIDED = ("word_length",)
 _WS = r"[\\x20\\x09-\\x0D]"
 

@@ -147,7 +147,7 @@ with t as (
 ), fence as (
   select level, lang, source, measure, n, q3 + 3 * (q3 - q1) + slack as high,
          case when measure = 'word_length' then q1 - 3 * (q3 - q1) - slack else -1 end as low
-  from quart join (values ('symbols', 100), ('dup_lines', 300), ('repeats', 250), ('word_length', 150)) s(measure2, slack) on measure = measure2
+  from quart join (values ('symbols', 100), ('dup_lines', 500), ('repeats', 250), ('word_length', 150)) s(measure2, slack) on measure = measure2
   where level = 2 or n >= 100
 ), one as (
   select m.rid, f.measure, f.low, f.high, row_number() over (partition by m.rid, f.measure order by f.level) as k
