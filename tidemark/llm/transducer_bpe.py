@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import new_folder, open_fs
+from tidemark.llm.shared import materialize, new_folder, open_fs
 from tidemark.llm.token_files import ChunkMemo, gather
 from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces, split_specials
 
@@ -240,7 +240,16 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, summary: int = S
         return Counter({w: c - cut for w, c in seen.items() if c > cut})
 
     counted = docs.select("text").mapInArrow(count, "word string, n long")
-    top = counted.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    words = materialize(counted.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # A histogram over powers of two finds a count that few words reach, so the sort sees a bounded number of them.
+    steps = sorted(((r.k, r.m) for r in words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    least, seen = 1 << 62, 0
+    for k, m in steps:
+        seen += m
+        if seen > 4 * limit and least < 1 << 62:
+            break
+        least = 1 << k
+    top = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit)
     return [r.word for r in top.select("word").collect()]
 
 
