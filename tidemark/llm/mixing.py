@@ -133,6 +133,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     taken = mix(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "copies")
     order = Window.partitionBy("doc_id").orderBy("source", "size")
     numbered = docs.select(F.struct("*").alias("d"), "doc_id", "source", word_count("text").alias("size")).withColumn("nth", F.row_number().over(order))
-    # The number is compared by difference: the rows then stay where the window has put them, by doc_id.
-    both = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") - F.col("_nth") == 0))
+    # The rows stay where the window has put them, by doc_id: the number is compared by difference, and ids by plain equality,
+    # for a null-safe one would move all texts again.
+    same = F.col("nth") - F.col("_nth") == 0
+    named = numbered.join(taken, (F.col("doc_id") == F.col("_id")) & same)
+    nameless = numbered.where("doc_id is null").join(taken.where("_id is null"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_nth")))
+    both = named.select("d", "copies").unionByName(nameless.select("d", "copies"))
     return both.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")

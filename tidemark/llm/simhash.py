@@ -170,7 +170,8 @@ def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
     """``a, b`` links of distinct ``fp`` nodes whose closure is the closure of all pairs within ``radius``."""
     n = nodes.count()
     shards = min(MOST_SHARDS, -(-n // SHARD_NODES))
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_NODES if shards > 1 else 1).collect()], np.int64).view(np.uint64)
+    likely = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < min(1 << 30, (2 * SAMPLE_NODES << 30) // max(n, 1))  # spares the sort most rows
+    sample = np.array([r.fp for r in nodes.where(likely).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_NODES if shards > 1 else 1).collect()], np.int64).view(np.uint64)
     tree = shard_tree(sample, shards) if shards > 1 else 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,4 +244,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
     first = docs.select(F.struct("*").alias("d"), "doc_id", "text").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return first.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select("d.*")
+    # A plain equality finds the rows where the window has put them; a null-safe one would move all texts again.
+    named = first.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    nameless = first.where("doc_id is null").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return named.unionByName(nameless).select("d.*")
