@@ -32,7 +32,7 @@ from tidemark.llm.shared import materialize
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
-SHARD_NODES = 8192
+SHARD_NODES = 2048
 MOST_SHARDS = 4096
 SAMPLE_NODES = 16384
 LEAF_NODES = 512

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
 
 

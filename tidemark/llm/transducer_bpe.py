@@ -30,6 +30,7 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces, split_specia
 
 LEXICON_WORDS = 100_000
 SUMMARY_WORDS = 60_000
+_MEMO = (400_000, 200_000)
 _CODERS: dict[tuple[str, str], "Coder"] = {}
 _NONE = np.iinfo(np.int32).max
 
@@ -307,7 +308,7 @@ class Coder:
         self.memo.settle(gather(flat, starts[of], size[of]), sizes)
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        self.memo.trim()
+        self.memo.trim(*_MEMO)
         split = [[self.memo.places(p) if not k % 2 else p for k, p in enumerate(split_specials(t))] for t in texts]
         if self.memo.new:
             self.learn()
