@@ -27,8 +27,7 @@ def test_counts(docs, odd_docs):
 
 def test_rules_equal_sql(odd_docs, empty_docs):
     con = duckdb.connect()
-    documents = odd_docs.toArrow()  # noqa: F841
-    con.execute("create view documents as select * from documents_arrow") if False else con.register("documents", documents)
+    con.register("documents", odd_docs.toArrow())
     cur = con.execute(ORACLE_SQL["op8_adaptive_rules"])
     names = [d[0] for d in cur.description]
     got = sorted(repr(tuple(r)) for r in quality_rules.apply_rules(odd_docs).select(*names).collect())

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import arrow_schema
 from tidemark.llm.training import adam, calibrate, labelled_sample, remainder, sigmoid
 
 MOD, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -214,15 +213,12 @@ def score_documents(docs: DataFrame, model, mod: int = MOD, held_out: int = HELD
 
 def filter_documents(docs: DataFrame, model, keep) -> DataFrame:
     """The rows of ``docs`` whose score passes ``keep`` (scores to booleans), with all their columns."""
-    schema = arrow_schema(docs.schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = [np.zeros(0, bool)]
             mask += [keep(s) for _, s in scored(model, batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(mask)))
 
-    assert schema is not None
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +52,3 @@ def task_name(stem: str) -> str:
     """A name no other attempt of this or another task takes; readers follow the manifest of the attempt that succeeded."""
     c = TaskContext.get()
     return f"{stem}-{c.partitionId():06d}-{c.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-
-
-def arrow_schema(df_schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df_schema)

@@ -254,7 +254,7 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, summary: int = S
     return [r.word for r in top.select("word").collect()]
 
 
-def build_transducer(words: list[str], tokenizer: str, folder: str, fs_open=open_fs) -> str:
+def build_transducer(words: list[str], tokenizer: str, folder: str) -> str:
     """Compile words and their ids into one file below ``folder``; returns its URI."""
     raw = sorted({w.encode() for w in words})
     outputs = Merges(tokenizer).encode(raw)
@@ -262,7 +262,7 @@ def build_transducer(words: list[str], tokenizer: str, folder: str, fs_open=open
     arrays["out_start"] = np.cumsum([0, *map(len, outputs)])
     arrays["out_ids"] = np.concatenate([np.zeros(0, np.int64), *outputs])
     uri = f"{folder}/words.transducer"
-    fs, path = fs_open(uri)
+    fs, path = open_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(path) as f:
         f.write(Transducer.dump(arrays))
