@@ -17,9 +17,8 @@ def event_window(events: DataFrame, returns: DataFrame, calendar: DataFrame, by:
 
     ``events`` needs ``by`` and ``time`` (a date of the calendar); both tables keep their columns. Offsets over the calendar's edge have no rows.
     """
-    day = F.broadcast(calendar) if before + after > 10_000 else calendar
-    spread = events.join(day, time).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("at", F.col("idx") + F.col("offset")).drop("idx", time)
-    series = returns.join(day, time).withColumnRenamed("idx", "at")
+    spread = events.join(calendar, time).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("at", F.col("idx") + F.col("offset")).drop("idx", time)
+    series = returns.join(calendar, time).withColumnRenamed("idx", "at")
     return spread.join(series, [by, "at"]).drop("at")
 
 
