@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,7 +33,7 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces
 SEQ_LEN = 2048
 BATCH_SEQS = 256
 END_ID = 1
-_MEMO_WORDS, _MEMO_KEPT = 800_000, 400_000
+_MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES = 800_000, 400_000, 300_000
 # Anything but ASCII and the composed letters of Latin-1 and Latin Extended-A (dotted capital I aside).
 _UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _ENCODERS: dict[str, "LibraryEncoder"] = {}
@@ -84,9 +85,9 @@ class ChunkMemo(dict):
 
 
 class LibraryEncoder:
-    """Whole texts to ids with the tokenizers library, whose BPE model is called once for each remembered stretch.
+    """Whole texts to ids with the tokenizers library, whose BPE model is called once for each remembered piece.
 
-    Texts beyond ASCII and Latin letters, and those that may hold special tokens, go to the library whole.
+    Stretches beyond ASCII and Latin letters go to the library's normaliser too, texts that may hold special tokens go there whole.
     """
 
     def __init__(self, path: str):
@@ -99,24 +100,36 @@ class LibraryEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
         self.memo = ChunkMemo(self.dtype)
+        self.known: dict[str, bytes] = {}  # pieces, which stretches with and without marks share; the first ones stay
 
     def spell(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
 
+    def raw(self, ids: list[int]) -> bytes:
+        return array(np.dtype(self.dtype).char, ids).tobytes()
+
+    def piece_ids(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.raw([t.id for t in self.tokenize(self.spell(piece))])
+            if len(self.known) < _MEMO_PIECES:
+                self.known[piece] = ids
+        return ids
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        if not chunk.isascii() and _UNUSUAL.search(chunk):
+            return self.raw(self.lib.encode(chunk, add_special_tokens=False).ids)
+        return self.piece_ids(chunk.lower()) if chunk.isalpha() else b"".join(map(self.piece_ids, pieces(chunk)))
+
     def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or _UNUSUAL.search(text):
+        if "<|" in text:
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
         memo = self.memo
         memo.trim()
         places = memo.places(text)
         if memo.new:
-            ids, sizes = [], []
-            for chunk in memo.new:
-                was = len(ids)
-                for piece in [chunk.lower()] if chunk.isalpha() else pieces(chunk):
-                    ids += [t.id for t in self.tokenize(self.spell(piece))]
-                sizes.append(len(ids) - was)
-            memo.settle(np.array(ids, self.dtype), np.array(sizes, np.int64))
+            ids = list(map(self.chunk_ids, memo.new))
+            memo.settle(np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize)
         return memo.ids(places)
 
 

@@ -17,7 +17,7 @@ SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
 _ANY = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACES = re.compile(f"[{_SPACE}]+")
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 
@@ -45,4 +45,4 @@ def split_specials(text: str) -> list[str]:
 
 def chunks_of(text: str) -> list[str]:
     """The stretches between white space. ``str.split`` also splits at U+001C to U+001F, which are no white space here."""
-    return [c for c in _SPACES.split(text) if c] if _SEPARATORS.search(text) else text.split()
+    return [c for c in _SPACES.split(text) if c] if any(map(text.__contains__, _SEPARATORS)) else text.split()
