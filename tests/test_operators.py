@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, vector
 from tidemark.functions.money import log_return, t_statistic
-from tidemark.operators import asof, bars, events, macro, mentions, portfolio, sentiment, stories
+from tidemark.operators import asof, bars, events, macro, mentions, portfolio, ranks, sentiment, stories
 from tidemark.sources import html, landed, tickers
 
 
@@ -220,6 +220,18 @@ def test_folds_never_overlap(spark):
     assert all(a.test_to < b.test_from for a, b in zip(f, f[1:]))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 200])
+def test_ranks_equal_the_global_window(spark, n):
+    from pyspark.sql import Window
+
+    table = spark.createDataFrame([(i, None if i == 5 else float(i * 7 % 11)) for i in range(n)], "id long, cap double")
+    got = ranks.percent_rank(ranks.number_rows(table, ["cap", "id"]), "cap", "pct")
+    got = got.select("id", ranks.bucket_of(F.col("row_no"), F.col("n_rows"), 3).alias("bucket"), F.round("pct", 9).alias("pct"))
+    by_cap = Window.orderBy(F.col("cap").asc_nulls_first())
+    want = table.select("id", F.ntile(3).over(Window.orderBy(F.col("cap").asc_nulls_first(), "id")).alias("bucket"), F.round(F.percent_rank().over(by_cap), 9).alias("pct"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_panel_features_know_no_future(spark):
     """Changing everything after a month leaves that month's features as they were."""
     from tidemark.plans import books

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import portfolio as p, sentiment
+from tidemark.operators import asof, portfolio as p, sentiment
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
 from tidemark.work import cut
@@ -121,7 +121,37 @@ def feature_panel(spark, sf):
     return f.select("inst", "month", *(F.round(c, 6).alias(c) for c in f.columns[2:]))
 
 
-def learned_scores(spark, sf, train: int = 36, test: int = 12):
+def extended_features(spark, sf):
+    """``features`` with ``brent_ret``, the commodity's last move, and ``div_yield``, the last dividend over the price; both known before the month begins.
+
+    Stand-ins: the commodity's price is the mean order of a month, dividends are the tax of a security's returned items.
+    """
+    o = i.table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("at")).agg(F.avg("o_totalprice").alias("price"))
+    # One row a month, and one series for all securities: joined on the months alone.
+    moves = o.select("at", F.lit(1).alias("k"), (F.col("price") / F.lag("price").over(Window.orderBy("at")) - 1).alias("brent_ret"))
+    x, bars = features(spark, sf), i.bars(spark, sf)
+    months = bars.select("month", F.lit(1).alias("k")).distinct()
+    brent = asof.asof_join(months, moves, ["k"], "month", "at", ["brent_ret"], strict=True).select("month", F.coalesce("asof_brent_ret", F.lit(0.0)).alias("brent_ret"))
+    paid = i.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 0").groupBy(F.col("l_suppkey").alias("inst"), F.date_trunc("month", "l_shipdate").cast("date").alias("at"))
+    dividends = paid.agg((F.sum(F.col("l_extendedprice") * F.col("l_tax")) / F.sum("l_quantity")).alias("amount"))
+    yields = asof.asof_join(bars.select("inst", "month", "px"), dividends, ["inst"], "month", "at", ["amount"], strict=True)
+    yields = yields.select("inst", "month", F.coalesce(F.col("asof_amount") / F.col("px"), F.lit(0.0)).alias("div_yield"))
+    return x.join(yields, ["inst", "month"]).join(brent, "month").select(*x.columns, "brent_ret", "div_yield")
+
+
+@query("""
+with c as (select cast(date_trunc('month', o_orderdate) as date) as since, avg(o_totalprice) as price from orders group by 1),
+cr as (select since, price / lag(price) over (order by since) - 1 as brent_ret from c),
+dv as (select l_suppkey as inst, cast(date_trunc('month', l_shipdate) as date) as since, sum(l_extendedprice * l_tax) / sum(l_quantity) as amount from lineitem where l_returnflag = 'R' and l_quantity > 0 group by 1, 2)
+select r.inst, r.month, round(coalesce(cr.brent_ret, 0), 6) as brent_ret, round(coalesce(dv.amount / r.px, 0), 6) as div_yield
+from rets r asof left join cr on cr.since < r.month asof left join dv on dv.inst = r.inst and dv.since < r.month
+""")
+def m3_features(spark, sf):
+    """What M3 sees beyond M1 and M2."""
+    return extended_features(spark, sf).select("inst", "month", F.round("brent_ret", 6).alias("brent_ret"), F.round("div_yield", 6).alias("div_yield"))
+
+
+def learned_scores(spark, sf, train: int = 36, test: int = 12, panel_of=features):
     """Walk-forward predictions ``inst, month, fwd, score`` by gradient-boosted trees: each fold learns strictly before it predicts.
 
     The loop runs over folds, whose number the calendar bounds; each fit is distributed.
@@ -129,7 +159,7 @@ def learned_scores(spark, sf, train: int = 36, test: int = 12):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    x = cut(features(spark, sf).where("fwd is not null"), "features")
+    x = cut(panel_of(spark, sf).where("fwd is not null"), "features")
     names = [c for c in x.columns if c not in ("inst", "month", "fwd")]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(x)
     out = []
@@ -163,8 +193,8 @@ def m2_softmax(spark, sf):
 
 @query()
 def m3_cash(spark, sf):
-    """M3: M2 with more features' room and the cash gate on past index moves."""
+    """M3: M2 with the commodity's and the dividends' features, and the cash gate on past index moves."""
     w = Window.orderBy("month")
     gate = i.index(spark, sf).withColumn("before", F.lag("ipx").over(w)).withColumn("before2", F.lag("ipx", 2).over(w))
-    best = p.top_k(learned_scores(spark, sf), "month", [F.desc("score"), F.col("inst")])
+    best = p.top_k(learned_scores(spark, sf, panel_of=extended_features), "month", [F.desc("score"), F.col("inst")])
     return p.portfolio_returns(p.cash_exit(p.softmax_weights(best, "month", "score", 0.1), gate, "month", F.col("before") >= F.col("before2")), "month", "fwd")

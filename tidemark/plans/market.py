@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars as b, portfolio
+from tidemark.operators import asof, bars as b, portfolio, ranks
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
 
@@ -132,8 +132,9 @@ def step_series_rate(spark, sf):
 select inst, name, round(cap, 2) as cap, cast(ntile(5) over (order by cap, inst) as int) as bucket, round(percent_rank() over (order by cap), 6) as pct from dim
 """)
 def cap_bucket(spark, sf):
-    """Size buckets. Ranking is global by meaning; it runs over the dimension of securities, one row each."""
-    return i.dimension(spark, sf).select("inst", "name", F.round("cap", 2).alias("cap"), F.ntile(5).over(Window.orderBy("cap", "inst")).alias("bucket"), F.round(F.percent_rank().over(Window.orderBy("cap")), 6).alias("pct"))
+    """Size buckets. Ranking is global by meaning; ranges of it are numbered side by side."""
+    ranked = ranks.percent_rank(ranks.number_rows(i.dimension(spark, sf), ["cap", "inst"], "caps"), "cap", "pct")
+    return ranked.select("inst", "name", F.round("cap", 2).alias("cap"), ranks.bucket_of(F.col("row_no"), F.col("n_rows"), 5).alias("bucket"), F.round("pct", 6).alias("pct"))
 
 
 @query("""

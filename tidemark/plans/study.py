@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import t_statistic
-from tidemark.operators import events as e, stories
+from tidemark.operators import events as e, ranks, stories
 from tidemark.plans import inputs as i
 from tidemark.plans.news import _GROUPS
 from tidemark.plans.registry import query
@@ -65,9 +65,8 @@ with {_WINDOW}, c as (select inst, cast(ntile(3) over (order by cap, inst) as in
 select bucket, cast(sign(score) as int) as side, {_STATS.format('ar')} from win join c using (inst) where off = 0 and ar is not null group by 1, 2
 """)
 def h3_cap_bucket(spark, sf):
-    from pyspark.sql import Window
-
-    c = i.dimension(spark, sf).select("inst", F.ntile(3).over(Window.orderBy("cap", "inst")).alias("bucket"))
+    numbered = ranks.number_rows(i.dimension(spark, sf).select("inst", "cap"), ["cap", "inst"], "caps")
+    c = numbered.select("inst", ranks.bucket_of(F.col("row_no"), F.col("n_rows"), 3).alias("bucket"))
     w = windows(spark, sf).where("offset = 0").join(c, "inst").withColumn("side", F.signum("score").cast("int"))
     return stats(w, "bucket", "side")
 
