@@ -163,6 +163,13 @@ def test_media_variant_ignores_tickers(spark):
     assert mentions.search(spark, n, SHARES, mentions.MEDIA).collect() == []
 
 
+def test_common_words_need_a_second_sign(spark):
+    texts = ["клейкая лента", "В Ленте подорожали", "сеть «лента» растёт", 'сеть "лента" растёт', "магниту и газпрому", "LENT вырос", "lent вырос", "\ue000", "", None, "(Магнит)"]
+    n = spark.createDataFrame(list(enumerate(texts)), "news_id long, text string")
+    got = mentions.search(spark, n, [("LENT", "Лента"), ("MGNT", "Магнит"), ("GAZP", "Газпром")], mentions.TELEGRAM, kind=None, common={"LENT", "MGNT"})
+    assert sorted(rows(got)) == [(1, "LENT"), (2, "LENT"), (3, "LENT"), (4, "GAZP"), (5, "LENT"), (6, "LENT"), (10, "MGNT")]
+
+
 def test_contains_name(spark):
     t = [("Эн+ Группа выросла", "Эн+ Группа", True), ("группа", "Эн+ Группа", False), ("(ПИК)", "пик", True), ("пикник", "пик", False)]
     df = spark.createDataFrame(t, "t string, n string, w boolean")

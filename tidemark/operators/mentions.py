@@ -1,13 +1,14 @@
 """Mention search: a dictionary of word forms built once, texts exploded to words, one equi-join.
 
 Morphology is a rule: endings of Russian nouns replace a name's last vowel or follow its last consonant. Two variants: ``TELEGRAM`` also accepts tickers,
-``MEDIA`` only names. Names of several words match as word sequences of their length. Names that are ordinary words need a second sign: they must be quoted
-or capitalised in the text (``strict``).
+``MEDIA`` only names. Names of several words match as word sequences of their length. Securities listed as ``common``, whose one-word names are ordinary words,
+need a second sign: the name must be capitalised in the text or follow a quotation mark.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +20,10 @@ AFTER_CONSONANT = ("", "а", "у", "ом", "е", "ы", "ов", "ам", "ами",
 AFTER_VOWEL = {"а": ("а", "ы", "и", "е", "у", "ой", "ою"), "я": ("я", "и", "е", "ю", "ей"), "ь": ("ь", "и", "ью", "я", "ю", "ем", "е"), "й": ("й", "я", "ю", "ем", "е"), "о": ("о", "а", "у", "ом", "е"), "е": ("е", "я", "ю", "ем")}
 
 
+# A quotation mark before a letter or digit; it becomes a private character that no word holds.
+OPENING, _QUOTED = r"[«„“\"'](?=[\p{L}\p{N}])", "\ue000"
+
+
 @dataclass(frozen=True)
 class Variant:
     kind: str
@@ -64,21 +69,31 @@ def dictionary(securities: list[tuple[str, str]], variant: Variant) -> list[tupl
     return sorted(out)
 
 
-def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest: int) -> DataFrame:
-    """Distinct ``key, ticker``. Sequences of up to ``longest`` words are exploded; the dictionary decides the join's side by its size."""
-    w = F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest: int, common: Collection[str] = ()) -> DataFrame:
+    """Distinct ``key, ticker``. Sequences of up to ``longest`` words are exploded; the dictionary decides the join's side by its size.
+
+    Only with ``common`` are words told apart by case: a mark takes the place of an opening quotation mark, and words keep their first letter's case.
+    """
+    source, split_at = (F.regexp_replace(text, OPENING, f" {_QUOTED}"), NOT_WORD.replace("]", f"{_QUOTED}]")) if common else (F.lower(text), NOT_WORD)
+    w = F.filter(F.split(source, split_at), lambda t: t != "")
     listed = news.where(F.col(text).isNotNull()).select(F.col(key).alias(key), w.alias("_w"))
     # ``_w`` is a column by now, so each sequence costs a slice and no second split.
     def grams(n: int):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
 
     seen = listed.select(key, F.explode(F.array_distinct(F.flatten(F.array(*map(grams, range(1, longest + 1)))))).alias("form"))
-    return seen.join(forms_table.select("form", "ticker"), "form").select(key, "ticker").distinct()
+    if not common:
+        return seen.join(forms_table.select("form", "ticker"), "form").select(key, "ticker").distinct()
+    first = F.left("form", F.lit(1))  # the mark, or a letter
+    signed = seen.select(key, F.lower(F.replace("form", F.lit(_QUOTED), F.lit(""))).alias("form"), ((first == _QUOTED) | (first != F.lower(first))).alias("_signed"))
+    hits = signed.join(forms_table.select("form", "n_words", "ticker"), "form")
+    ordinary = F.col("ticker").isin(*common) & (F.col("n_words") == 1) & (F.col("form") != F.lower("ticker"))
+    return hits.where(~ordinary | F.col("_signed")).select(key, "ticker").distinct()
 
 
-def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str]], variant: Variant, key: str = "news_id", text: str = "text", kind: str | None = "source_kind") -> DataFrame:
+def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str]], variant: Variant, key: str = "news_id", text: str = "text", kind: str | None = "source_kind", common: Collection[str] = ()) -> DataFrame:
     """Mentions of ``securities`` in the news of the variant's kind."""
     table = dictionary(securities, variant)
     own = news.where(F.col(kind) == variant.kind) if kind else news
     longest = max((n for _, n, _ in table), default=1)
-    return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest)
+    return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest, common)
