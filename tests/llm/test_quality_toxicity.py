@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -68,6 +69,32 @@ def test_noisy_or_finds_the_sentence(spark):
     assert [(f.doc_id, f.sentence_no) for f in found] == [(1, 2)] and "vile" in found[0].sentence
 
 
+def test_length_alone_is_not_toxic(spark):
+    """Clean documents joined to a megabyte stay clean, with and without ends of sentences; a toxic sentence among them is found."""
+    d, la = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity_mil.train(d, la)
+    texts = {k: [r.text for r in d.join(la.where(f"toxic = {k}"), "doc_id").orderBy("doc_id").collect()] for k in (0, 1)}
+    clean = [t for t, s in zip(texts[0], model.score(texts[0])) if s < toxicity_mil.THRESHOLD]
+    bad = max((s for t in texts[1] for s in toxicity_mil.sentences(t)), key=lambda s: model.sentence_scores(s)[0])
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(clean))
+        joined = "\n".join([clean[i] for i in order])[:1_000_000].rsplit("\n", 1)[0]
+        assert len(joined) > 900_000
+        half = joined.index("\n", len(joined) // 2)
+        before, after = model.score([joined, joined[:half] + "\n" + bad + joined[half:]])
+        assert before < toxicity_mil.THRESHOLD and after > 0.9
+    assert model.score(["\n".join(clean)])[0] < toxicity_mil.THRESHOLD
+    plain = " ".join(w for w in re.findall(r"[^\W\d_]+", " ".join(clean)[:1_000_000]) if model.sentence_scores(w)[0] < 0.01)
+    assert model.score([plain])[0] < toxicity_mil.THRESHOLD
+
+
+def test_long_sentences_count_in_pieces():
+    text = " ".join(f"w{chr(97 + i % 26)}, 7" for i in range(200)) + ". Short one"
+    got = toxicity_mil.sentences(text)
+    assert "".join(got[:-1]) + " " + got[-1] == text and got[-1] == "Short one"
+    assert [len(re.findall(r"[^\W\d_]+", s)) for s in got] == [64, 64, 64, 8, 2]
+
+
 def test_odd_tables(spark, odd_docs, empty_docs, labels):
     none = spark.createDataFrame([], labels.schema)
     odd_labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (4, 1, 0), (4, 1, 0), (6, 0, 0), (7, 1, 1), (8, 0, 1)], "doc_id long, quality int, toxic int")

@@ -1,10 +1,12 @@
-"""Toxicity by multiple-instance learning: sentences score, a noisy-or combines them, documents' labels train.
+"""Toxicity by multiple-instance learning: sentences score, a noisy-or combines those that offend, documents' labels train.
 
 A sentence has p = sigmoid(bias + sum of weights of its words and of their beginnings, which stand for inflected
-stems); a document is toxic with 1 - prod(1 - p). Only documents carry labels. Words and beginnings are those that tell
+stems); training takes a document as toxic with 1 - prod(1 - p). A score takes the product over the worst sentence and
+those that reach the model's ``gate`` alone: the background of harmless ones would grow with the length. The gate lies where one
+sentence is enough to call a document toxic, so texts clean by themselves stay clean when joined. Only documents carry labels. Words and beginnings are those that tell
 the training documents' classes apart; the trained model also says which sentences offend (``offending_sentences``).
 
-Defined cases: null and empty texts have one empty sentence; a null ``doc_id`` is not held out; repeated rows get a row each;
+Defined cases: null and empty texts have one empty sentence; a sentence of more than ``MOST_WORDS`` words counts in pieces of so many; a null ``doc_id`` is not held out; repeated rows get a row each;
 without usable labels, or with one class only, scores are near that class (0 without labels); an empty table gives no rows; further
 columns stay out of the score, and ``keep_clean`` hands them on.
 """
@@ -24,13 +26,22 @@ from tidemark.llm.training import adam, calibrate, labelled_sample, sigmoid
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.3
 VOCABULARY, LEAST_DOCS, STEPS, RIDGE = 2000, 4, 300, 3e-4
+MOST_WORDS = 64
 _STEMS, _MEMO_WORDS, _SLOTS = (4, 5, 6, 7, 8), 200_000, 1 << 22
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()] or [""]
+    return [piece for s in _SENTENCE.split(text) if s.strip() for piece in pieces(s)] or [""]
+
+
+def pieces(sentence: str) -> list[str]:
+    """The sentence, cut before every ``MOST_WORDS``-th further word: weights add up within one."""
+    if len(sentence) < 2 * MOST_WORDS:
+        return [sentence]
+    cuts = [m.start() for m in _WORD.finditer(sentence)][MOST_WORDS::MOST_WORDS]
+    return [sentence[a:b] for a, b in zip([0, *cuts], [*cuts, None])]
 
 
 def marks_of(word: str) -> list[str]:
@@ -89,7 +100,7 @@ def choose_marks(texts: list[str], y: np.ndarray) -> list[str]:
 
 class NoisyOr:
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> "NoisyOr":
-        self.weights, self.bias, self.slope, self.shift = {}, -12.0, 1.0, 0.0
+        self.weights, self.bias, self.slope, self.shift, self.gate = {}, -12.0, 1.0, 0.0, np.inf
         if not len(y) or y.min() == y.max():
             self.slope, self.shift = 0.0, -6.0 if not len(y) or y[0] == 0 else 6.0
             return self
@@ -124,7 +135,11 @@ class NoisyOr:
         p = adam(gradient, start, STEPS, 0.1)
         self.weights = {w: float(p[i]) for w, i in place.items() if abs(p[i]) > 0.02}
         self.bias = float(p[-1])
-        self.slope, self.shift = calibrate(self.raw(texts), y, weight)
+        called = np.log(THRESHOLD / (1 - THRESHOLD))
+        for self.gate in (called, np.inf):  # a gate below the log-odds that call a document toxic would let weak sentences add up
+            self.slope, self.shift = calibrate(self.raw(texts), y, weight)
+            if self.slope * self.gate + self.shift >= called:
+                break
         return self
 
     def sentence_scores(self, text: str) -> np.ndarray:
@@ -132,13 +147,15 @@ class NoisyOr:
         return sigmoid(np.array([self.bias + sum(map(get, set(_WORD.findall(s.lower())))) for s in sentences(text)]))
 
     def raw(self, texts: list[str]) -> np.ndarray:
-        """Log-odds of the noisy-or of each text."""
+        """Log-odds of the noisy-or of each text's worst sentence and those that reach the gate."""
         out, base = np.empty(len(texts)), self.bias
         if "get" not in self.__dict__:
             self.get = WordWeights(self.weights).__getitem__
         for i, text in enumerate(texts):
-            z = np.array([sum(map(self.get, set(_WORD.findall(s)))) for s in _SENTENCE.split(text.lower()) if s and not s.isspace()] or [0.0])
-            total = float(np.logaddexp(0, base + z).sum())
+            words = [_WORD.findall(s) for s in _SENTENCE.split(text.lower()) if s and not s.isspace()]
+            z = base + np.array([sum(map(self.get, set(w[k : k + MOST_WORDS]))) for w in words for k in range(0, len(w) or 1, MOST_WORDS)] or [0.0])
+            offends = z >= self.gate
+            total = float(np.logaddexp(0, z[offends] if offends.any() else z.max()).sum())
             out[i] = np.log(-np.expm1(-total) + 1e-300) + total  # P / (1 - P)
         return out
 
