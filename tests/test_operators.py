@@ -121,6 +121,27 @@ def test_lsh_pairs_are_true_and_find_near_copies(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_lsh_pairs_recall_at_the_query_threshold(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        r = e.orderBy("vec_id").collect()
+        k, v = np.array([x.vec_id for x in r]), np.array([x.embedding for x in r], float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(v @ v.T, 1) >= 0.4)
+        want = {(k[x], k[y]) for x, y in zip(i, j)}
+        got = {(x.a, x.b) for x in stories.lsh_pairs(e, "vec_id", "embedding", 0.4).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_lsh_pairs_of_any_length_and_equal_vectors(spark):
+    r = np.random.default_rng(3)
+    v = [x.tolist() for n in (8, 64) for x in r.normal(size=(40, n))]
+    v += [v[0], v[0], v[50], [0.0] * 8, [0.0] * 8, [], None]
+    t = spark.createDataFrame(list(enumerate(v)), "id int, v array<double>")
+    got = {(x.a, x.b) for x in stories.lsh_pairs(t, "id", "v", 0.99).collect()}
+    assert got == {(0, 80), (0, 81), (80, 81), (50, 82)}
+
+
 def test_groups_are_transitive_and_independent_of_order(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     want = sorted([(i, 0) for i in range(41)] + [(i, 100) for i in (100, 101, 102)], key=repr)

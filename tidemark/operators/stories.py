@@ -55,22 +55,51 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")
 
 
-def lsh_pairs(vectors: DataFrame, key: str, vector: str, least: float, tables: int = 8, bits: int = 12, size: int = 64, seed: int = 7) -> DataFrame:
-    """Candidates that share a random-hyperplane bucket in any table, then the exact cosine: a recall below one, no false pairs.
+def lsh_shape(least: float, rows: int, recall: float) -> tuple[int, int]:
+    """``tables, bits``: buckets of some eight rows, and tables enough for a pair at ``least`` to meet with chance ``recall``.
 
-    Planes are +1 or -1 from a hash of (table, bit, place), so they need no storage. Linear while buckets stay small; ``bits`` should grow with the logarithm of the rows.
+    No bits, where the tables would hold more candidates than there are pairs.
+    """
+    agree = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
+    bits = min(62, max(0, int(np.log2(max(rows, 1) / 8)))) if rows >= 16 else 0
+    meet = agree**bits
+    tables = 1 if meet >= 1 else int(np.ceil(np.log(1 - recall) / np.log1p(-meet))) if meet > 0 else 1 << 62
+    return (1, 0) if tables >= 2**bits else (tables, bits)
+
+
+def lsh_pairs(vectors: DataFrame, key: str, vector: str, least: float, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    """``a, b, similarity`` of pairs with a < b that share a random-hyperplane bucket in any table and reach ``least``: no false pairs.
+
+    ``lsh_shape`` takes tables and bits from the threshold and the distinct vectors, so that a pair at the threshold is found with chance
+    ``recall``; nearer ones more often. Equal vectors are hashed once; vectors of other length never meet. The work grows with the rows to the power
+    1 + log(agree) / log(1/2), agree = 1 - arccos(least) / pi: 1.66 at 0.4, 1.22 at 0.9. Without bits ``cosine_pairs`` finds all.
     """
     from tidemark.functions.vector import cosine
 
-    plane = np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, bits, size))
-    sign = lambda row: F.when(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, row.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
-    codes = [F.struct(F.lit(t).alias("t"), F.concat(*(sign(plane[t, b]).cast("string") for b in range(bits))).alias("code")) for t in range(tables)]
-    hashed = vectors.where(F.size(vector) == size).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(F.array(*codes)).alias("c")).select("k", "v", "c.t", "c.code")
-    hashed = cut(hashed, "lsh")
-    a, b = hashed.alias("a"), hashed.alias("b")
-    near = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.k") < F.col("b.k")))
-    scored = near.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), cosine("a.v", "b.v").alias("similarity"))
-    return scored.where(F.col("similarity") >= least).dropDuplicates(["a", "b"])
+    v = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    groups = cut(v.select("v").distinct().withColumn("g", F.monotonically_increasing_id()), "lsh-vectors")
+    members = cut(v.join(groups, "v").select("g", "k").distinct(), "lsh-members")
+    tables, bits = lsh_shape(least, groups.count(), recall)
+
+    def codes(frames):
+        for frame in frames:
+            for size, part in frame.groupby(frame["v"].map(len)):
+                x = np.array(part["v"].tolist(), np.float64)
+                for t in range(tables):
+                    plane = np.random.default_rng([seed, size, t]).choice([-1.0, 1.0], size=(size, bits))
+                    yield pd.DataFrame({"g": part["g"], "size": size, "t": t, "code": (x @ plane >= 0) @ (1 << np.arange(bits, dtype=np.int64))})
+
+    if bits:
+        hashed = cut(groups.select("g", "v").mapInPandas(codes, "g long, size int, t int, code long"), "lsh")
+        near = hashed.join(hashed.withColumnRenamed("g", "h"), ["size", "t", "code"]).where("g < h").select("g", "h").distinct()
+        other = groups.select(F.col("g").alias("h"), F.col("v").alias("w"))
+        close = near.join(groups, "g").join(other, "h").select("g", "h", cosine("v", "w").alias("similarity"))
+    else:
+        close = cosine_pairs(groups, "g", "v", least).select(F.col("a").alias("g"), F.col("b").alias("h"), "similarity")
+    close = close.unionByName(groups.select("g", F.col("g").alias("h"), cosine("v", "v").alias("similarity")))
+    close = close.where((F.col("similarity") >= least) & ~F.isnan("similarity"))
+    found = close.join(members, "g").join(members.select(F.col("g").alias("h"), F.col("k").alias("k2")), "h").where("k <> k2")
+    return found.groupBy(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def groups_of(pairs: DataFrame, name: str = "story-links", most_rounds: int = 50) -> DataFrame:
