@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near copies one row stays: that with the smallest id, whatever ids repeat or are null."""
+    return simhash.one_of_each_component(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from tidemark.llm import simhash
 
 
@@ -108,3 +109,26 @@ def test_deduplicate_keeps_one_of_each_group(docs, odd_docs):
         want = {r.component_id for r in simhash.components(table).collect()}
         ids = [r.doc_id for r in kept.collect()]
         assert sorted(map(repr, ids)) == sorted(map(repr, want))
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark, docs, odd_docs, empty_docs):
+    """Also where ids repeat with other texts, or are null."""
+    for table in (docs, odd_docs):
+        kept = corpus_pipeline.near_dedup(spark, table, "")
+        assert kept.columns == table.columns
+        rows = [(r.doc_id, brute_fingerprint(r.text)) for r in table.collect()]
+        at = {f: n for n, f in enumerate(f for _, f in rows)}
+        part = brute_components([(i, f) for i, (_, f) in enumerate(rows)])
+        least = {}
+        for (d, _), c in zip(rows, part):
+            least[c] = min(least.get(c, (True, 0)), (d is None, d or 0))
+        got = [(part[at[brute_fingerprint(r.text)]], (r.doc_id is None, r.doc_id or 0)) for r in kept.collect()]
+        assert sorted(got) == sorted(least.items())
+    assert corpus_pipeline.near_dedup(spark, empty_docs, "").collect() == []
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(3, say("a")), (5, say("a")), (5, say("b")), (None, say("c")), (None, say("d")), (None, say("d")), (None, say("b"))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[4]]))

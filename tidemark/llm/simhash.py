@@ -248,3 +248,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     named = first.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     nameless = first.where("doc_id is null").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return named.unionByName(nameless).select("d.*")
+
+
+def one_of_each_component(docs: DataFrame) -> DataFrame:
+    """Exactly one row of ``docs`` for each component: that with the smallest ``doc_id`` (null last), then by the text's digest.
+
+    Unlike ``deduplicate``, it tells rows of equal or null ``doc_id`` apart by their text. All columns of ``docs`` stay.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    name = lambda k: F.concat_ws(":", F.col(k)["digest"], F.col(k)["id"].cast("string"))  # noqa: E731  (a null id adds nothing, not even the colon)
+    least = components(docs.select(key.alias("doc_id"), "text"))
+    kept = least.select("component_id").distinct().select(name("component_id").alias("_kept"))
+    rows = docs.select(F.struct("*").alias("d"), key.alias("key"), "text").select("d", "text", name("key").alias("name"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("text"))).where("nth = 1")
+    return first.join(kept, F.col("name") == F.col("_kept"), "left_semi").select("d.*")
