@@ -47,6 +47,54 @@ def test_fences_adapt_to_their_group(spark):
     assert sum(r.kept for r in got.values()) >= len(rows) - 2
 
 
+def made(spark, groups):
+    """Documents of ``(language, source, [(words, symbols), ...])``; words differ, so nothing repeats."""
+    rows = []
+    for lang, source, shapes in groups:
+        for n, signs in shapes:
+            i = len(rows)
+            rows.append((i, " ".join(f"w{i * 1000 + k:07d}x" + ("#" if k < signs else "") for k in range(n)), lang, source))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_a_hot_source_of_junk_does_not_set_its_own_fence(spark):
+    """30 % of one source, 200 documents, hold 500 symbols a thousand words: all of them go, and all others stay."""
+    lengths = [60 + 7 * (i % 40) for i in range(200)]
+    hot = [(n, n // 2 if i % 10 < 3 else 0) for i, n in enumerate(lengths)]
+    rows, docs = made(spark, [("en", "hot", hot), ("en", "calm", [(n, 0) for n in lengths])])
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    for i, (n, signs) in enumerate(hot + [(n, 0) for n in lengths]):
+        assert got[i].kept == (signs == 0), (i, n, signs)
+
+
+def test_fences_come_from_the_data_where_all_quartiles_are_zero(spark):
+    """No source has a symbol in three of four documents; their fences still differ, as their lengths do."""
+    rows, docs = made(spark, [("en", f"s{g}", [(50 + (i * (5 + 9 * g)) % 400, i % 5 == 0) for i in range(150)]) for g in range(3)])
+    sketch = quality_rules.materialize(quality_rules.sketches(quality_rules.with_measures(quality_rules.base_counts(docs))), "sketch")
+    high = [r.symbols.high for r in quality_rules.group_fences(sketch).collect()]
+    assert len(set(high)) == 3
+    assert all(r.kept for r in quality_rules.apply_rules(docs).collect())
+
+
+def test_a_majority_of_copies_does_not_reject_the_rest(spark):
+    """Most of a source is one document many times; a fence without any spread would reject what differs from it."""
+    lengths = [60 + 7 * (i % 40) for i in range(450)]
+    rows, docs = made(spark, [("en", "copies", [(n, 0) for n in lengths[:150]]), ("en", "calm", [(n, 0) for n in lengths])])
+    copies = [(10_000 + i, rows[70][1], "en", "copies") for i in range(400)]
+    got = quality_rules.apply_rules(spark.createDataFrame(rows + copies, docs.schema)).where("kept").count()
+    assert got >= 0.9 * len(rows + copies)
+
+
+def test_no_size_at_which_a_verdict_switches(spark):
+    """A source's fence moves with each further document by little: 99 or 101 documents give nearly the same."""
+    def high(n):
+        rows, docs = made(spark, [("en", "grows", [(60 + i % 30, 6 + i % 3) for i in range(n)]), ("en", "calm", [(60 + 7 * (i % 40), 0) for i in range(300)])])
+        sketch = quality_rules.materialize(quality_rules.sketches(quality_rules.with_measures(quality_rules.base_counts(docs))), "sketch")
+        return {r.source: r.symbols.high for r in quality_rules.group_fences(sketch).collect()}["grows"]
+
+    assert abs(high(99) - high(101)) < 0.05 * high(99)
+
+
 def test_native_plan(docs):
     plan = quality_rules.apply_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

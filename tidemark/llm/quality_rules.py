@@ -2,14 +2,20 @@
 
 Rules read counts of the whole text. Fixed base rules fail a document at once; the others compare it with its own
 language and source. For each of these groups a mergeable quantile sketch per measure holds counts over buckets of
-a log-linear scale (32 steps an octave, as in HDR histograms; DDSketch has the same guarantee): sketches merge by adding, so
-partial aggregation builds them before the shuffle, and the sketches of a language or of all documents are sums of the finest. The fence of
-a measure is its upper quartile plus ``SPREAD`` interquartile ranges and a slack (mirrored below for word length). A group of
-fewer than ``LEAST_DOCS`` documents takes the fences of its language, or else of all documents. Joined to their
-groups, documents beyond a fence go.
+a log-linear scale (``STEPS`` an octave, as in HDR histograms; DDSketch has the same guarantee): sketches merge by adding, so
+partial aggregation builds them before the shuffle, and the sketches of a language or of all documents are sums of the finest.
+They hold the documents that pass the base rules.
+
+Measures are rates with one find added (Laplace's rule of succession), so those of documents without finds still differ by length, and
+no spread is zero only because most documents have none. On the sketch's log scale a group's upper fence is Tukey's far one, ``SPREAD``
+interquartile ranges above the upper quartile, or as far above the median as twice the lower half says for a symmetric spread, if that is less: junk
+in the upper half, nearly half of a group, does not move the latter. A spread is one step of the sketch at least. Where values tie, the fence does not fall below the group's
+90th percentile, or its parent's fence (for all documents the upper quartile) if that is less. Lower fences (of word length) mirror this.
+Each fence is drawn towards its parent's (source to language to all documents) as if ``PRIOR_DOCS`` documents spoke for
+the parent: there is no size at which a group's own voice starts. Joined to their groups, documents beyond a fence go.
 
 Defined cases: null text is empty and fails the base rules; null language or source is a group of its own; repeated rows get a row
-each; an empty table gives no rows; further columns are ignored.
+each and weigh as often as they come; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.shared import materialize
 
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
-LEAST_DOCS, SPREAD = 100, 3
-# Slack beyond the fence in the measure's unit: thousandths of words, of lines, of words; hundredths of a character.
-SLACK = {"symbols": 100, "dup_lines": 500, "repeats": 250, "word_length": 150}
+MEASURES = ("symbols", "dup_lines", "repeats", "word_length")
 TWO_SIDED = ("word_length",)
+SPREAD, PRIOR_DOCS = 3, 20
+STEPS = 256
 _WS = r"[\\x20\\x09-\\x0D]"
 
 
@@ -51,65 +57,75 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def with_measures(counts: DataFrame) -> DataFrame:
-    """Adds ``base_failed`` and the measures, whole numbers so that every engine agrees."""
-    n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    part = lambda a, b: F.floor(a / b).cast("long")
+    """Adds ``base_failed`` and the measures (millionths, word length in thousandths), whole numbers so that every engine agrees."""
+    rate = lambda found, of: F.expr(f"({found} + 1) * 1000000 div ({of} + 2)")
     return counts.select(
         "*",
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
-        part(1000 * F.col("n_symbols"), n).alias("symbols"),
-        part(1000 * F.col("n_dup_lines"), lines).alias("dup_lines"),
-        part(1000 * F.col("n_repeat_words"), n).alias("repeats"),
-        part(100 * F.col("word_chars"), n).alias("word_length"),
+        rate("n_symbols", "n_words").alias("symbols"),
+        rate("n_dup_lines", "n_lines").alias("dup_lines"),
+        rate("n_repeat_words", "n_words").alias("repeats"),
+        F.expr("1000 * word_chars div greatest(n_words, 1)").alias("word_length"),
     )
 
 
-def bucket(x: Column) -> Column:
-    """The lower end of the bucket: the number with all but its six leading bits cleared."""
-    low = F.greatest(F.length(F.bin(x)) - 6, F.lit(0))
-    return F.when(x < 64, x).otherwise(F.floor(x / F.pow(F.lit(2.0), low)).cast("long") * F.pow(F.lit(2.0), low).cast("long"))
+def bucket(measure: str) -> Column:
+    """The place on the log-linear scale: the number itself below ``2 * STEPS``, then ``STEPS`` places an octave."""
+    extra = f"(length(bin({measure})) - {STEPS.bit_length()})"
+    return F.expr(f"case when {measure} < {2 * STEPS} then {measure} else {STEPS} * {extra} + shiftright({measure}, {extra}) end")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """``lang, source, measure, bucket, n``: the sketch of each group, of documents with a word."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in SLACK))).alias("x")
-    return measured.where("n_words > 0").select("lang", "source", pairs).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    """``lang, source, measure, bucket, n``: the sketch of each group."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in MEASURES))).alias("x")
+    return measured.where("not base_failed").select("lang", "source", pairs).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merges sketches up to ``by`` and reads quartiles: ``*by, n, fence`` with a struct ``low, high`` per measure."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Merges sketches up to ``by``: ``*by, measure, n, q10, q25, q50, q75, q90``; a quantile is the first bucket that reaches its share."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
     run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    # The q-th quantile is the first bucket that reaches q of the count.
-    quart = run.groupBy(*by, "measure").agg(
-        F.max("total").alias("n"),
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-    )
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("measure"))
-    reach = SPREAD * (F.col("q3") - F.col("q1")) + slack
-    low = F.when(F.col("measure").isin(*TWO_SIDED), F.col("q1") - reach).otherwise(F.lit(-1).cast("long"))
-    q = quart.select(*by, "n", "measure", (F.col("q3") + reach).alias("high"), low.alias("low"))
-    return q.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.struct("low", "high"))).alias(m) for m in SLACK))
+    reached = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}")
+    return run.groupBy(*by, "measure").agg(F.max("total").alias("n"), *map(reached, (10, 25, 50, 75, 90)))
+
+
+def fences(quantile: DataFrame, parent: DataFrame | None, on: list[str]) -> DataFrame:
+    """Adds ``high, low`` to ``quantile`` and drops the quantiles. ``parent`` has the fences above, matched by ``on`` and measure."""
+    if parent is None:
+        rows = quantile.withColumns({"_high": F.col("q75"), "_low": F.col("q25"), "_prior": F.lit(0)})
+    else:
+        above = parent.select(*(F.col(c).alias(f"_{c}") for c in [*on, "measure", "high", "low"]))
+        same = F.col("measure") == F.col("_measure")
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = quantile.join(above, same).withColumn("_prior", F.lit(PRIOR_DOCS))
+    reach = lambda times, spread: f"{times} * greatest(1, {spread})"  # noqa: E731  (the sketch cannot tell values within a step apart)
+    whole, lower, upper = reach(SPREAD, "q75 - q25"), reach(2 * SPREAD + 1, "q50 - q25"), reach(2 * SPREAD + 1, "q75 - q50")
+    rows = rows.withColumn("_own_high", F.expr(f"greatest(least(q50 + {lower}, q75 + {whole}), least(q90, _high))"))
+    rows = rows.withColumn("_own_low", F.expr(f"greatest(0, least(greatest(q50 - {upper}, q25 - {whole}), greatest(q10, _low)))"))
+    drawn = lambda side: F.expr(f"(n * _own_{side} + _prior * _{side}) div (n + _prior)")
+    low = F.when(F.col("measure").isin(*TWO_SIDED), drawn("low")).otherwise(F.lit(0))
+    return rows.withColumns({"high": drawn("high"), "low": low}).select(*[c for c in quantile.columns if c not in ("q10", "q25", "q50", "q75", "q90")], "high", "low")
+
+
+def group_fences(sketch: DataFrame) -> DataFrame:
+    """``lang, source, n`` and, per measure, a struct ``low, high`` on the sketch's scale."""
+    top = fences(quantiles(sketch, []), None, [])
+    mid = fences(quantiles(sketch, ["lang"]), top, [])
+    fine = fences(quantiles(sketch, ["lang", "source"]), mid, ["lang"])
+    return fine.groupBy("lang", "source").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.struct("low", "high"))).alias(m) for m in MEASURES))
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and the name of the rule that rejects."""
     counts = materialize(base_counts(docs), "rule-counts")
     measured = with_measures(counts)
-    sketch = materialize(sketches(measured), "rule-sketches")
-    fine = fences(sketch, ["lang", "source"]).where(F.col("n") >= LEAST_DOCS)
-    mid = fences(sketch, ["lang"]).where(F.col("n") >= LEAST_DOCS)
-    top = fences(sketch.withColumn("all", F.lit(0)), ["all"]).first()  # one row of eight numbers, or none
-    # One row per group: each group takes the finest fences that have enough documents.
-    groups = measured.select("lang", "source").distinct().alias("g")
-    rows = groups.join(fine.alias("f"), F.expr("g.lang <=> f.lang and g.source <=> f.source"), "left").join(mid.alias("m"), F.expr("g.lang <=> m.lang"), "left")
-    whole = {m: F.struct(F.lit(top[m].low).cast("long").alias("low"), F.lit(top[m].high).cast("long").alias("high")) for m in SLACK} if top else {m: F.lit(None).cast("struct<low:bigint,high:bigint>") for m in SLACK}
-    limits = rows.select(F.col("g.lang").alias("_lang"), F.col("g.source").alias("_source"), *(F.coalesce(f"f.{m}", f"m.{m}", whole[m]).alias(f"_{m}") for m in SLACK))
+    limits = group_fences(materialize(sketches(measured), "rule-sketches"))
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(m).alias(f"_{m}") for m in MEASURES))
     joined = measured.join(limits, F.expr("lang <=> _lang and source <=> _source"), "left")
     beyond = F.lit(None).cast("string")
-    for m in reversed(SLACK):
-        beyond = F.when((F.col(m) > F.col(f"_{m}.high")) | (F.col(m) < F.col(f"_{m}.low")), F.lit(m)).otherwise(beyond)
+    for m in reversed(MEASURES):
+        beyond = F.when((bucket(m) > F.col(f"_{m}.high")) | (bucket(m) < F.col(f"_{m}.low")), F.lit(m)).otherwise(beyond)
     joined = joined.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(beyond))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")

@@ -122,42 +122,33 @@ with t as (
          cast(coalesce(rep.n, 0) as bigint) as n_repeat_words
   from w left join rep on rep.rid = w.rid
 ), m as (
-  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-         1000 * n_symbols // greatest(n_words, 1) as symbols,
-         1000 * n_dup_lines // greatest(n_lines, 1) as dup_lines,
-         1000 * n_repeat_words // greatest(n_words, 1) as repeats,
-         100 * word_chars // greatest(n_words, 1) as word_length
-  from c
-), p as (
-  select lang, source, measure, case when x < 64 then x else (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) end as bucket
-  from (select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
-               unnest([symbols, dup_lines, repeats, word_length]) as x from m where n_words > 0)
-), sketch as (
-  select 0 as level, lang, source, measure, bucket, count(*) as n from p group by all
-  union all select 1, lang, null, measure, bucket, count(*) from p group by lang, measure, bucket
-  union all select 2, null, null, measure, bucket, count(*) from p group by measure, bucket
-), run as (
-  select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto,
-         sum(n) over (partition by level, lang, source, measure) as total
-  from sketch
-), quart as (
-  select level, lang, source, measure, max(total) as n, min(case when 4 * upto >= total then bucket end) as q1,
-         min(case when 4 * upto >= 3 * total then bucket end) as q3
-  from run group by level, lang, source, measure
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+), long as (
+  select rid, lang, source, measure, case when x < 512 then x else 256 * (length(bin(x)) - 9) + (x >> (length(bin(x)) - 9)) end as place
+  from (select rid, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
+               unnest([(n_symbols + 1) * 1000000 // (n_words + 2), (n_dup_lines + 1) * 1000000 // (n_lines + 2),
+                       (n_repeat_words + 1) * 1000000 // (n_words + 2), 1000 * word_chars // greatest(n_words, 1)]) as x
+        from m where not base_failed)
+), top as (
+  select measure, quantile_disc(place, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from long group by measure
+), top_fence as (
+  select measure, greatest(least(q[3] + 7 * greatest(1, q[3] - q[2]), q[4] + 3 * greatest(1, q[4] - q[2])), q[4]) as high, greatest(0, least(greatest(q[3] - 7 * greatest(1, q[4] - q[3]), q[2] - 3 * greatest(1, q[4] - q[2])), q[2])) as low from top
+), mid as (
+  select lang, measure, count(*) as n, quantile_disc(place, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from long group by lang, measure
+), mid_fence as (
+  select lang, mid.measure, (n * greatest(least(q[3] + 7 * greatest(1, q[3] - q[2]), q[4] + 3 * greatest(1, q[4] - q[2])), least(q[5], f.high)) + 20 * f.high) // (n + 20) as high,
+         (n * greatest(0, least(greatest(q[3] - 7 * greatest(1, q[4] - q[3]), q[2] - 3 * greatest(1, q[4] - q[2])), greatest(q[1], f.low))) + 20 * f.low) // (n + 20) as low
+  from mid join top_fence f on f.measure = mid.measure
+), fine as (
+  select lang, source, measure, count(*) as n, quantile_disc(place, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from long group by lang, source, measure
 ), fence as (
-  select level, lang, source, measure, n, q3 + 3 * (q3 - q1) + slack as high,
-         case when measure = 'word_length' then q1 - 3 * (q3 - q1) - slack else -1 end as low
-  from quart join (values ('symbols', 100), ('dup_lines', 500), ('repeats', 250), ('word_length', 150)) s(measure2, slack) on measure = measure2
-  where level = 2 or n >= 100
-), one as (
-  select m.rid, f.measure, f.low, f.high, row_number() over (partition by m.rid, f.measure order by f.level) as k
-  from m join fence f on (f.level = 0 and f.lang is not distinct from m.lang and f.source is not distinct from m.source)
-                      or (f.level = 1 and f.lang is not distinct from m.lang) or f.level = 2
+  select fine.lang, source, fine.measure, (n * greatest(least(q[3] + 7 * greatest(1, q[3] - q[2]), q[4] + 3 * greatest(1, q[4] - q[2])), least(q[5], f.high)) + 20 * f.high) // (n + 20) as high,
+         (n * greatest(0, least(greatest(q[3] - 7 * greatest(1, q[4] - q[3]), q[2] - 3 * greatest(1, q[4] - q[2])), greatest(q[1], f.low))) + 20 * f.low) // (n + 20) as low
+  from fine join mid_fence f on f.measure = fine.measure and f.lang is not distinct from fine.lang
 ), beyond as (
-  select m.rid, bool_or(x > high or x < low) as beyond
-  from (select rid, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
-               unnest([symbols, dup_lines, repeats, word_length]) as x from m) m
-  join one on one.rid = m.rid and one.measure = m.measure and one.k = 1 group by m.rid
+  select rid, bool_or(place > high or (long.measure = 'word_length' and place < low)) as beyond
+  from long join fence on fence.measure = long.measure and fence.lang is not distinct from long.lang and fence.source is not distinct from long.source
+  group by rid
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not coalesce(beyond, false) as kept
