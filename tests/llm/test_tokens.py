@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,27 @@ def test_coder_equals_library(tokenizer, library, tmp_path, words):
         assert code.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_equal_library(tokenizer, library):
+    """Around the length where the way of merging changes, and a million letters within seconds."""
+    merges, r = transducer_bpe.Merges(tokenizer), random.Random(5)
+    words = ["".join(r.choice("aabeeetin") for _ in range(n)) for n in range(transducer_bpe.LONG_WORD - 20, transducer_bpe.LONG_WORD + 60)]
+    words += ["".join(r.choice("etaoinshrdlu") for _ in range(1_000_000)), "x" * 999_999]
+    began = time.perf_counter()
+    got = merges.encode([w.encode() for w in words])
+    assert time.perf_counter() - began < 30
+    for w, ids in zip(words, got):
+        assert ids.tolist() == library.encode(w, add_special_tokens=False).ids, len(w)
+
+
+def test_long_stretches_leave_the_memo(tokenizer, library, monkeypatch):
+    monkeypatch.setattr(token_files, "_MEMO_CHARS", 1000)
+    enc = token_files.LibraryEncoder(tokenizer)
+    texts = ["short words here", "y" * 900 + " " + "z" * 900, "short words here", "y" * 900]
+    for text in texts:
+        assert enc.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(enc.memo) <= 5 and max(map(len, enc.known)) <= 256
+
+
 def test_library_encoder_equals_library(tokenizer, library):
     enc = token_files.LibraryEncoder(tokenizer)
     for text in ODD + random_texts(500):

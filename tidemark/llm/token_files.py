@@ -33,7 +33,8 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces
 SEQ_LEN = 2048
 BATCH_SEQS = 256
 END_ID = 1
-_MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES = 800_000, 400_000, 300_000
+_MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES, _MEMO_CHARS = 800_000, 400_000, 300_000, 1 << 25
+_LONG_PIECE = 256
 # Anything but ASCII and the composed letters of Latin-1 and Latin Extended-A (dotted capital I aside).
 _UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _ENCODERS: dict[str, "LibraryEncoder"] = {}
@@ -43,25 +44,31 @@ class ChunkMemo(dict):
     """Remembers the ids of stretches between white space, which no piece of the tokenizer crosses.
 
     The dict maps a stretch to its place in ``starts`` and ``sizes``; a new one gets the next place and
-    waits in ``new`` until ``settle``. Memory stays bounded: ``trim`` keeps the stretches that came first, among which the frequent ones are.
+    waits in ``new`` until ``settle``. Memory stays bounded: ``trim`` keeps the stretches that came first, among which the frequent ones are, and none where long ones fill it.
     """
 
     def __init__(self, dtype):
         self.dtype = dtype
         self.new: list[str] = []
+        self.chars = 0
         self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def trim(self, most: int = _MEMO_WORDS, kept: int = _MEMO_KEPT) -> None:
+        if self.chars > _MEMO_CHARS:  # long stretches: their like hardly comes back
+            self.clear()
+            self.used = self.chars = 0
         if len(self) > most:
             first = list(islice(self.items(), kept))
             self.clear()
             self.update(first)
             self.used = int(self.starts[kept - 1] + self.sizes[kept - 1])
+            self.chars = sum(map(len, self))
 
     def __missing__(self, chunk: str) -> int:
         at = self[chunk] = len(self)
         self.new.append(chunk)
+        self.chars += len(chunk)
         return at
 
     def places(self, text: str) -> np.ndarray:
@@ -112,7 +119,7 @@ class LibraryEncoder:
         ids = self.known.get(piece)
         if ids is None:
             ids = self.raw([t.id for t in self.tokenize(self.spell(piece))])
-            if len(self.known) < _MEMO_PIECES:
+            if len(self.known) < _MEMO_PIECES and len(piece) <= _LONG_PIECE:
                 self.known[piece] = ids
         return ids
 

@@ -5,12 +5,12 @@
 shares prefixes and suffixes. Its arcs carry numbers whose sum along a path is the word's
 rank in sorted order, and the rank selects the word's id output. The automaton is one file of
 plain arrays in the shared folder, which workers memory-map. Words that it lacks are merged
-exactly, many at a time, by the ranks of the tokenizer's merge list. The lexicon only decides
+exactly by the ranks of the tokenizer's merge list, short ones many at a time, long ones through a heap. The lexicon only decides
 which way a word takes; both ways give the same ids.
 
 Defined cases: null text is empty, empty text has no ids; special-token strings in a text
 become their ids, as the library has it; repeated rows each get a row; an empty table gives an
-empty automaton and no rows; further columns are ignored. Memory is bounded: the memo of stretches is trimmed at a fixed size.
+empty automaton and no rows; further columns are ignored. Memory is bounded: the memo of stretches is trimmed at a fixed number and length.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ SUMMARY_WORDS = 60_000
 _MEMO = (400_000, 200_000)
 _CODERS: dict[tuple[str, str], "Coder"] = {}
 _NONE = np.iinfo(np.int32).max
+_PLACE = (1 << 40) - 1
+LONG_WORD = 128
+_LONG_CHUNK, _LEXICON_BYTES = 256, 64
 
 
 # --- the tokenizer file ------------------------------------------------------------------
@@ -52,6 +56,7 @@ class Merges:
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]]
         keys = np.array([a << 32 | b for a, b, _ in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
+        self.pairs: dict[int, tuple[int, int]] = {}
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), np.array([c for *_, c in pairs], np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -62,7 +67,9 @@ class Merges:
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word (UTF-8). Words of similar length are merged together, in chunks of bounded size."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for i in (i for i, w in enumerate(words) if len(w) > LONG_WORD):
+            out[i] = self.encode_long(words[i])
+        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda i: len(words[i]))
         a = 0
         while a < len(order):
             b = a + 1
@@ -73,6 +80,40 @@ class Merges:
             a = b
         return out
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """The same merges in ``n log n`` steps: tokens in a linked list, pairs in a heap by rank, then place."""
+        if not self.pairs:
+            self.pairs.update(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made[self.ranks].tolist())))
+        raw = np.frombuffer(word, np.uint8)
+        start = self.inner[raw]
+        start[-1] = self.last[raw[-1]]
+        rank = self.rank(start[:-1], start[1:]).astype(np.int64)
+        at = np.flatnonzero(rank < _NONE)
+        heap = (rank[at] << 40 | at).tolist()
+        heapify(heap)
+        ids, n, known = start.tolist(), len(start), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = heappop(heap)
+            i = entry & _PLACE
+            j = after[i]
+            if ids[i] < 0 or j == n:
+                continue
+            found = known(ids[i] << 32 | ids[j])
+            if found is None or found[0] != entry >> 40:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if new := known(ids[i] << 32 | ids[k]):
+                    heappush(heap, new[0] << 40 | i)
+            h = before[i]
+            if h >= 0 and (new := known(ids[h] << 32 | ids[i])):
+                heappush(heap, new[0] << 40 | h)
+        flat = np.array(ids, np.int64)
+        return flat[flat >= 0]
+
     def _chunk(self, words: list[bytes], places: list[int], out: list) -> None:
         size = np.array([len(w) for w in words])
         n, width = len(words), int(size.max(initial=0))
@@ -223,7 +264,11 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, summary: int = S
             for text in batch.column(0):
                 for k, part in enumerate(split_specials(text.as_py() or "")):
                     if not k % 2:
-                        seen.update(chunks_of(part))
+                        for chunk in chunks_of(part):
+                            if len(chunk) <= _LONG_CHUNK:
+                                seen[chunk] += 1
+                            else:  # its pieces are stretches too; those too long for the lexicon would only fill memory
+                                seen.update(p for p in pieces(chunk) if len(p) <= _LEXICON_BYTES)
                 if len(seen) > 4 * summary:
                     seen = shrink(seen)
         if len(seen) > summary:
@@ -241,7 +286,7 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, summary: int = S
         return Counter({w: c - cut for w, c in seen.items() if c > cut})
 
     counted = docs.select("text").mapInArrow(count, "word string, n long")
-    words = materialize(counted.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    words = materialize(counted.where(F.octet_length("word") <= _LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     # A histogram over powers of two finds a count that few words reach, so the sort sees a bounded number of them.
     steps = sorted(((r.k, r.m) for r in words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True)
     least, seen = 1 << 62, 0
