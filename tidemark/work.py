@@ -1,27 +1,40 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables and files in the folder that driver and executors share.
+
+``spark.checkpoint.dir`` names that folder. Only a local master (tests) may do without: a cluster
+without it is an error, since a machine-local temporary folder is invisible to the other machines.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local master may do without."""
+    """The shared folder of this session, as a URI or a path."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-work-"))
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared one; nothing is created yet."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -29,3 +42,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arrow_uri(uri: str) -> str:
+    """Hadoop's name of a folder as Arrow spells it: ``s3a`` is its ``s3``, and blob storage is reached by ``abfss``."""
+    if uri.startswith("/"):
+        return "file://" + uri
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    return re.sub(r"^wasb(s?)://([^@/]+)@([^./]+)\.blob\.", r"abfs\1://\2@\3.dfs.", uri)
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a URI or an absolute path, and the path in it."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def discard(folders: list[str]) -> None:
+    """Remove folders that ``fresh`` has named, and forget them; those never created or already gone are no error."""
+    for folder in folders:
+        fs, path = open_fs(folder)
+        if fs.get_file_info(path).type != pafs.FileType.NotFound:
+            fs.delete_dir(path)
+        if folder in _MADE:
+            _MADE.remove(folder)
+
+
+@contextmanager
+def passing() -> Iterator[list[str]]:
+    """Folders named inside are removed at the end, those put on the yielded list aside. What reads them must have run by then."""
+    before, kept = len(_MADE), []
+    try:
+        yield kept
+    finally:
+        discard([f for f in _MADE[before:] if f not in kept])
+
+
+def clean_up() -> None:
+    """Remove all tables and files that this process has put into shared folders: queries' results must have been read."""
+    discard(list(_MADE))
