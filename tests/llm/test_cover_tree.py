@@ -55,3 +55,51 @@ def test_clusters_are_pruned():
         order = [j for j in np.lexsort((ids, -want[row])) if j != own][:5]
         assert i[q == own].tolist() == order
     assert stats["compared"] < 0.3 * 400 * 20000
+
+
+def test_every_node_covers_and_separates():
+    r = np.random.default_rng(4)
+    shapes = [r.normal(size=(3000, 3)) * 500, np.repeat(r.normal(size=(30, 16)) * 2000, 100, axis=0) + r.normal(size=(3000, 16)) * 5, np.ones((500, 4)), np.zeros((0, 4))]
+    inner = 0
+    for x in (np.floor(s).astype(np.int64) for s in shapes):
+        t = cover_tree.CoverTree(np.arange(len(x)), x, 16, 4)
+        assert np.array_equal(t.points, x[t.ids]) and sorted(t.ids) == list(range(len(x)))
+        for i in range(len(t.radius)):
+            part = t.points[t.start[i] : t.stop[i]]
+            if len(part):
+                assert np.isclose(np.linalg.norm(part - t.centres[i], axis=1).max(), t.radius[i])
+            kids = np.arange(t.first[i], t.last[i])
+            if len(kids):
+                inner += 1
+                assert t.start[kids[0]] == t.start[i] and t.stop[kids[-1]] == t.stop[i] and (t.stop[kids[:-1]] == t.start[kids[1:]]).all()
+                assert (t.radius[kids] <= t.radius[i] / 2 + 1e-6).all()
+                apart = np.linalg.norm(t.centres[kids][:, None] - t.centres[kids][None], axis=2)
+                assert (apart[~np.eye(len(kids), dtype=bool)] > t.radius[i] / 2).all()
+    assert inner > 20
+
+
+def test_saved_trees_come_back(tmp_path):
+    t = cover_tree.CoverTree(np.arange(200), np.arange(800).reshape(200, 4) ** 2 % 977, 8)
+    t.save(str(tmp_path / "t.npz"))
+    back = cover_tree.CoverTree.load(str(tmp_path / "t.npz"))
+    assert all(np.array_equal(getattr(t, f), getattr(back, f)) for f in (*t.FIELDS, "centres", "norms"))
+
+
+def test_bounds_prune_across_blocks(spark):
+    """Clusters over many blocks: most pairs of query group and block are never read, and few products are made in the rest."""
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(24, 16)) * 8
+    x = np.repeat(centre, 250, axis=0) + r.normal(size=(6000, 16)) * 0.02
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    told = cover_tree.search_blocks(t, block_rows=400, query_rows=20).where("query_id is null").toPandas()
+    groups, blocks = told["grp"].nunique(), 24
+    assert told["block"].nunique() >= 12 and len(told) < 0.3 * groups * blocks
+    assert told["compared"].sum() < 0.2 * 120 * 6000
+    assert run(spark, rows, block_rows=400, query_rows=20) == brute(rows)
+
+
+def test_one_vector_a_third_of_all_rows(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [1.0, 1.0, 1.0, 1.0] if i % 3 == 0 else [float(c) for c in r.normal(size=4)]) for i in range(900)]
+    assert run(spark, rows, block_rows=64, query_rows=4, chunk=3) == brute(rows)

@@ -1,51 +1,14 @@
-"""The folder that driver and executors share, and files in it.
-
-Every intermediate table and every output file of this subpackage goes below the
-folder that ``spark.checkpoint.dir`` names. Only a local master (tests) may do
-without that setting; a cluster without it is an error, since a machine-local
-temporary folder is invisible to the other machines.
-"""
+"""What the operators of this subpackage take from ``tidemark.work``, and names for files of tasks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, as a URI or a path."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return "file://" + _LOCAL[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared one; nothing is created yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: its lineage ends there."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
+from tidemark.work import cut as materialize, discard, fresh as new_folder, open_fs, passing, shared_folder as shared_dir
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a URI or an absolute path, and the path in it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+__all__ = ["discard", "materialize", "new_folder", "open_fs", "passing", "shared_dir", "task_name"]
 
 
 def task_name(stem: str) -> str:
