@@ -49,7 +49,7 @@ def test_documents_against_brute_force(docs):
 def test_odd_documents(odd_docs, empty_docs):
     check(odd_docs)
     assert simhash.components(empty_docs).collect() == []
-    assert simhash.deduplicate(empty_docs).collect() == []
+    assert simhash.one_of_each_component(empty_docs).collect() == []
 
 
 def clustered(n, seed):
@@ -102,13 +102,28 @@ def test_long_chain_closes(spark):
     assert sorted(r.node for r in got) == list(range(1, 301)) and {r.root for r in got} == {0}
 
 
-def test_deduplicate_keeps_one_of_each_group(docs, odd_docs):
-    for table in (docs, odd_docs):
-        kept = simhash.deduplicate(table)
-        assert kept.columns == table.columns
-        want = {r.component_id for r in simhash.components(table).collect()}
-        ids = [r.doc_id for r in kept.collect()]
-        assert sorted(map(repr, ids)) == sorted(map(repr, want))
+def test_large_shards_meet_in_blocks(spark, monkeypatch):
+    """Blocks stay bounded, and no link between nodes of a shard is lost."""
+    fp = clustered(900, 11)
+    rows = [(int(i % 2), int(x), bool(i % 3)) for i, x in enumerate(fp.view(np.int64))]
+    dealt = spark.createDataFrame(rows, "shard int, fp long, home boolean")
+    want = {(s, *sorted((a, b))) for s, a, h in rows for t, b, _ in rows if s == t and h and a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    found, blocks = set(), {}
+    for r in simhash.in_blocks(dealt, most=120).collect():
+        blocks.setdefault((r.shard, r.block), []).append((r.fp, r.home))
+    for (shard, _), nodes in blocks.items():
+        assert len(nodes) < 3 * 120
+        home, guest = (np.array([x for x, h in nodes if h == side], np.int64).view(np.uint64) for side in (True, False))
+        for a, b in simhash.close_pairs(home, guest, 2):
+            found |= {(shard, *sorted((int(x), int(y)))) for x, y in zip(a.view(np.int64), b.view(np.int64)) if x != y}
+    assert len(blocks) > 8 and found == want
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 100)
+    nodes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in simhash.star_closure(simhash.link_forest(nodes, 2)).collect()}
+    classes = {}
+    for x, c in zip(fp.view(np.int64).tolist(), brute_components([(i, int(x)) for i, x in enumerate(fp)])):
+        classes.setdefault(c, set()).add(roots.get(x, x))
+    assert all(len(s) == 1 for s in classes.values()) and len({next(iter(s)) for s in classes.values()}) == len(classes)
 
 
 def test_near_dedup_keeps_one_row_of_each_component(spark, docs, odd_docs, empty_docs):

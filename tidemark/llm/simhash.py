@@ -7,7 +7,7 @@
    nodes also visit the outside, as queries. Every pair thus meets in exactly one shard as (home, home)
    or (visitor, home).
 3. A shard repeats the same recursion over its own nodes down to small leaves and compares those
-   bit by bit. Its links leave it as a forest, so a group of n nodes gives n - 1 rows, never n * n.
+   bit by bit; a shard of more than ``BLOCK_NODES`` nodes is worked in blocks. Its links leave it as a forest, so a group of n nodes gives n - 1 rows, never n * n.
 4. The forests are joined by alternating large-star and small-star steps (Kiveris and others, 2014), each
    written to the shared folder.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import discard, materialize, new_folder
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -35,6 +35,7 @@ SEED = 42
 SHARD_NODES = 2048
 MOST_SHARDS = 4096
 SAMPLE_NODES = 16384
+BLOCK_NODES = 1 << 18
 LEAF_NODES = 512
 _STRIPE = 1 << 16
 
@@ -190,7 +191,28 @@ def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(compare, "a long, b long")
+    return in_blocks(dealt).groupBy("shard", "block").applyInPandas(compare, "a long, b long")
+
+
+def in_blocks(dealt: DataFrame, most: int | None = None) -> DataFrame:
+    """Adds ``block``: groups of ``shard, block`` hold a bounded number of nodes and every pair of a shard meets in one.
+
+    A shard of up to ``most`` nodes is one block. A larger one, as space allows no even cut, is dealt by hash into slices: each slice of
+    homes meets each slice of all its nodes, which come as guests.
+    """
+    dealt = materialize(dealt, "dealt")
+    half = (most or BLOCK_NODES) // 2
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+    large = sizes.where(F.col("n") > 2 * half).select("shard", F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("cols"))
+    # One row a large shard, of which there are at most ``MOST_SHARDS``.
+    marked = dealt.join(F.broadcast(large), "shard", "left")
+    small = marked.where("rows is null").select("shard", F.lit(0).alias("block"), "fp", "home")
+    split = marked.where("rows is not null")
+    row, col = F.pmod(F.xxhash64("fp", F.lit(1)), "rows").cast("int"), F.pmod(F.xxhash64("fp", F.lit(2)), "cols").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    homes = split.where("home").select("shard", "fp", "cols", row.alias("i"), every("cols").alias("j")).select("shard", (F.col("i") * F.col("cols") + F.col("j")).alias("block"), "fp", F.lit(True).alias("home"))
+    guests = split.select("shard", "fp", "cols", col.alias("j"), every("rows").alias("i")).select("shard", (F.col("i") * F.col("cols") + F.col("j")).alias("block"), "fp", F.lit(False).alias("home"))
+    return small.unionByName(homes).unionByName(guests)
 
 
 def star_closure(links: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
@@ -210,12 +232,19 @@ def star_closure(links: DataFrame, name: str = "links", most_rounds: int = 60) -
         moved = side.join(low, side.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return oriented(moved if large else moved.union(low.select("u", "m")))
 
-    e = materialize(oriented(links), name)
+    def written(e: DataFrame) -> tuple[DataFrame, str]:
+        folder = new_folder(e.sparkSession, name)
+        e.write.parquet(folder)
+        return e.sparkSession.read.schema(e.schema).parquet(folder), folder
+
+    e, folder = written(oriented(links))
     was = summary(e)
     for _ in range(most_rounds):
         if not was[0]:
             break
-        e = materialize(star(star(e, True), False), name)
+        last = folder
+        e, folder = written(star(star(e, True), False))
+        discard([last])
         now = summary(e)
         if now == was:
             break
@@ -236,24 +265,10 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BI
     return fp.join(class_of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one document of each component: that with the smallest ``doc_id``.
-
-    Of rows with equal ``doc_id`` one stays, the first by text. All columns of ``docs`` stay.
-    """
-    kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.select(F.struct("*").alias("d"), "doc_id", "text").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    # A plain equality finds the rows where the window has put them; a null-safe one would move all texts again.
-    named = first.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    nameless = first.where("doc_id is null").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return named.unionByName(nameless).select("d.*")
-
-
 def one_of_each_component(docs: DataFrame) -> DataFrame:
     """Exactly one row of ``docs`` for each component: that with the smallest ``doc_id`` (null last), then by the text's digest.
 
-    Unlike ``deduplicate``, it tells rows of equal or null ``doc_id`` apart by their text. All columns of ``docs`` stay.
+    Rows of equal or null ``doc_id`` are told apart by their text, and rows equal in both are copies. All columns of ``docs`` stay.
     """
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), digest.alias("digest"))
