@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
 
@@ -74,6 +76,42 @@ def test_mix_documents_repeats_rows(docs, odd_docs):
         assert sorted(repr(r.doc_id) for r in out.collect()) == want
 
 
+def scalar_step(a, x, rise):
+    """One pivotal step over (size, p) in plain arithmetic: a rises while x falls, or the reverse, until one is whole."""
+    give = min(a[0] * (1 - a[1]), x[0] * x[1]) if rise else min(a[0] * a[1], x[0] * (1 - x[1]))  # words
+    sign = 1 if rise else -1
+    return a[1] + sign * give / a[0], x[1] - sign * give / x[0]
+
+
+def test_a_step_equals_scalar_arithmetic_and_keeps_expectations(spark):
+    r = random.Random(9)
+    pairs = [(n, r.randrange(1, 60), r.uniform(0.01, 0.99), r.randrange(1, 60), r.uniform(0.01, 0.99)) for n in range(400)]
+    again = [(1000 + n, 7, 0.3, 20, 0.85) for n in range(6000)]
+    rows = spark.createDataFrame([(n, n * 31, s, p, n * 37 + 5, t, q) for n, s, p, t, q in pairs + again], "n long, ka long, sa long, pa double, kx long, sx long, px double")
+    item = lambda k, d, s, p: F.struct(F.col(k).alias("key"), F.lit(d).cast("long").alias("doc_id"), F.lit(1).alias("nth"), F.col(s).alias("size"), F.col(p).alias("p"))
+    done = F.array().cast("array<struct<doc_id:bigint,key:bigint,nth:int,size:bigint,extra:int>>")
+    met = rows.select("n", "sa", "pa", "sx", "px", mixing._meet(F.struct(item("ka", 1, "sa", "pa").alias("open"), done.alias("done")), item("kx", 2, "sx", "px")).alias("m")).collect()
+    mean = [0.0, 0.0]
+    for m in met:
+        (out,), stay = m.m.done, m.m.open
+        got = {out.doc_id: float(out.extra), stay.doc_id: stay.p}
+        rise = got[1] > m.pa
+        assert (got[1], got[2]) == pytest.approx(scalar_step((m.sa, m.pa), (m.sx, m.px), rise), abs=1e-9)
+        assert m.sa * got[1] + m.sx * got[2] == pytest.approx(m.sa * m.pa + m.sx * m.px)
+        if m.n >= 1000:
+            mean[0] += got[1] / len(again)
+            mean[1] += got[2] / len(again)
+    assert mean == pytest.approx([0.3, 0.85], abs=0.02)
+
+
+def test_the_text_decides_between_rows_equal_otherwise(spark):
+    """Rows of equal id, source and size, null ids too: reruns over other partitions repeat the same texts."""
+    rows = [(None if i % 2 else 7, f"text number {i % 50} " + "w " * 5, "s") for i in range(200)] + [(i + 100, "w " * (i % 9), "t") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, second = (sorted(map(repr, mixing.mix_documents(t).collect())) for t in (docs.repartition(3), docs.repartition(8, "text")))
+    assert first == second and len(first) == sum(r.copies for r in mixing.mix(docs).collect() if r.size)
+
+
 def test_native_plan(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -10,7 +10,7 @@ words miss their target by less than one document. A hot source only has more bl
 
 All chances come from hashes of ids and sizes, so reruns agree whatever the partitioning.
 
-Defined cases: null texts have size 0 and no copies to take; a null source is a source of its own, last in order; documents of equal id and
+Defined cases: null texts have size 0 and no copies to take; a null source is a source of its own, last in order; documents of equal id, source and
 size are interchangeable and each get a row; a null ``doc_id`` is a document like any other; an empty table gives no rows;
 further columns are ignored by ``mix`` and kept by ``mix_documents``.
 """
@@ -82,10 +82,16 @@ def _fold(items: Column, done_type: str) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first, _meet)
 
 
+def row_key() -> Column:
+    """A hash of what tells documents apart here; never null, so rows with null ids spread like others."""
+    return F.xxhash64("doc_id", "source", "size")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, nth``; ``nth`` numbers rows that share a ``doc_id``, by source and size."""
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
+    """``doc_id, source, size, nth``; ``nth`` numbers rows of one ``row_key``, by id, source and size."""
+    rows = docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("_row_key", row_key())
+    order = Window.partitionBy("_row_key").orderBy("doc_id", "source", "size")
+    return rows.withColumn("nth", F.row_number().over(order)).drop("_row_key")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def mix(docs: DataFrame) -> DataFrame:
             break
         level = folded.select(*columns, F.col("state.open").alias("item"), F.floor(F.col("block") / FAN).alias("block"))
         n = -(-n // FAN)
-    last = F.col("state.open")
+    last = F.col("state.open")  # of each source
     out.append(folded.select(last["doc_id"].alias("doc_id"), last["nth"].alias("nth"), last["size"].alias("size"), *columns, (_chance(last["key"], F.lit("last")) < last["p"]).cast("int").alias("extra")))
     result = out[0]
     for part in out[1:]:
@@ -129,14 +135,14 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Documents without words go."""
-    taken = mix(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "copies")
-    order = Window.partitionBy("doc_id").orderBy("source", "size")
-    numbered = docs.select(F.struct("*").alias("d"), "doc_id", "source", word_count("text").alias("size")).withColumn("nth", F.row_number().over(order))
-    # The rows stay where the window has put them, by doc_id: the number is compared by difference, and ids by plain equality,
-    # for a null-safe one would move all texts again.
-    same = F.col("nth") - F.col("_nth") == 0
-    named = numbered.join(taken, (F.col("doc_id") == F.col("_id")) & same)
-    nameless = numbered.where("doc_id is null").join(taken.where("_id is null"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_nth")))
-    both = named.select("d", "copies").unionByName(nameless.select("d", "copies"))
+    """The rows of ``docs``, each as often as the mix takes it. Documents without words go.
+
+    Of rows equal in id, source and size, which one the mix repeats is decided by a hash of their texts.
+    """
+    taken = mix(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).select(row_key().alias("_taken"), F.col("nth").alias("_nth"), "copies")
+    rows = docs.select(F.struct("*").alias("d"), "doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"))
+    order = Window.partitionBy("_row_key").orderBy("doc_id", "source", "size", "text_hash")
+    numbered = rows.withColumn("_row_key", row_key()).withColumn("_row_no", F.row_number().over(order))
+    # The rows stay where the window has put them: their number is compared by difference, so it is no key to shuffle by.
+    both = numbered.join(taken, (F.col("_row_key") == F.col("_taken")) & (F.col("_row_no") - F.col("_nth") == 0))
     return both.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")
