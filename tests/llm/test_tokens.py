@@ -126,3 +126,30 @@ def test_shards_hold_equal_sequences_and_masks(spark, docs, tokenizer):
         assert bits.sum() == m.n_tokens and bits[: m.n_tokens].all()
         assert len(np.concatenate(ids.views)) - m.n_tokens < 64
         del keep
+
+
+def test_shards_roll_at_a_size_and_stream(spark, docs, tokenizer):
+    """Many shards a partition give the same rows; the streaming reader gives the same slices as the mapped one."""
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = sorted(token_files.token_digest(docs, tokenizer).select(*columns).collect())
+    manifest = token_files.write_token_files(docs, tokenizer, new_folder(spark, "t"), seq_len=64, shards=3, shard_tokens=5000)
+    rows = manifest.collect()
+    assert len(rows) > 6 and max(r.part for r in rows) > 1
+    assert sorted(token_files.read_token_files(manifest).select(*columns).collect()) == whole
+    for m in rows[:3]:
+        mapped, _, keep = token_files.open_shard(m.ids_path)
+        passing, at = token_files.Passing(m.ids_path), 0
+        for n in (1, 0, 700, 64, 20_000):
+            n = min(n, m.n_tokens - at)
+            assert np.array_equal(passing.get(at, n), mapped.get(at, n))
+            at += n
+        passing.close()
+        del keep
+
+
+def test_arrow_names_of_hadoop_folders():
+    from tidemark.work import arrow_uri
+
+    assert arrow_uri("/a/b") == "file:///a/b" and arrow_uri("file:/a") == "file:/a" and arrow_uri("hdfs://n:1/a") == "hdfs://n:1/a"
+    assert arrow_uri("s3a://bucket/a") == arrow_uri("s3n://bucket/a") == "s3://bucket/a"
+    assert arrow_uri("wasbs://box@acc.blob.core.windows.net/a") == "abfss://box@acc.dfs.core.windows.net/a"

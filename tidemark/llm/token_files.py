@@ -1,10 +1,10 @@
 """Token-ID / binary output: Arrow files of equal-length sequences, for zero-copy random access.
 
 Documents are range-partitioned by ``doc_id`` and encoded in order; each partition
-becomes one shard. A shard is an Arrow IPC stream file whose record batches hold
+becomes one shard, or several of at most ``SHARD_TOKENS`` and a document more. A shard is an Arrow IPC stream file whose record batches hold
 ``ids: fixed_size_list<uint16|uint32>[seq_len]`` and ``mask: fixed_size_list<uint8>[seq_len / 8]``
 (one bit a token, least bit first; 0 only in the padding of a shard's last sequence), never
-compressed, so a reader maps the file and slices. A second stream file beside it lists
+compressed, so a reader maps the file and slices; where the folder is no local disk, it streams the batches one by one. A second stream file beside it lists
 ``doc_id, start, n_tokens`` within the shard. A manifest row per shard gives the paths,
 the shard's order and its totals; the prefix sum over the manifest makes starts global.
 
@@ -33,6 +33,7 @@ from tidemark.llm.wordsplit import byte_letters, chunks_of, pieces
 SEQ_LEN = 2048
 BATCH_SEQS = 256
 END_ID = 1
+SHARD_TOKENS = 1 << 27
 _MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES, _MEMO_CHARS = 800_000, 400_000, 300_000, 1 << 25
 _LONG_PIECE = 256
 # Anything but ASCII and the composed letters of Latin-1 and Latin Extended-A (dotted capital I aside).
@@ -213,10 +214,11 @@ class ShardWriter:
             x.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN, shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN, shards: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode every text and write the shards; returns the manifest, one row per shard.
 
-    ``seq_len`` must be a multiple of 8. ``shards`` defaults to ``spark.sql.shuffle.partitions``.
+    ``seq_len`` must be a multiple of 8. ``shards``, the number of partitions, defaults to ``spark.sql.shuffle.partitions``; a
+    partition of more tokens than ``shard_tokens`` goes on in a next shard (``part`` counts them).
     """
     if seq_len % 8:
         raise ValueError("seq_len must be a multiple of 8")
@@ -227,19 +229,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, out, rows = encoder(tokenizer), None, 0
+        enc, out, rows, part = encoder(tokenizer), None, 0, 0
+        told = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "part": pa.array([part], pa.int32()), "ids_path": [out.ids_path], "docs_path": [out.docs_path], "n_docs": [rows], "n_tokens": [out.total]})
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = out or ShardWriter(folder, task_name("shard"), enc.dtype, seq_len)
                 out.add(doc_id, np.append(enc.encode(text.as_py() or ""), enc.dtype(end_id)))
                 rows += 1
+                if out.total >= shard_tokens:
+                    out.close()
+                    yield told()
+                    out, rows, part = None, 0, part + 1
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids_path": [out.ids_path], "docs_path": [out.docs_path], "n_docs": [rows], "n_tokens": [out.total]})
+            yield told()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ranged = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(ranged.mapInArrow(write, "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"), "token-manifest")
+    return materialize(ranged.mapInArrow(write, "shard int, part int, ids_path string, docs_path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def open_shard(ids_path: str) -> tuple[np.ndarray, np.ndarray, list]:
@@ -273,34 +280,66 @@ class Slices:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else self.views[0][:0]
 
 
+class Passing:
+    """The same slices in ascending order from a file that cannot be mapped: one batch at a time, whatever its size."""
+
+    def __init__(self, ids_path: str):
+        fs, path = open_fs(ids_path)
+        self.stream = fs.open_input_stream(path)
+        self.batches = iter(pa.ipc.open_stream(self.stream))
+        self.view, self.begins = np.zeros(0, np.uint32), 0
+
+    def get(self, start: int, n: int) -> np.ndarray:
+        parts = [self.view[:0]]
+        while n:
+            a = start - self.begins
+            if a >= len(self.view):
+                self.begins += len(self.view)
+                self.view = next(self.batches).column(0).flatten().to_numpy(zero_copy_only=True)
+                continue
+            parts.append(self.view[a : a + n])
+            start, n = start + len(parts[-1]), n - len(parts[-1])
+        return parts[-1] if len(parts) < 3 else np.concatenate(parts[1:])
+
+    def close(self) -> None:
+        self.stream.close()
+
+
+def is_local(path: str) -> bool:
+    return isinstance(open_fs(path)[0], pa.fs.LocalFileSystem)
+
+
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``before``, the ids of all earlier shards. One row for each shard of up to ``shard_tokens`` ids goes through the window."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(F.lit(0)).orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row per document, read from the files: ``doc_id, shard, start_in_shard, n_tokens, ids_crc32``."""
+    """One row per document, read from the files: ``doc_id, shard, start, n_tokens, ids_crc32``; ``start`` counts the ids of all documents before it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ids_path, docs_path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids, _, keep = open_shard(ids_path)
+            for shard, ids_path, docs_path, before in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, keep = open_shard(ids_path)[::2] if is_local(ids_path) else (Passing(ids_path), None)
                 fs, path = open_fs(docs_path)
                 with fs.open_input_stream(path) as f:
                     for b in pa.ipc.open_stream(f):
                         if b.num_rows:
-                            crc = [zlib.crc32(ids.get(a, n).astype("<u4").tobytes()) for a, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-                            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, shard, np.int32)), b.column(1), b.column(2), pa.array(crc, pa.int64())], names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids_crc32"])
+                            starts = b.column(1).to_numpy()
+                            crc = [zlib.crc32(ids.get(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), b.column(2).to_pylist())]
+                            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, shard, np.int32)), pa.array(starts + before), b.column(2), pa.array(crc, pa.int64())], names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
+                if keep is None:
+                    ids.close()
                 del ids, keep
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = manifest.select("shard", "ids_path", "docs_path").repartitionByRange(n, "shard")
-    return slim.mapInArrow(read, "doc_id long, shard int, start_in_shard long, n_tokens long, ids_crc32 long")
+    spread = with_starts(manifest).repartitionByRange(n, "shard", "part").select("shard", "ids_path", "docs_path", "before")
+    return spread.mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Write, read back, and give each document its global start.
-
-    The prefix sum runs over the manifest, which has one row per shard: a bound set by ``shards``, not by the data.
-    """
-    from pyspark.sql import Window
-
-    manifest = write_token_files(docs, tokenizer, **options)
-    before = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
-    read = read_token_files(manifest)
-    return read.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    """Write, read back: ``doc_id, start, n_tokens, ids_crc32, shard``."""
+    return read_token_files(write_token_files(docs, tokenizer, **options)).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
