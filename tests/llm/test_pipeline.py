@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -47,12 +48,41 @@ def digest(library, text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def test_odd_documents_go_through(spark, odd_docs, empty_docs):
-    for table in (odd_docs, empty_docs):
-        now = table
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, DATA)
-            now.collect()
+def test_odd_documents_go_through(spark, odd_docs, empty_docs, tokenizer):
+    """Rows, not ids, are counted: null and repeated ids must neither vanish nor multiply. Extra columns stay as they are."""
+    library = Tokenizer.from_file(tokenizer)
+    now = odd_docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, DATA)
+        before, after = (Counter(repr(tuple(r)) for r in t.collect()) for t in (now, out))
+        if name in ("quality", "toxicity"):
+            assert all(before[r] == n for r, n in after.items())  # copies of a row share its fate
+        elif name == "near_dedup":
+            assert all(n == 1 and r in before for r, n in after.items())
+            left, all_of = ({simhash.fingerprint(r.text) for r in t.collect()} for t in (out, now))
+            assert all(any(bin(f ^ g).count("1") <= 2 for g in left) for f in all_of)
+        elif name == "mix":
+            assert all(r in before and n <= 2 * before[r] for r, n in after.items())
+            assert sum(after.values()) == sum(r.copies for r in mixing.mix(now).collect() if r.size)
+        else:
+            want = sorted(repr((r.doc_id, *digest(library, r.text or ""))) for r in now.collect())
+            assert sorted(repr((r.doc_id, r.n_tokens, r.ids_sha256)) for r in out.collect()) == want
+            assert all(len(r.ids) == r.n_tokens and hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 for r in out.collect())
+        if name != "encode":
+            assert out.columns == odd_docs.columns
+        now = out
+    now = empty_docs
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, DATA)
+        assert now.collect() == []
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    from tidemark import work
+
+    made = len(work._MADE)
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert rows and len(work._MADE) == made + 1
 
 
 def test_every_operator_is_registered():

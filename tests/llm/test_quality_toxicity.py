@@ -1,8 +1,11 @@
 import itertools
+import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 
 from tidemark.llm import quality_crf, toxicity_mil, training
 
@@ -69,6 +72,29 @@ def test_noisy_or_finds_the_sentence(spark):
     assert [(f.doc_id, f.sentence_no) for f in found] == [(1, 2)] and "vile" in found[0].sentence
 
 
+def brute_log_odds(model, text):
+    """P / (1 - P) of 1 - prod(1 - p) over the sentences that count, each summed by hand."""
+    p = []
+    for s in toxicity_mil.sentences(text):
+        words = set(re.findall(r"[^\W\d_]+", s.lower()))
+        z = model.bias + sum(model.weights.get(m, 0.0) for w in words for m in [w, *(w[:k] + "-" for k in (4, 5, 6, 7, 8) if len(w) > k)])
+        p.append((z, 1 / (1 + math.exp(-z))))
+    offend = [x for x in p if x[0] >= model.gate] or [max(p)]
+    clean = math.prod(1 - x for _, x in offend)
+    return math.log((1 - clean) / clean)
+
+
+@pytest.mark.parametrize("gate", [-math.inf, -1.0, math.inf])
+def test_scores_equal_a_plain_noisy_or(gate):
+    r = random.Random(2)
+    words = ["vile", "vilest", "trash", "garbage", "kind", "lovely", "Hateful", "ok"]
+    model = toxicity_mil.NoisyOr().fit([], np.zeros(0), np.zeros(0))
+    model.weights = {m: r.uniform(-2, 3) for w in words for m in toxicity_mil.marks_of(w.lower())}
+    model.bias, model.gate = -2.0, gate
+    texts = [" ".join(r.choice(words) + r.choice(["", "", ".", "!", "\n"]) for _ in range(r.randrange(1, 150))) for _ in range(60)]
+    assert model.raw(texts) == pytest.approx([brute_log_odds(model, t) for t in texts], abs=1e-6)
+
+
 def test_length_alone_is_not_toxic(spark):
     """Clean documents joined to a megabyte stay clean, with and without ends of sentences; a toxic sentence among them is found."""
     d, la = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import chat_format, cover_tree, mixing, quality_crf, quality_rules, simhash, token_files, toxicity_mil, transducer_bpe, warc_zstd
+from tidemark.llm.shared import materialize
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,7 +40,7 @@ def op4_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     made = spark.sql("select -1L as conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role)").withColumn("text", F.lit(chat_format.CONFLICT))
-    return chat_format.read_back(chat_format.format_turns(rows.unionByName(made)))
+    return chat_format.read_back(materialize(chat_format.format_turns(rows.unionByName(made)), "chat"))
 
 
 def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

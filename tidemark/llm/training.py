@@ -18,9 +18,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     """Texts, labels and weights to learn from, never with ``crc32(doc_id) % mod == held_out``.
 
     The bound: of each class the ``per_class`` ids that come first by a hash, and of these the documents of at most
-    ``chars`` characters. Weights restore the share of the classes among all usable labels. Rows with equal id count
-    once (highest label, first text).
+    ``chars`` characters. Labels without a document do not count. Weights restore the share of the classes among all usable labels.
+    Rows with equal id count once (highest label, first text).
     """
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(remainder("doc_id", mod) != held_out)
     usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     share = dict.fromkeys((0, 1), 0) | {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}

@@ -10,7 +10,7 @@ which way a word takes; both ways give the same ids.
 
 Defined cases: null text is empty, empty text has no ids; special-token strings in a text
 become their ids, as the library has it; repeated rows each get a row; an empty table gives an
-empty automaton and no rows; further columns are ignored. Memory is bounded: the memo of stretches is trimmed at a fixed number and length.
+empty automaton and no rows; further columns go. Memory is bounded: the memo of stretches is trimmed at a fixed number and length.
 """
 
 from __future__ import annotations
@@ -389,7 +389,7 @@ def small_groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, li
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
-    """``doc_id``, the ids and the decoded text of every document."""
+    """``doc_id``, the ids and the decoded text of every document; further columns go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer, lexicon)
@@ -401,19 +401,24 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<long>, decoded string")
 
 
-def encode_digest(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> DataFrame:
-    """Lexicon from all documents, then per document ``n_tokens`` and the hashes of its ids and of its decoded text."""
+def encode_digest(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
+    """Lexicon from all documents, then per document ``n_tokens`` and the hashes of its ids and of its decoded text; ``with_ids`` the ids too."""
     lexicon = build_transducer(frequent_words(docs, words), tokenizer, new_folder(docs.sparkSession, "lexicon"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer, lexicon)
         for batch in batches:
             for first, texts in small_groups(batch.column(1)):
-                n, a, b = [], [], []
+                kept, n, a, b = [], [], [], []
                 for ids in code.encode_batch(texts):
+                    kept += [ids.astype(np.int32)] if with_ids else []
                     n.append(len(ids))
                     a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     b.append(hashlib.sha256(code.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": batch.column(0).slice(first, len(texts)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *kept])))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

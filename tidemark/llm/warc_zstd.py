@@ -35,16 +35,21 @@ DATE = "1970-01-01T00:00:00Z"  # the tables carry no capture time
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """Adds ``payload_bytes, payload_digest, refers_to`` to ``page_id, url, html``. Only ids and digests are shuffled
-    to find the winners, which only groups of two or more have."""
+    """Adds ``payload_bytes, payload_digest, refers_to`` to ``page_id, url, html``.
+
+    Only ids and digests are shuffled to find the winners, which only heavy groups of two or more have. Where the winners are too many to
+    broadcast, the join shuffles each page once; light pages, which may all be alike, are then dealt by their ids.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     heavy = rows.where(F.col("payload_bytes") >= LEAST_REVISIT)
     winners = heavy.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
     winners = materialize(winners.select("payload_digest", "payload_bytes", "winner"), "warc-winners")
+    heavy_key = F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.col("payload_digest")).otherwise(F.concat_ws(":", F.lit("light"), "page_id"))
+    rows, winners = rows.withColumn("_key", heavy_key), winners.withColumnRenamed("payload_digest", "_key").withColumnRenamed("payload_bytes", "_bytes")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
-    return rows.join(winners, ["payload_digest", "payload_bytes"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    return rows.join(winners, (rows["_key"] == winners["_key"]) & (F.col("payload_bytes") == F.col("_bytes")), "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
 def record(page_id: int | None, url: str, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
@@ -93,7 +98,10 @@ def as_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def sample_records(rows: DataFrame) -> list[bytes]:
-    """Whole records of at most ``SAMPLE_RECORDS`` pages of at most 64 KiB, those first by a hash of their id."""
+    """Whole records of at most ``SAMPLE_RECORDS`` pages with ids and of at most 64 KiB, those first by a hash of their id.
+
+    The sample only shapes the dictionary; every page is archived.
+    """
     fit = rows.where(F.col("payload_bytes") <= 1 << 16)
     picked = fit.where(F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
     got = fit.join(F.broadcast(picked.distinct()), "page_id").groupBy("page_id").agg(F.min(F.struct("url", "html", "payload_bytes", "payload_digest")).alias("r"))
