@@ -179,6 +179,36 @@ def test_mentions_with_morphology(spark, sentence, want):
     assert got - {"T"} == want - {"T"} and ("T" in got) >= ("T" in want)
 
 
+EXCHANGE = [("MOEX", "Московская биржа"), ("CBOM", "Московский кредитный банк"), ("FEES", "ФСК-Россети"), ("SMLT", "Самолет"), ("POSI", "Группа Позитив"), ("ROSN", "Роснефть"), ("SVCB", "Совкомбанк"), ("ALRS", "АЛРОСА"), ("RUAL", "Русал")]
+
+
+@pytest.mark.parametrize(
+    "sentence, want",
+    [
+        ("торги на Московской бирже", {"MOEX"}),
+        ("акции московской биржи и московскую биржу", {"MOEX"}),
+        ("Мосбиржу закрыли", {"MOEX"}),
+        ("с Московским кредитным банком", {"CBOM"}),
+        ("в Московском кредитном банке", {"CBOM"}),
+        ("фск россетей, ФСК Россетям", {"FEES"}),
+        ("самолёта и Самолётом", {"SMLT"}),
+        ("Группе Позитив", {"POSI"}),
+        ("отчёт Роснефти, Роснефтью", {"ROSN"}),
+        ("Совкомбанку", {"SVCB"}),
+        ("московский банк; биржа в Московской области", set()),
+        ("самолетный, россетевой", set()),
+    ],
+)
+def test_adjectives_plurals_and_press_names(spark, sentence, want):
+    n = spark.createDataFrame([(1, sentence)], "news_id long, text string")
+    for few in (2000, 0):
+        mentions.FEW_FORMS, was = few, mentions.FEW_FORMS
+        try:
+            assert {r.ticker for r in mentions.search(spark, n, EXCHANGE, mentions.MEDIA, kind=None, also=mentions.PRESS_NAMES).collect()} == want
+        finally:
+            mentions.FEW_FORMS = was
+
+
 def test_media_variant_ignores_tickers(spark):
     n = spark.createDataFrame([(1, "SBER вырос", "media"), (2, "Сбер вырос", "tg")], "news_id long, text string, source_kind string")
     assert mentions.search(spark, n, SHARES, mentions.MEDIA).collect() == []

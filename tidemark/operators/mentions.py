@@ -1,6 +1,7 @@
-"""Mention search: a dictionary of word forms built once, texts exploded to words, one equi-join.
+"""Mention search: a dictionary of word forms built once, and one equi-join with the word sequences of the texts.
 
-Morphology is a rule: endings of Russian nouns replace a name's last vowel or follow its last consonant. Two variants: ``TELEGRAM`` also accepts tickers,
+Morphology is a rule: endings of Russian nouns and adjectives by case. In names of several words all words agree in case, or only the first or the last
+one is inflected (an apposition). ``ё`` reads as ``е`` in names and texts. Two variants: ``TELEGRAM`` also accepts tickers,
 ``MEDIA`` only names. Names of several words match as word sequences of their length. Securities listed as ``common``, whose one-word names are ordinary words,
 need a second sign: the name must be capitalised in the text or follow a quotation mark.
 """
@@ -8,18 +9,44 @@ need a second sign: the name must be capitalised in the text or follow a quotati
 from __future__ import annotations
 
 import re
-from collections.abc import Collection
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import NOT_WORD
 
-# Case endings of Russian nouns, singular and plural, first to third declension.
-AFTER_CONSONANT = ("", "а", "у", "ом", "е", "ы", "ов", "ам", "ами", "ах")
-AFTER_VOWEL = {"а": ("а", "ы", "и", "е", "у", "ой", "ою"), "я": ("я", "и", "е", "ю", "ей"), "ь": ("ь", "и", "ью", "я", "ю", "ем", "е"), "й": ("й", "я", "ю", "ем", "е"), "о": ("о", "а", "у", "ом", "е"), "е": ("е", "я", "ю", "ем")}
-
-
+# Endings of Russian nouns and adjectives in nominative, genitive, dative, accusative, instrumental and prepositional, singular and plural
+# together; what they replace is the key, longest first, and "" follows a last consonant.
+ADJECTIVES = {
+    "ый": (("ый",), ("ого",), ("ому",), ("ый", "ого"), ("ым",), ("ом",)),
+    "ий": (("ий",), ("ого", "его"), ("ому", "ему"), ("ий", "ого", "его"), ("им",), ("ом", "ем")),
+    "ой": (("ой",), ("ого",), ("ому",), ("ой", "ого"), ("ым", "им"), ("ом",)),
+    "ая": (("ая",), ("ой", "ей"), ("ой", "ей"), ("ую",), ("ой", "ою", "ей"), ("ой", "ей")),
+    "яя": (("яя",), ("ей",), ("ей",), ("юю",), ("ей", "ею"), ("ей",)),
+    "ое": (("ое",), ("ого",), ("ому",), ("ое",), ("ым", "им"), ("ом",)),
+    "ее": (("ее",), ("его",), ("ему",), ("ее",), ("им",), ("ем",)),
+    "ые": (("ые",), ("ых",), ("ым",), ("ые", "ых"), ("ыми",), ("ых",)),
+    "ие": (("ие",), ("их",), ("им",), ("ие", "их"), ("ими",), ("их",)),
+}
+NOUNS = {
+    "ия": (("ия", "ии"), ("ии", "ий"), ("ии", "иям"), ("ию", "ии"), ("ией", "иями"), ("ии", "иях")),
+    "а": (("а", "ы", "и"), ("ы", "и"), ("е", "ам"), ("у",), ("ой", "ою", "ей", "ами"), ("е", "ах")),
+    "я": (("я", "и"), ("и",), ("е", "ям"), ("ю",), ("ей", "ею", "ями"), ("е", "ях")),
+    "ь": (("ь", "и"), ("и", "я", "ей"), ("и", "ю", "ям"), ("ь", "я"), ("ью", "ем", "ями"), ("и", "е", "ях")),
+    "й": (("й", "и"), ("я", "ев"), ("ю", "ям"), ("й", "я"), ("ем", "ями"), ("е", "ях")),
+    "о": (("о", "а"), ("а",), ("у", "ам"), ("о",), ("ом", "ами"), ("е", "ах")),
+    "е": (("е", "я"), ("я", "ей"), ("ю", "ям"), ("е",), ("ем", "ями"), ("е", "и", "ях")),
+    "и": (("и",), ("ей", "ов", "ий"), ("ям", "ам"), ("и",), ("ями", "ами"), ("ях", "ах")),
+    "ы": (("ы",), ("ов",), ("ам",), ("ы",), ("ами",), ("ах",)),
+    "": (("", "ы", "и"), ("а", "ов"), ("у", "ам"), ("", "а"), ("ом", "ем", "ами"), ("е", "ах")),
+}
+# Other names that the press gives to issuers of the Moscow exchange.
+PRESS_NAMES = {"MOEX": ("Мосбиржа",), "SBER": ("Сбер", "Сбербанк"), "SBERP": ("Сбер", "Сбербанк"), "GMKN": ("Норникель",), "VTBR": ("ВТБ",), "T": ("Т-Банк", "Тинькофф"), "CBOM": ("МКБ",), "MTSS": ("МТС",), "FEES": ("Россети",)}
+
+
+FEW_FORMS = 2000  # what a literal of an expression may hold
 # A quotation mark before a letter or digit; it becomes a private character that no word holds.
 OPENING, _QUOTED = r"[«„“\"'](?=[\p{L}\p{N}])", "\ue000"
 
@@ -37,14 +64,34 @@ def words(name: str) -> list[str]:
     return re.findall(r"[^\W_]+", name.lower())
 
 
+def cases(word: str) -> list[set[str]]:
+    """Forms of a lower-case word by case; a word in Latin script, with digits, or short stays as it is."""
+    word = word.replace("ё", "е")
+    if not re.fullmatch("[а-я]{3,}", word):
+        return [{word}] * 6
+    out: list[set[str]] = [set() for _ in range(6)]
+    tables = [ADJECTIVES] if word.endswith(("ая", "яя", "ый", "ые", "ое", "ее")) and len(word) > 4 else [ADJECTIVES, NOUNS] if word.endswith(("ий", "ой", "ие")) else [NOUNS]
+    for table in tables:
+        end = next((e for e in table if e and word.endswith(e)), "")
+        if end or word[-1] not in "аеиоуыэюя":
+            for found, endings in zip(out, table.get(end, ())):
+                found.update(word[: len(word) - len(end)] + e for e in endings)
+    return [found or {word} for found in out]
+
+
 def forms(word: str) -> list[str]:
-    """Inflected forms of a lower-case word; words in Latin script and digits stay as they are."""
-    if not re.fullmatch("[а-яё]{3,}", word):
-        return [word]
-    last = word[-1]
-    if last in AFTER_VOWEL:
-        return sorted({word[:-1] + e for e in AFTER_VOWEL[last]})
-    return sorted({word + e for e in AFTER_CONSONANT}) if last not in "аеёиоуыэюя" else [word]
+    """All inflected forms of a lower-case word."""
+    return sorted(set().union(*cases(word)))
+
+
+def phrases(name: Sequence[str]) -> set[str]:
+    """Forms of a name: its words agree in case, or only the first or the last one is inflected, or both of them freely."""
+    by_case = [cases(w) for w in name]
+    out = {" ".join(p) for k in range(6) for p in product(*(c[k] for c in by_case))}
+    if len(name) > 1:
+        middle = [w.replace("ё", "е") for w in name[1:-1]]
+        out |= {" ".join([a, *middle, z]) for a in forms(name[0]) for z in forms(name[-1])}
+    return out
 
 
 def aliases(name: str) -> list[str]:
@@ -54,34 +101,35 @@ def aliases(name: str) -> list[str]:
     return [a for a in (re.sub(r"\([^)]*\)", " ", plain).strip(), *inside) if words(a)]
 
 
-def dictionary(securities: list[tuple[str, str]], variant: Variant) -> list[tuple[str, int, str]]:
-    """``form, n_words, ticker`` for (ticker, name) pairs. Only a name's last word is inflected, besides the first of several."""
+def dictionary(securities: list[tuple[str, str]], variant: Variant, also: Mapping[str, Sequence[str]] = {}) -> list[tuple[str, int, str]]:
+    """``form, n_words, ticker`` for (ticker, name) pairs; ``also`` has further names of a ticker, such as ``PRESS_NAMES``."""
     out = set()
     for ticker, name in securities:
-        for alias in aliases(name):
+        for alias in (*aliases(name), *also.get(ticker, ())):
             w = words(alias)
-            heads = forms(w[0]) if len(w) > 1 else [""]
-            for head in heads:
-                for tail in forms(w[-1]):
-                    out.add((" ".join([head, *w[1:-1], tail] if len(w) > 1 else [tail]), len(w), ticker))
+            out |= {(p, len(w), ticker) for p in phrases(w)}
         if variant.tickers and len(ticker) > 1:
             out.add((ticker.lower(), 1, ticker))
     return sorted(out)
 
 
-def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest: int, common: Collection[str] = ()) -> DataFrame:
+def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest: int, common: Collection[str] = (), known: Sequence[str] = ()) -> DataFrame:
     """Distinct ``key, ticker``. Sequences of up to ``longest`` words are exploded; the dictionary decides the join's side by its size.
 
-    Only with ``common`` are words told apart by case: a mark takes the place of an opening quotation mark, and words keep their first letter's case.
+    ``known``, the dictionary's forms where they are few, keeps all other sequences from being exploded at all. Only with ``common`` are words told apart by case: a mark takes the place of an opening quotation mark, and words keep their first letter's case.
     """
-    source, split_at = (F.regexp_replace(text, OPENING, f" {_QUOTED}"), NOT_WORD.replace("]", f"{_QUOTED}]")) if common else (F.lower(text), NOT_WORD)
+    plain = F.translate(text, "ёЁ", "еЕ")
+    source, split_at = (F.regexp_replace(plain, OPENING, f" {_QUOTED}"), NOT_WORD.replace("]", f"{_QUOTED}]")) if common else (F.lower(plain), NOT_WORD)
     w = F.filter(F.split(source, split_at), lambda t: t != "")
     listed = news.where(F.col(text).isNotNull()).select(F.col(key).alias(key), w.alias("_w"))
     # ``_w`` is a column by now, so each sequence costs a slice and no second split.
     def grams(n: int):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
 
-    seen = listed.select(key, F.explode(F.array_distinct(F.flatten(F.array(*map(grams, range(1, longest + 1)))))).alias("form"))
+    every = F.array_distinct(F.flatten(F.array(*map(grams, range(1, longest + 1)))))
+    if known and not common:
+        every = F.array_intersect(every, F.array(*map(F.lit, known)))
+    seen = listed.select(key, F.explode(every).alias("form"))
     if not common:
         return seen.join(forms_table.select("form", "ticker"), "form").select(key, "ticker").distinct()
     first = F.left("form", F.lit(1))  # the mark, or a letter
@@ -91,9 +139,10 @@ def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest:
     return hits.where(~ordinary | F.col("_signed")).select(key, "ticker").distinct()
 
 
-def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str]], variant: Variant, key: str = "news_id", text: str = "text", kind: str | None = "source_kind", common: Collection[str] = ()) -> DataFrame:
+def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str]], variant: Variant, key: str = "news_id", text: str = "text", kind: str | None = "source_kind", common: Collection[str] = (), also: Mapping[str, Sequence[str]] = {}) -> DataFrame:
     """Mentions of ``securities`` in the news of the variant's kind."""
-    table = dictionary(securities, variant)
+    table = dictionary(securities, variant, also)
     own = news.where(F.col(kind) == variant.kind) if kind else news
     longest = max((n for _, n, _ in table), default=1)
-    return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest, common)
+    known = sorted({form for form, *_ in table})
+    return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest, common, known if len(known) <= FEW_FORMS else ())
