@@ -253,6 +253,68 @@ def test_signals_are_validated(spark):
     assert macro.classify(spark.createDataFrame([(1, "Ставка ЦБ"), (2, "new sanctions $SBER"), (3, None)], "id int, t string"), "t").count() == 3
 
 
+def test_models_load_once_and_one_bad_text_is_null(spark, tmp_path):
+    """Real models are slow to load, are called by batch, and now and then fail."""
+    log = tmp_path / "loads"
+    log.mkdir()
+
+    def load():
+        import time
+        import uuid
+
+        time.sleep(0.2)
+        (log / uuid.uuid4().hex).touch()
+
+        def model(texts):
+            if len(texts) > 8:
+                raise MemoryError
+            if any("poison" in t for t in texts):
+                raise ValueError("cannot read this")
+            return [{"neg": 0.0, "neu": 0.25, "pos": 0.75} for _ in texts]
+
+        return model
+
+    n = spark.createDataFrame([(i, None if i == 3 else "poison" if i == 40 else f"text {i}") for i in range(300)], "id int, t string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        for batch in (8, 64):  # calls of 64 fail as a whole, and their texts are asked one by one
+            got = {r.id: r.sentiment for r in sentiment.score(n, "t", load, batch).collect()}
+            assert got[40] is None and len(got) == 300 and all(got[i].pos == 0.75 for i in got if i != 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list(log.iterdir())) == 2
+    answers = {r.id: r.answer for r in macro.classify(n, "t", lambda: lambda texts: [t.upper() if "poison" not in t else 1 / 0 for t in texts]).collect()}
+    assert answers[40] is None and answers[3] == "" and answers[5] == "TEXT 5"
+
+
+def test_scope_decides_which_feature_news_feed(spark):
+    say = lambda **x: json.dumps(x)
+    rows = [(1, 1.0, say(**{"class": "macro", "scope": "market"})), (1, -1.0, say(**{"class": "geo", "scope": "sector", "sector": "oil"})), (1, 0.5, say(**{"class": "geo", "scope": "sector", "sector": "oil"})), (1, 9.0, say(**{"class": "other", "scope": "market"})), (1, 9.0, "no json"), (2, 0.0, say(**{"class": "macro", "scope": "market"}))]
+    known = spark.createDataFrame([("A",)], "ticker string")
+    market, sector = macro.by_scope(macro.signals(spark.createDataFrame(rows, "d int, s double, a string"), "a", known), "d", "s")
+    assert rows_of(market, "d", "sent") == [(1, 1.0), (2, 0.0)] and rows_of(sector, "d", "sector", "sent") == [(1, "oil", -0.25)]
+
+
+def rows_of(df, *names):
+    return rows(df.select(*names))
+
+
+def test_embeddings_are_unit_vectors_that_share_words(spark):
+    n = spark.createDataFrame([(0, "profit rose sharply"), (1, "Sharply rose profit!"), (2, "an unrelated line of words"), (3, ""), (4, None)], "id int, t string")
+    v = {r.id: np.array(r.embedding) for r in vector.embed(n, "t").collect()}
+    assert np.allclose(v[0], v[1]) and np.isclose(np.linalg.norm(v[2]), 1) and not v[3].any() and not v[4].any()
+    assert v[0] @ v[2] < 0.8
+
+
+def test_exchange_clock(spark):
+    from tidemark.functions import calendar
+
+    # Moscow: three hours ahead in winter, four in the summers of that time, fixed later; the close moves news to the next day.
+    t = spark.createDataFrame([(datetime(1997, 1, 31, 21, 30),), (datetime(1997, 7, 1, 14, 0),), (datetime(2024, 7, 1, 14, 59),), (datetime(2024, 7, 1, 15, 0),), (None,)], "at timestamp_ntz")
+    got = t.select(calendar.to_zone("at").alias("l"), calendar.trading_day("at", 18).alias("d")).collect()
+    assert [tuple(r) for r in got] == [(datetime(1997, 2, 1, 0, 30), date(1997, 2, 1)), (datetime(1997, 7, 1, 18, 0), date(1997, 7, 2)), (datetime(2024, 7, 1, 17, 59), date(2024, 7, 1)), (datetime(2024, 7, 1, 18, 0), date(2024, 7, 2)), (None, None)]
+
+
 # --- portfolio -----------------------------------------------------------------------------
 
 

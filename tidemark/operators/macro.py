@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.inference import Model, over_batches
 from tidemark.schemas import SIGNAL
 
 SCOPES = ("market", "sector")
@@ -18,36 +19,51 @@ RULES = (("geo", r"санкц|войн|sanction|conflict"), ("macro", r"став
 
 def rule_classifier(text: str) -> str:
     """JSON as a model would answer: class, scope, sector, tickers."""
-    low = (text or "").lower()
+    low = text.lower()
     kind = next((k for k, p in RULES if re.search(p, low)), "other")
-    return json.dumps({"class": kind, "scope": "market", "sector": None, "tickers": re.findall(r"\$([A-Z]{1,5})\b", text or "")})
+    return json.dumps({"class": kind, "scope": "market", "sector": None, "tickers": re.findall(r"\$([A-Z]{1,5})\b", text)})
 
 
-def classify(news: DataFrame, text: str, classifier: Callable[[str], str] = rule_classifier) -> DataFrame:
-    """Adds ``answer``, the classifier's raw JSON, batch by batch."""
-    names = news.columns
+def load_rules() -> Model:
+    """The stand-in behind the boundary; a language model's loader takes its place."""
+    return lambda texts: [rule_classifier(t) for t in texts]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(answer=[classifier(t) for t in b[text]])
 
-    schema = news.select(*names, F.lit("").alias("answer")).schema
-    return news.mapInPandas(run, schema)
+def classify(news: DataFrame, text: str, load: Callable[[], Model] = load_rules, batch: int = 64) -> DataFrame:
+    """Adds ``answer``, the model's raw JSON; null for a text it cannot answer."""
+    run = over_batches(load, None, batch)
+
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for got in run(batches):
+            yield pd.Series(got, dtype=object)
+
+    return news.withColumn("answer", answer(text))
 
 
 def signals(answers: DataFrame, answer: str, securities: DataFrame) -> DataFrame:
     """Adds ``signal``; null unless the JSON parses and the scope is known. Tickers outside the dimension are dropped from its list.
 
-    The dimension is collected into one array: a lookup of fixed, small size (tens of rows), checked.
+    The dimension's tickers are a scalar subquery: one array, whatever their number, and no round trip while the plan is made.
     """
-    known = [r.ticker for r in securities.select("ticker").distinct().limit(10_001).collect()]
-    if len(known) > 10_000:
-        raise ValueError("the security dimension is too large for a literal")
+    known = securities.agg(F.collect_set("ticker")).scalar()
     parsed = answers.withColumn("_s", F.from_json(answer, SIGNAL))
     valid = F.col("_s.scope").isin(*SCOPES) & ((F.col("_s.scope") == "market") | F.col("_s.sector").isNotNull())
-    kept = F.array_intersect(F.coalesce("_s.tickers", F.array().cast("array<string>")), F.array(*map(F.lit, known)).cast("array<string>"))
+    kept = F.array_intersect(F.coalesce("_s.tickers", F.array().cast("array<string>")), known)
     return parsed.withColumn("signal", F.when(valid, F.struct(F.col("_s.class").alias("class"), F.col("_s.scope").alias("scope"), F.col("_s.sector").alias("sector"), kept.alias("tickers")))).drop("_s")
 
 
 def only_macro(signalled: DataFrame) -> DataFrame:
     return signalled.where(F.col("signal.class").isin("macro", "geo"))
+
+
+def by_scope(signalled: DataFrame, date: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """The branches of scored macro and geopolitical news: market-wide sentiment by date, and a sector's by date and sector.
+
+    ``market_sent`` and ``sector_sent`` are read from these: other news, and news of the other scope, have no part in them.
+    """
+    from tidemark.operators.sentiment import aggregate
+
+    macro = only_macro(signalled).withColumn("sector", F.col("signal.sector"))
+    market, sector = macro.where("signal.scope = 'market'"), macro.where("signal.scope = 'sector'")
+    return aggregate(market, [date], value), aggregate(sector, [date, "sector"], value)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.inference import Model, over_batches
+
 CLASSES = ("neg", "neu", "pos")
 # The stand-in's words; a real scorer takes the place of ``word_scorer``.
 GOOD, BAD = ("рост", "прибыль", "рекорд", "gain", "growth", "profit"), ("падение", "убыток", "санкции", "loss", "trash", "disgusting", "fraud")
@@ -20,15 +22,22 @@ def word_scorer(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"neg": neg / total, "neu": 1.0 / total, "pos": pos / total})
 
 
-def score(news: DataFrame, text: str, scorer: Callable[[pd.Series], pd.DataFrame] = word_scorer) -> DataFrame:
-    """Adds ``sentiment`` (neg, neu, pos). ``scorer`` sees whole Arrow batches, so a model loads once per worker and scores in bulk."""
+def load_words() -> Model:
+    """The stand-in behind the boundary; the classifier's loader takes its place."""
+    return lambda texts: word_scorer(pd.Series(texts, dtype=object)).to_dict("records")
+
+
+def score(news: DataFrame, text: str, load: Callable[[], Model] = load_words, batch: int = 64) -> DataFrame:
+    """Adds ``sentiment`` (neg, neu, pos); null for a text the model cannot score."""
+    run = over_batches(load, None, batch)
 
     @F.pandas_udf("neg double, neu double, pos double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield scorer(b)
+    def sentiment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for got in run(batches):
+            yield pd.DataFrame([g or dict.fromkeys(CLASSES) for g in got], columns=list(CLASSES), dtype=float)
 
-    return news.withColumn("sentiment", run(text))
+    scored = news.withColumn("sentiment", sentiment(text))
+    return scored.withColumn("sentiment", F.when(F.col("sentiment.neu").isNotNull(), F.col("sentiment")))
 
 
 def net(sentiment: str) -> Column:

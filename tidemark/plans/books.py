@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import asof, portfolio as p, sentiment
+from tidemark.operators import asof, macro, portfolio as p, sentiment
 from tidemark.plans import inputs as i
+from tidemark.plans.news import SCOPES
 from tidemark.plans.registry import query
 from tidemark.work import cut
 
@@ -92,24 +93,21 @@ def turnover(spark, sf):
 
 
 def features(spark, sf):
-    """The learners' panel: past returns, volatility, own, sector and market sentiment; ``fwd`` is the target."""
+    """The learners' panel: past returns, volatility, own sentiment, that of macro news by sector and market; ``fwd`` is the target."""
     r = i.returns(spark, sf)
     w = Window.partitionBy("inst").orderBy("month")
     r = r.withColumn("ret_1", F.coalesce("ret", F.lit(0.0))).withColumn("vol_3", F.coalesce(F.stddev_samp("ret").over(w.rowsBetween(-2, 0)), F.lit(0.0)))
     dim = i.dimension(spark, sf).select("inst", "sector")
     ev = i.events_of(spark, sf)
     own = sentiment.aggregate(ev, ["inst", "month"], "score").select("inst", "month", "sent", "n_news")
-    market = sentiment.aggregate(i.news(spark, sf).join(i.scores(spark, sf), "news_id"), ["month"], "score")
-    sector = sentiment.aggregate(ev.join(dim, "inst"), ["month", "sector"], "score")
+    market, sector = macro.by_scope(i.signalled(spark, sf), "month", "score")
     x = r.join(dim, "inst").join(own, ["inst", "month"], "left").fillna(0, ["sent", "n_news"])
     x = sentiment.spread_scopes(x, market, sector, "month", "sector").join(i.index(spark, sf).select("month", F.coalesce("iret", F.lit(0.0)).alias("iret")), "month")
     return x.select("inst", "month", "fwd", "ret_1", "vol_3", "sent", F.col("n_news").cast("double").alias("n_news"), "market_sent", "sector_sent", "iret")
 
 
-@query("""
-with own as (select inst, month, avg(score) as sent, count(score) as n_news from evts group by 1, 2),
-ms as (select month, avg(score) as sent from stories join scored using (news_id) group by 1),
-ss as (select sector, month, avg(score) as sent from evts join dim using (inst) group by 1, 2)
+@query(f"""
+with own as (select inst, month, avg(score) as sent, count(score) as n_news from evts group by 1, 2), {SCOPES}
 select r.inst, r.month, round(r.fwd, 6) as fwd, round(coalesce(r.ret, 0), 6) as ret_1,
        round(coalesce(stddev_samp(r.ret) over (partition by r.inst order by r.month rows between 2 preceding and current row), 0), 6) as vol_3,
        round(coalesce(own.sent, 0), 6) as sent, cast(coalesce(own.n_news, 0) as double) as n_news, round(coalesce(ms.sent, 0), 6) as market_sent, round(coalesce(ss.sent, 0), 6) as sector_sent, round(coalesce(idx.iret, 0), 6) as iret

@@ -79,6 +79,23 @@ def events_of(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf).join(n, "news_id").join(scores(spark, sf), "news_id")
 
 
+def signalled(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored news with the signal parsed from a model's answer: ``news_id, month, score, signal``.
+
+    The answers are stand-ins made from ids: two of three news are macro or geopolitical, half of them about a sector.
+    """
+    from tidemark.operators import macro
+
+    s = news(spark, sf).select("news_id", "month").join(scores(spark, sf), "news_id")
+    sectors = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("_nation"), F.col("n_name").alias("_sector"))
+    s = s.withColumn("_nation", F.col("news_id") % 25).join(sectors, "_nation", "left")
+    kind = F.when(F.col("news_id") % 3 == 0, "macro").when(F.col("news_id") % 3 == 1, "geo").otherwise("other")
+    wide = F.col("news_id") % 2 == 0
+    answer = F.struct(kind.alias("class"), F.when(wide, "market").otherwise("sector").alias("scope"), F.when(~wide, F.col("_sector")).alias("sector"), F.array((F.col("news_id") % 40 + 1).cast("string"), F.lit("none such")).alias("tickers"))
+    known = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"))
+    return macro.signals(s.select("news_id", "month", "score", F.to_json(answer).alias("answer")), "answer", known).drop("answer")
+
+
 #: The same in SQL; ``with_inputs`` puts those before a query that it names, directly or through each other.
 CTES = {
     "trades": "select l_suppkey as inst, cast(l_shipdate as date) as d, l_extendedprice / l_quantity as px, l_quantity as qty from lineitem where l_quantity > 0",
@@ -90,6 +107,7 @@ CTES = {
     "mentioned": "select distinct l_orderkey as news_id, l_suppkey as inst from lineitem where l_orderkey in (select doc_id from documents)",
     "scored": "select doc_id as news_id, case when toxic = 1 then -1.0e0 when quality = 1 then 1.0e0 else 0.0e0 end as score from labels",
     "dim": "select s_suppkey as inst, s_name as name, n_name as sector, r_name as market, s_acctbal as cap from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey",
+    "sigs": "select s.news_id, s.month, c.score, case when s.news_id % 2 = 0 then 'market' else 'sector' end as scope, case when s.news_id % 2 = 1 then n_name end as sector, s.news_id % 40 + 1 as inst, case s.news_id % 3 when 0 then 'macro' else 'geo' end as class from stories s join scored c on c.news_id = s.news_id join nation on n_nationkey = s.news_id % 25 where s.news_id % 3 < 2",
     "evts": "select m.news_id, m.inst, s.month, s.kind, c.score from mentioned m join stories s on s.news_id = m.news_id join scored c on c.news_id = m.news_id",
 }
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import sentiment, stories
+from tidemark.functions import calendar, vector
+from tidemark.operators import macro, sentiment, stories
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
 
@@ -86,15 +87,31 @@ def sent_by_kind(spark, sf):
     return _sent(i.news(spark, sf).join(i.scores(spark, sf), "news_id"), "kind", "lang")
 
 
-@query("""
-with ms as (select month, avg(score) as sent from stories join scored using (news_id) group by 1),
-ss as (select sector, month, avg(score) as sent from evts join dim using (inst) group by 1, 2)
-select b.inst, b.month, round(coalesce(ms.sent, 0), 6) as market_sent, round(coalesce(ss.sent, 0), 6) as sector_sent
+#: Sentiment of macro and geopolitical news by scope, as SQL sees it: ``ms`` by month, ``ss`` by month and sector.
+SCOPES = "ms as (select month, avg(score) as sent from sigs where scope = 'market' group by 1), ss as (select sector, month, avg(score) as sent from sigs where scope = 'sector' group by 1, 2)"
+
+
+@query(f"select 'market' as scope, cast(null as varchar) as sector, month, {_AGG} from sigs where scope = 'market' group by month union all select 'sector', sector, month, {_AGG} from sigs where scope = 'sector' group by sector, month")
+def macro_sentiment(spark, sf):
+    """Scored macro and geopolitical news, branched by the scope of its signal."""
+    market, sector = macro.by_scope(i.signalled(spark, sf), "month", "score")
+    named = lambda df, scope: df.select(F.lit(scope).alias("scope"), (F.col("sector") if scope == "sector" else F.lit(None).cast("string")).alias("sector"), "month", "n_news", F.round("sent", 6).alias("sent"), "n_neg", "n_pos")
+    return named(market, "market").unionByName(named(sector, "sector"))
+
+
+@query(f"select inst, month, {_AGG} from sigs join dim using (inst) group by 1, 2")
+def macro_by_security(spark, sf):
+    """Sentiment of macro and geopolitical news by the securities that its signals name; names outside the dimension are gone."""
+    named = macro.only_macro(i.signalled(spark, sf)).select("month", "score", F.explode(F.col("signal.tickers").cast("array<bigint>")).alias("inst"))
+    return _sent(named, "inst", "month")
+
+
+@query(f"""
+with {SCOPES} select b.inst, b.month, round(coalesce(ms.sent, 0), 6) as market_sent, round(coalesce(ss.sent, 0), 6) as sector_sent
 from bars b join dim d on d.inst = b.inst left join ms on ms.month = b.month left join ss on ss.month = b.month and ss.sector = d.sector
 """)
 def scope_features(spark, sf):
-    market = sentiment.aggregate(i.news(spark, sf).join(i.scores(spark, sf), "news_id"), ["month"], "score")
-    sector = sentiment.aggregate(i.events_of(spark, sf).join(i.dimension(spark, sf), "inst"), ["month", "sector"], "score")
+    market, sector = macro.by_scope(i.signalled(spark, sf), "month", "score")
     panel = i.bars(spark, sf).join(i.dimension(spark, sf).select("inst", "sector"), "inst").select("inst", "month", "sector")
     out = sentiment.spread_scopes(panel, market, sector, "month", "sector")
     return out.select("inst", "month", F.round("market_sent", 6).alias("market_sent"), F.round("sector_sent", 6).alias("sector_sent"))
@@ -135,3 +152,47 @@ def stub_sentiment(spark, sf):
     """The model boundary with its stand-in scorer."""
     s = sentiment.score(i.news(spark, sf).select("news_id", "text"), "text")
     return s.select("news_id", sentiment.label(F.col("sentiment.neg"), F.col("sentiment.neu"), F.col("sentiment.pos")).alias("label"), F.round(sentiment.net("sentiment"), 6).alias("net"))
+
+
+@query("select news_id, 64 as size, length(regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')) > 0 as has_words from stories")
+def stub_embeddings(spark, sf):
+    """The embedding boundary with its stand-in model: vectors of unit length, of zeros for texts without words."""
+    e = vector.embed(i.news(spark, sf).select("news_id", "text"), "text")
+    return e.select("news_id", F.size("embedding").alias("size"), (F.round(vector.norm("embedding"), 4) == 1).alias("has_words"))
+
+
+@query("""
+with t as (select month, source, count(*) as n from stories where kind = 'tg' group by 1, 2), m as (select month, source, count(*) as n from stories where kind = 'media' group by 1, 2),
+a as (select month, sum(n) as n_tg from t group by 1), b as (select month, sum(n) as n_media from m where source <> 'src10' group by 1)
+select coalesce(a.month, b.month) as month, cast(n_tg as bigint) as n_tg, cast(n_media as bigint) as n_media from a full outer join b on a.month = b.month
+""")
+def coverage_both_sides(spark, sf):
+    """Months of either kind side by side; a month that one kind lacks stays, with null."""
+    n = i.news(spark, sf)
+    side = lambda rows, name: rows.groupBy("month").agg(F.count("*").alias(name))
+    return side(n.where("kind = 'tg'"), "n_tg").join(side(n.where("kind = 'media' and source <> 'src10'"), "n_media"), "month", "full_outer").select("month", "n_tg", "n_media")
+
+
+@query("select lang, month from stories where kind = 'tg' except all select lang, month from stories where kind = 'media'")
+def coverage_surplus(spark, sf):
+    """One row for each Telegram story of a language and month beyond the media's number."""
+    n = i.news(spark, sf).select("kind", "lang", "month")
+    return n.where("kind = 'tg'").select("lang", "month").exceptAll(n.where("kind = 'media'").select("lang", "month"))
+
+
+@query("select kind, count(distinct month) > 0 as some, true as near from stories group by kind")
+def news_coverage_approx(spark, sf):
+    """Approximate distinct counts beside exact ones: within a tenth of them."""
+    n = i.news(spark, sf).groupBy("kind").agg(F.count_distinct("news_id").alias("n"), F.approx_count_distinct("news_id", 0.02).alias("about"))
+    return n.select("kind", (F.col("n") > 0).alias("some"), (F.abs(F.col("about") - F.col("n")) <= F.col("n") / 10).alias("near"))
+
+
+@query("""
+with t as (select news_id, published, timezone('Europe/Moscow', timezone('UTC', published + to_hours(cast(news_id % 24 as int)))) as local from stories)
+select news_id, local, cast(case when hour(local) >= 18 then local + interval 1 day else local end as date) as trading_day from t
+""")
+def exchange_days(spark, sf):
+    """Publication on the exchange's clock, and the day that can trade on it: the next one after the close. Times of day are stand-ins out of ids."""
+    at = (F.col("published") + F.make_dt_interval(hours=(F.col("news_id") % 24).cast("int"))).alias("at")
+    n = i.news(spark, sf).select("news_id", at)
+    return n.select("news_id", calendar.to_zone("at").alias("local"), calendar.trading_day("at", close_hour=18).alias("trading_day"))
