@@ -333,6 +333,56 @@ def test_cash_gate_and_turnover(spark):
     assert rows(portfolio.turnover(h, "i", "d")) == [(1, 0.5), (2, 0.5)]
 
 
+def test_costs_fall_on_what_is_traded(spark):
+    h = spark.createDataFrame([(1, "a", 1.0, 0.1), (2, "a", 1.0, 0.1), (3, "b", 1.0, 0.1)], "d int, i string, weight double, fwd double")
+    got = {r.d: (r.turnover, r.port_ret) for r in portfolio.net_returns(h, "i", "d", "fwd", 0.01).collect()}
+    # Bought once, kept, swapped whole: 1, 0 and 2 units traded.
+    assert got == {1: (0.5, pytest.approx(0.09)), 2: (0.0, pytest.approx(0.1)), 3: (1.0, pytest.approx(0.08))}
+
+
+def hand_panel(spark, months=20, n=8, after=None):
+    """``x`` tells the target's sign, ``noise`` nothing; from month ``after`` on the sign is turned."""
+    out = []
+    for m in range(months):
+        for k in range(n):
+            x = float((k + m) % n - n / 2 + 0.5)
+            out.append((k, date(2020 + m // 12, m % 12 + 1, 1), (0.1 if x > 0 else -0.1) * (-1 if after is not None and m >= after else 1), x, float(k * 7 % 3)))
+    return spark.createDataFrame(out, "inst int, month date, fwd double, x double, noise double")
+
+
+def test_learned_portfolios_on_a_panel_made_by_hand(spark):
+    from tidemark.plans import books
+
+    scores = books.cut(books.walk_forward(hand_panel(spark), 8, 4), "hand")
+    assert scores.select("month").distinct().count() == 12  # all months beyond the first eight
+    assert scores.where("(score > 0) <> (fwd > 0)").isEmpty()
+    one = {r.month: (r.n_held, r.port_ret) for r in portfolio.portfolio_returns(books.m1(scores), "month", "fwd").collect()}
+    assert all(n == 5 and ret == pytest.approx((4 * 0.1 - 0.1) / 5) for n, ret in one.values())  # four winners, one loser
+    two = {r.month: r.port_ret for r in portfolio.portfolio_returns(books.m2(scores), "month", "fwd").collect()}
+    assert all(two[m] > one[m][1] for m in one)  # the loser weighs less
+    flat = spark.createDataFrame([(date(2020 + m // 12, m % 12 + 1, 1), 10.0 + m if m < 14 else 100.0 - m) for m in range(20)], "month date, ipx double")
+    three = {r.month: (r.invested, r.port_ret) for r in portfolio.portfolio_returns(books.m3(scores, flat), "month", "fwd").collect()}
+    out = {m for m, (invested, _) in three.items() if invested == 0}
+    assert out == {date(2021, 5, 1) if m == 16 else date(2021, m % 12 + 1, 1) for m in range(16, 20)} and all(three[m][1] == 0 for m in out)
+
+
+def test_a_fold_learns_nothing_that_ends_within_its_test(spark):
+    """Targets reach two months ahead: turning those of the last two training months changes no prediction of the test after them."""
+    from tidemark.plans import books
+
+    first = date(2020, 9, 1)
+    plain, turned = ({(r.inst, r.month): r.score for r in books.walk_forward(hand_panel(spark, after=a), 8, 4).where(F.col("month") < F.add_months(F.lit(first), 4)).collect()} for a in (None, 6))
+    assert plain == turned and len(plain) == 32
+    sooner = {(r.inst, r.month): r.score for r in books.walk_forward(hand_panel(spark, after=3), 8, 4).where(F.col("month") < F.add_months(F.lit(first), 4)).collect()}
+    assert sooner != plain
+
+
+def test_a_holding_is_bought_after_its_news(spark):
+    """The return of a decision in a month starts at the next month's price."""
+    b = spark.createDataFrame([("x", 1, 10.0), ("x", 2, 5.0), ("x", 3, 20.0), ("x", 4, 30.0)], "i string, t int, p double")
+    assert [x.hold for x in bars.with_returns(b, "i", "t", "p").orderBy("t").collect()] == [3.0, 0.5, None, None]
+
+
 def test_folds_never_overlap(spark):
     d = spark.createDataFrame([(date(2020 + k // 12, k % 12 + 1, 1),) for k in range(30)], "m date")
     f = portfolio.folds(d, "m", 12, 6).orderBy("fold").collect()

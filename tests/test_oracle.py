@@ -9,6 +9,7 @@ import pytest
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
+ENTRY_ROWS = 42  # months with a holding and two bars after it
 
 
 @pytest.fixture(scope="module")
@@ -42,15 +43,16 @@ def test_equal_to_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_rows_only(spark, name):
+    """Queries that SQL cannot express give rows of their columns; what they should say is tested in test_operators."""
     df = QUERIES[name](spark, str(DATA))
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() >= (0 if name == "lsh_pairs" else 1)
 
 
 def test_entry(spark):
     import __spark_entry__
 
     df = __spark_entry__.entry(spark)
-    assert df.count() == 42 and df.columns == ["month", "n_held", "port_ret"]
+    assert df.count() == ENTRY_ROWS and df.columns == ["month", "n_held", "port_ret"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 

@@ -16,10 +16,13 @@ def resample(trades: DataFrame, by: str, ts: str, price: str, volume: str, unit:
 
 
 def with_returns(bars: DataFrame, by: str, time: str, price: str) -> DataFrame:
-    """Adds ``ret`` and ``log_ret`` from the bar before, and ``fwd`` to the bar after."""
+    """Adds ``ret`` and ``log_ret`` from the bar before, ``fwd`` to the bar after, and ``hold`` from the bar after to the one after that.
+
+    A bar's price averages its whole span, so what is learned within the span cannot trade on it: ``hold`` is what a decision at its end can earn.
+    """
     w = Window.partitionBy(by).orderBy(time)
-    p, before, after = F.col(price), F.lag(price).over(w), F.lead(price).over(w)
-    return bars.withColumn("ret", simple_return(p, before)).withColumn("log_ret", log_return(p, before)).withColumn("fwd", simple_return(after, p))
+    p, before, after, then = F.col(price), F.lag(price).over(w), F.lead(price).over(w), F.lead(price, 2).over(w)
+    return bars.withColumns({"ret": simple_return(p, before), "log_ret": log_return(p, before), "fwd": simple_return(after, p), "hold": simple_return(then, after)})
 
 
 def rolling(bars: DataFrame, by: str, time: str, value: str, rows: int) -> DataFrame:
@@ -28,6 +31,12 @@ def rolling(bars: DataFrame, by: str, time: str, value: str, rows: int) -> DataF
     return bars.withColumn("roll_mean", F.avg(value).over(w)).withColumn("roll_std", F.stddev_samp(value).over(w)).withColumn("roll_n", F.count(value).over(w))
 
 
+def rolling_days(bars: DataFrame, by: str, day: str, value: str, days: int) -> DataFrame:
+    """Adds mean and count over the last ``days`` days, however many bars they hold, the current one included."""
+    w = Window.partitionBy(by).orderBy(F.unix_date(day)).rangeBetween(1 - days, 0)
+    return bars.withColumn("span_mean", F.avg(value).over(w)).withColumn("span_n", F.count(value).over(w))
+
+
 def drawdown(returns: DataFrame, by: list[str], time: str, ret: str) -> DataFrame:
     """Adds ``wealth`` (1 before the first return), its running ``peak`` (1 at least) and ``drawdown``."""
     w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)

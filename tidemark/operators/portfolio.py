@@ -29,10 +29,19 @@ def cash_exit(held: DataFrame, gate: DataFrame, date: str, keep: Column, cut_to:
     return held.join(g, date, "left").withColumn("weight", F.col("weight") * F.coalesce("_g", F.lit(cut_to))).drop("_g")
 
 
-def portfolio_returns(held: DataFrame, date: str, ret: str, cost: float = 0.0) -> DataFrame:
-    """``date, n_held, invested, port_ret``; ``cost`` is charged on what is invested."""
-    gross, invested = F.sum(F.col("weight") * F.col(ret)), F.sum("weight")
-    return held.groupBy(date).agg(F.count("*").alias("n_held"), invested.alias("invested"), (gross - cost * invested).alias("port_ret"))
+def portfolio_returns(held: DataFrame, date: str, ret: str) -> DataFrame:
+    """``date, n_held, invested, port_ret``, before costs."""
+    return held.groupBy(date).agg(F.count("*").alias("n_held"), F.sum("weight").alias("invested"), F.sum(F.col("weight") * F.col(ret)).alias("port_ret"))
+
+
+def net_returns(held: DataFrame, by: str, date: str, ret: str, cost: float) -> DataFrame:
+    """``date, n_held, invested, turnover, port_ret``: returns less ``cost`` a unit of what is bought and sold, the first purchase included.
+
+    Only what changes costs: a portfolio that stays as it is pays nothing, and one that is swapped whole pays on both sides.
+    """
+    traded = turnover(held, by, date)
+    r = portfolio_returns(held, date, ret).join(traded, date)
+    return r.select(date, "n_held", "invested", "turnover", (F.col("port_ret") - 2 * cost * F.col("turnover")).alias("port_ret"))
 
 
 def turnover(held: DataFrame, by: str, date: str) -> DataFrame:

@@ -11,13 +11,13 @@ from tidemark.plans.registry import query
 from tidemark.work import cut
 
 _SENT = "sent as (select inst, month, count(*) as n_news, avg(score) as s from evts group by 1, 2)"
-_RANKED = f"{_SENT}, ranked as (select r.month, r.inst, r.fwd, s.s, s.n_news, row_number() over (partition by r.month order by s.s desc, s.n_news desc, r.inst) as rank from rets r join sent s on s.inst = r.inst and s.month = r.month where r.fwd is not null)"
+_RANKED = f"{_SENT}, ranked as (select r.month, r.inst, r.hold as fwd, s.s, s.n_news, row_number() over (partition by r.month order by s.s desc, s.n_news desc, r.inst) as rank from rets r join sent s on s.inst = r.inst and s.month = r.month where r.hold is not null)"
 
 
 def panel(spark, sf):
-    """``inst, month, fwd, s, n_news``: months with news and a following bar."""
+    """``inst, month, fwd, s, n_news``: months with news and two bars after. ``fwd`` is bought at the next month's price, all of it traded after the news."""
     s = i.events_of(spark, sf).groupBy("inst", "month").agg(F.count("*").alias("n_news"), F.avg("score").alias("s"))
-    return i.returns(spark, sf).where("fwd is not null").select("inst", "month", "fwd").join(s, ["inst", "month"])
+    return i.returns(spark, sf).where("hold is not null").select("inst", "month", F.col("hold").alias("fwd")).join(s, ["inst", "month"])
 
 
 def held(spark, sf):
@@ -93,8 +93,8 @@ def turnover(spark, sf):
 
 
 def features(spark, sf):
-    """The learners' panel: past returns, volatility, own sentiment, that of macro news by sector and market; ``fwd`` is the target."""
-    r = i.returns(spark, sf)
+    """The learners' panel: past returns, volatility, own sentiment, that of macro news by sector and market; ``fwd``, bought at the next month's price, is the target."""
+    r = i.returns(spark, sf).withColumn("fwd", F.col("hold"))
     w = Window.partitionBy("inst").orderBy("month")
     r = r.withColumn("ret_1", F.coalesce("ret", F.lit(0.0))).withColumn("vol_3", F.coalesce(F.stddev_samp("ret").over(w.rowsBetween(-2, 0)), F.lit(0.0)))
     dim = i.dimension(spark, sf).select("inst", "sector")
@@ -108,7 +108,7 @@ def features(spark, sf):
 
 @query(f"""
 with own as (select inst, month, avg(score) as sent, count(score) as n_news from evts group by 1, 2), {SCOPES}
-select r.inst, r.month, round(r.fwd, 6) as fwd, round(coalesce(r.ret, 0), 6) as ret_1,
+select r.inst, r.month, round(r.hold, 6) as fwd, round(coalesce(r.ret, 0), 6) as ret_1,
        round(coalesce(stddev_samp(r.ret) over (partition by r.inst order by r.month rows between 2 preceding and current row), 0), 6) as vol_3,
        round(coalesce(own.sent, 0), 6) as sent, cast(coalesce(own.n_news, 0) as double) as n_news, round(coalesce(ms.sent, 0), 6) as market_sent, round(coalesce(ss.sent, 0), 6) as sector_sent, round(coalesce(idx.iret, 0), 6) as iret
 from rets r join dim on dim.inst = r.inst join idx on idx.month = r.month left join own on own.inst = r.inst and own.month = r.month
@@ -149,21 +149,26 @@ def m3_features(spark, sf):
     return extended_features(spark, sf).select("inst", "month", F.round("brent_ret", 6).alias("brent_ret"), F.round("div_yield", 6).alias("div_yield"))
 
 
-def learned_scores(spark, sf, train: int = 36, test: int = 12, panel_of=features):
-    """Walk-forward predictions ``inst, month, fwd, score`` by gradient-boosted trees: each fold learns strictly before it predicts.
+HORIZON = 2  # months after its own that a target reaches into
+
+
+def walk_forward(x, train: int = 36, test: int = 12):
+    """Walk-forward predictions ``inst, month, fwd, score`` by gradient-boosted trees over a panel ``inst, month, fwd`` and features: each fold learns strictly before it predicts.
 
     The loop runs over folds, whose number the calendar bounds; each fit is distributed.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    x = cut(panel_of(spark, sf).where("fwd is not null"), "features")
+    x = cut(x.where("fwd is not null"), "features")
     names = [c for c in x.columns if c not in ("inst", "month", "fwd")]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(x)
+    months = sorted(r.month for r in x.select("month").distinct().collect())  # a calendar: bounded by time, not by data
     out = []
     for f in p.folds(x, "month", train, test).orderBy("fold").collect():
-        # The last training month's target reaches into the first test month, so it is left out.
-        learn = data.where((F.col("month") >= F.lit(f.train_from)) & (F.col("month") < F.lit(f.train_to)))
+        # A target that ends within the test is not known when the test begins.
+        known = months[max(0, months.index(f.test_from) - HORIZON)]
+        learn = data.where((F.col("month") >= F.lit(f.train_from)) & (F.col("month") < F.lit(known)))
         model = GBTRegressor(labelCol="fwd", maxIter=5, maxDepth=3, seed=7).fit(learn)
         ahead = data.where((F.col("month") >= F.lit(f.test_from)) & (F.col("month") <= F.lit(f.test_to)))
         out.append(model.transform(ahead).select("inst", "month", "fwd", F.col("prediction").alias("score")))
@@ -175,24 +180,71 @@ def learned_scores(spark, sf, train: int = 36, test: int = 12, panel_of=features
     return whole
 
 
+def best_of(scores):
+    return p.top_k(scores, "month", [F.desc("score"), F.col("inst")])
+
+
+def m1(scores):
+    """Learned scores, top k, equal weights."""
+    return p.equal_weights(best_of(scores), "month")
+
+
+def m2(scores):
+    """M1 with softmax weights."""
+    return p.softmax_weights(best_of(scores), "month", "score", 0.1)
+
+
+def m3(scores, index):
+    """M2 with the cash gate on past index moves; its scores are to see the extended features."""
+    w = Window.orderBy("month")  # over the index: one row a month
+    gate = index.withColumn("before", F.lag("ipx").over(w)).withColumn("before2", F.lag("ipx", 2).over(w))
+    return p.cash_exit(m2(scores), gate, "month", F.col("before") >= F.col("before2"))
+
+
 @query()
 def m1_gbt(spark, sf):
-    """M1: learned scores, top k, equal weights. Tree fits are beyond SQL."""
-    best = p.top_k(learned_scores(spark, sf), "month", [F.desc("score"), F.col("inst")])
-    return p.portfolio_returns(p.equal_weights(best, "month"), "month", "fwd")
+    """M1. Tree fits are beyond SQL; a panel made by hand tests them."""
+    return p.portfolio_returns(m1(walk_forward(features(spark, sf))), "month", "fwd")
 
 
 @query()
 def m2_softmax(spark, sf):
-    """M2: M1 with softmax weights."""
-    best = p.top_k(learned_scores(spark, sf), "month", [F.desc("score"), F.col("inst")])
-    return p.portfolio_returns(p.softmax_weights(best, "month", "score", 0.1), "month", "fwd")
+    return p.portfolio_returns(m2(walk_forward(features(spark, sf))), "month", "fwd")
 
 
 @query()
 def m3_cash(spark, sf):
-    """M3: M2 with the commodity's and the dividends' features, and the cash gate on past index moves."""
-    w = Window.orderBy("month")
-    gate = i.index(spark, sf).withColumn("before", F.lag("ipx").over(w)).withColumn("before2", F.lag("ipx", 2).over(w))
-    best = p.top_k(learned_scores(spark, sf, panel_of=extended_features), "month", [F.desc("score"), F.col("inst")])
-    return p.portfolio_returns(p.cash_exit(p.softmax_weights(best, "month", "score", 0.1), gate, "month", F.col("before") >= F.col("before2")), "month", "fwd")
+    """M3: M2 with the commodity's and the dividends' features, and the cash gate."""
+    return p.portfolio_returns(m3(walk_forward(extended_features(spark, sf)), i.index(spark, sf)), "month", "fwd")
+
+
+COST = 0.001
+
+
+@query(f"""
+with {_RANKED}, w as (select month, inst, fwd, 1.0e0 / count(*) over (partition by month) as weight from ranked where rank <= 5 and s > 0),
+days as (select month, row_number() over (order by month) as i from (select distinct month from w)),
+o as (select inst, i, weight from w join days using (month)),
+d as (select inst, i, sum(weight) as d from (select * from o union all select inst, i + 1, -weight from o) group by 1, 2),
+t as (select days.month, sum(abs(d)) / 2 as turnover from d join days using (i) group by 1)
+select w.month, count(*) as n_held, round(any_value(t.turnover), 6) as turnover, round(sum(weight * fwd), 6) as gross, round(sum(weight * fwd) - 2 * 0.001 * any_value(t.turnover), 6) as net from w join t on t.month = w.month group by w.month
+""")
+def v1_net(spark, sf):
+    """The sentiment rule after a tenth of a per cent on all that is bought and sold."""
+    h = cut(p.equal_weights(held(spark, sf).where("s > 0"), "month"), "held")
+    net = p.net_returns(h, "inst", "month", "fwd", COST)
+    return net.select("month", "n_held", F.round("turnover", 6).alias("turnover"), F.round(F.col("port_ret") + 2 * COST * F.col("turnover"), 6).alias("gross"), F.round("port_ret", 6).alias("net"))
+
+
+@query()
+def backtest_models(spark, sf):
+    """Reports of M1, M2 and M3 before and after costs."""
+    plain, wide = cut(walk_forward(features(spark, sf)), "scores"), cut(walk_forward(extended_features(spark, sf)), "scores")
+    books = {"m1": m1(plain), "m2": m2(plain), "m3": m3(wide, i.index(spark, sf))}
+    series = None
+    for name, book in books.items():
+        book = cut(book.select("inst", "month", "fwd", "weight"), "book")
+        for costs, rows in (("gross", p.portfolio_returns(book, "month", "fwd")), ("net", p.net_returns(book, "inst", "month", "fwd", COST))):
+            one = rows.select(F.lit(name).alias("strategy"), F.lit(costs).alias("costs"), "month", "port_ret")
+            series = one if series is None else series.unionByName(one)
+    return p.summary(series, ["strategy", "costs"], "month", "port_ret")

@@ -100,7 +100,7 @@ def signalled(spark: SparkSession, sf: str) -> DataFrame:
 CTES = {
     "trades": "select l_suppkey as inst, cast(l_shipdate as date) as d, l_extendedprice / l_quantity as px, l_quantity as qty from lineitem where l_quantity > 0",
     "bars": "select inst, cast(date_trunc('month', d) as date) as month, sum(px * qty) / sum(qty) as px, sum(qty) as volume from trades group by 1, 2",
-    "rets": "select *, px / lag(px) over w - 1 as ret, ln(px / lag(px) over w) as log_ret, lead(px) over w / px - 1 as fwd from bars window w as (partition by inst order by month)",
+    "rets": "select *, px / lag(px) over w - 1 as ret, ln(px / lag(px) over w) as log_ret, lead(px) over w / px - 1 as fwd, lead(px, 2) over w / lead(px) over w - 1 as hold from bars window w as (partition by inst order by month)",
     "idx": "select *, ipx / lag(ipx) over (order by month) - 1 as iret from (select month, sum(px * volume) / sum(volume) as ipx from bars group by month)",
     "abn": "select r.inst, r.month, r.ret - i.iret as ar from rets r join idx i on i.month = r.month",
     "stories": "select d.doc_id as news_id, d.text, d.lang, d.source, case when try_cast(regexp_extract(d.source, '[0-9]+$') as int) < 10 then 'tg' else 'media' end as kind, o.o_orderdate as published, cast(date_trunc('month', o.o_orderdate) as date) as month from documents d join orders o on o.o_orderkey = d.doc_id",

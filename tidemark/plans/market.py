@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars as b, portfolio, ranks
+from tidemark.operators import asof, bars as b, events, portfolio, ranks
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
 
@@ -39,6 +39,25 @@ def rolling_stats(spark, sf):
     return r.select("inst", "month", F.round("roll_mean", 6).alias("roll_mean"), F.round("roll_std", 6).alias("roll_std"), "roll_n")
 
 
+@query("select inst, month, round(avg(ret) over w, 6) as span_mean, count(ret) over w as span_n from rets window w as (partition by inst order by date_diff('day', date '1970-01-01', month) range between 89 preceding and current row)")
+def rolling_days(spark, sf):
+    """Over ninety days, not a number of bars: months without a bar shorten it."""
+    r = b.rolling_days(i.returns(spark, sf), "inst", "month", "ret", 90)
+    return r.select("inst", "month", F.round("span_mean", 6).alias("span_mean"), "span_n")
+
+
+@query("""
+with fit as (select inst, regr_slope(ret, iret) as beta, regr_intercept(ret, iret) as alpha from rets r join idx i on i.month = r.month where ret is not null and iret is not null group by inst having count(*) >= 3)
+select r.inst, r.month, round(r.ret - alpha - beta * i.iret, 4) as ar from rets r join idx i on i.month = r.month join fit on fit.inst = r.inst where beta is not null
+""")
+def abnormal_by_market_model(spark, sf):
+    """Residuals of each security's market model."""
+    j = i.returns(spark, sf).join(i.index(spark, sf), "month")
+    fit = b.market_model(j, "inst", "ret", "iret").where("n >= 3 and beta is not null").select("inst", "alpha", "beta")
+    ar = events.abnormal(F.col("ret"), F.col("iret"), F.col("alpha"), F.col("beta"))
+    return j.join(fit, "inst").select("inst", "month", F.round(ar, 4).alias("ar"))
+
+
 @query("""
 with g as (select inst, month, exp(sum(ln(1 + coalesce(ret, 0))) over (partition by inst order by month)) as wealth from rets),
 p as (select *, greatest(1.0e0, max(wealth) over (partition by inst order by month)) as peak from g)
