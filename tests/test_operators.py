@@ -111,6 +111,30 @@ def test_cosine_pairs_in_blocks_equal_one_product(spark):
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.7}
 
 
+def test_links_join_what_all_pairs_join(spark):
+    r = np.random.default_rng(8)
+    for same in (True, False):
+        for share in (0.01, 0.05, 0.5):
+            s = r.random((40, 40)) < share
+            s = s | s.T | np.eye(40, dtype=bool) if same else s
+            row, col = stories.spanning_links(s, same)
+            assert s[row, col].all() and len(row) < (40 if same else 80)
+            join = lambda cells: sorted(map(sorted, components([(("a", i), ("a" if same else "b", j)) for i, j in cells])))
+            assert join(zip(row, col)) == join((i, j) for i, j in zip(*np.nonzero(s)) if not same or i != j)
+    v = np.repeat(r.normal(size=(6, 8)), 30, axis=0) + r.normal(size=(180, 8)) * 0.01
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [0.0] * 8)], "id int, v array<double>")
+    links = stories.cosine_links(t, "id", "v", 0.95, block_rows=50)
+    assert links.count() < 180 * 5 and rows(stories.groups_of(links)) == rows(stories.groups_of(stories.cosine_pairs(t, "id", "v", 0.95)))
+
+
+def components(links):
+    groups = []
+    for a, b in links:
+        near = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in near] + [{a, b}.union(*near)]
+    return groups
+
+
 def test_lsh_pairs_are_true_and_find_near_copies(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(60, 64))
@@ -444,10 +468,47 @@ def test_sqlite_and_messages(spark, tmp_path):
     assert rows(spark.read.format("landed_messages").options(paths=str(m), kind="tg").load().select("news_id", "text")) == [(1, "x"), (2, None)]
 
 
-def test_market_schemas(spark, tmp_path):
-    p = tmp_path / "rate.csv"
-    p.write_text("effective_date,rate\n2024-01-01,16.0\n")
-    assert rows(landed.read_market(spark, "rate", str(p), "csv")) == [(date(2024, 1, 1), 16.0)]
+LANDED = {
+    "candles": [("SBER", datetime(2024, 1, 3, 10, 0), 270.0, 271.0, 269.5, 270.5, 1000.0)],
+    "index": [("IMOEX", datetime(2024, 1, 3, 10, 0), 3100.0, 3110.0, 3090.0, 3105.0, 0.0)],
+    "brent": [("brent", datetime(2024, 1, 3), 78.25)],
+    "usd_rub": [("usd_rub", datetime(2024, 1, 3), 90.5)],
+    "rate": [(date(2024, 1, 1), 16.0)],
+    "dividends": [("SBER", date(2024, 7, 11), 33.3)],
+    "capitalization": [("SBER", date(2024, 1, 3), 6.1e12)],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LANDED))
+def test_market_files_of_every_kind_and_format(spark, tmp_path, kind):
+    table = spark.createDataFrame(LANDED[kind], landed.MARKET[kind])
+    for fmt in ("parquet", "json", "csv", "orc"):
+        path = str(tmp_path / fmt)
+        landed.write_table(table, path, "parquet" if fmt == "parquet" else fmt) if fmt != "csv" else table.write.option("header", True).csv(path)
+        got = landed.read_market(spark, kind, path, fmt)
+        assert got.schema == landed.MARKET[kind] and rows(got) == LANDED[kind]
+
+
+def test_minute_candles_to_days(spark, tmp_path):
+    """Landed minute bars resampled by day: the first open, the last close, all the volume."""
+    minute = [("SBER", datetime(2024, 1, 3, 10, m), 270.0 + m, 0.0, 0.0, 0.0, 10.0) for m in range(5)]
+    landed.write_table(spark.createDataFrame(minute, landed.MARKET["candles"]), str(tmp_path / "c"))
+    day = bars.resample(landed.read_market(spark, "candles", str(tmp_path / "c")), "ticker", "ts", "open", "volume", "day").collect()
+    assert [(r.period, r.open, r.close, r.volume) for r in day] == [(date(2024, 1, 3), 270.0, 274.0, 50.0)]
+
+
+def test_reports_replace_earlier_ones(spark, tmp_path):
+    report = spark.createDataFrame([("v1", 0.1), ("m1", 0.2)], "strategy string, mean_ret double")
+    for rows_now in (report, report.where("strategy = 'm1'")):
+        landed.write_table(rows_now, str(tmp_path / "r"), by=["strategy"])
+    assert rows(spark.read.parquet(str(tmp_path / "r")).select("strategy", "mean_ret")) == [("m1", 0.2)]
+
+
+def test_a_missing_column_is_named(spark):
+    from tidemark import schemas
+
+    with pytest.raises(ValueError, match="rate"):
+        schemas.conform(spark.createDataFrame([(date(2024, 1, 1),)], "effective_date date"), schemas.RATE)
 
 
 def test_html(spark):

@@ -10,22 +10,23 @@ from tidemark.functions.text import non_empty, text_key
 from tidemark.work import cut
 
 
-def exact_groups(news: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds ``cluster_id``: the smallest ``key`` with the same normalised text; empty texts stay alone.
+def exact_clusters(news: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, cluster_id``: the smallest ``key`` with the same normalised text; empty texts stay alone.
 
-    The text's hash groups, so only 32 characters a row are shuffled; the hot ones are pre-aggregated.
+    Texts are read and hashed once; what is shuffled after that is ids and hashes of 32 characters, the hot ones pre-aggregated.
     """
-    keyed = news.withColumn("_h", F.when(non_empty(text), text_key(text)))
-    least = keyed.where("_h is not null").groupBy("_h").agg(F.min(key).alias("_least"))
-    return keyed.join(least, "_h", "left").withColumn("cluster_id", F.coalesce("_least", key)).drop("_h", "_least")
+    hashed = cut(news.select(key, F.when(non_empty(text), text_key(text)).alias("_h")), "text-hashes")
+    least = hashed.where("_h is not null").groupBy("_h").agg(F.min(key).alias("_least"))
+    return hashed.join(least, "_h", "left").select(key, F.coalesce("_least", key).alias("cluster_id"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 4096) -> DataFrame:
-    """``a, b, similarity`` of all pairs with a < b at or above ``least``: exact, block against block.
+def exact_groups(news: DataFrame, key: str, text: str) -> DataFrame:
+    """``news`` with ``cluster_id`` (``exact_clusters``); ``key`` must be unique."""
+    return news.join(exact_clusters(news, key, text), key)
 
-    Rows are dealt by hash into blocks of bounded size; each pair of blocks is one task's matrix product. Zero vectors and
-    vectors of other length have no similarity. Its work is quadratic by nature: ``lsh_pairs`` is the choice beyond some ten million rows.
-    """
+
+def _block_pairs(vectors: DataFrame, key: str, vector: str, block_rows: int, found, schema: str) -> DataFrame:
+    """Runs ``found(i, keys, other keys, similarities)`` on each pair of blocks; see ``cosine_pairs``."""
     v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
     n = v.count()
     blocks = max(1, -(-n // block_rows))
@@ -34,25 +35,66 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     dealt = v.withColumn("own", own).withColumn("other", every)
     left = dealt.where("own <= other").select("k", "v", F.col("own").alias("i"), F.col("other").alias("j"))
     right = dealt.where("other <= own").select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("other").alias("i"), F.col("own").alias("j"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def multiply(i, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({c: [] for c in names})]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+            return out[0]
         for size in set(a["v"].map(len)) & set(b["v2"].map(len)) - {0}:
             x, y = a[a["v"].map(len) == size], b[b["v2"].map(len) == size]
             m, o = (np.array(t.tolist(), np.float64) for t in (x["v"], y["v2"]))
             with np.errstate(invalid="ignore", divide="ignore"):
                 m, o = m / np.linalg.norm(m, axis=1, keepdims=True), o / np.linalg.norm(o, axis=1, keepdims=True)
-            s = m @ o.T
-            ka, kb = x["k"].to_numpy(), y["k2"].to_numpy()
-            ok = (s >= least) & (ka[:, None] < kb[None, :] if i[0] == i[1] else ka[:, None] != kb[None, :])
-            r, c = np.nonzero(ok)
-            out.append(pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c]), "similarity": s[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+            out.append(found(i[0] == i[1], x["k"].to_numpy(), y["k2"].to_numpy(), m @ o.T))
+        return pd.concat(out[1:]) if out[1:] else out[0]
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiply, schema)
+
+
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 2048) -> DataFrame:
+    """``a, b, similarity`` of all pairs with a < b at or above ``least``: exact, block against block.
+
+    Rows are dealt by hash into blocks of bounded size; each pair of blocks is one task's matrix product. Zero vectors and
+    vectors of other length have no similarity. Its work is quadratic by nature, and so is its output where groups are large: ``cosine_links`` is
+    for their closure, ``lsh_pairs`` for high thresholds beyond some ten million rows.
+    """
+
+    def pairs(same: bool, ka: np.ndarray, kb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        r, c = np.nonzero((s >= least) & (ka[:, None] < kb[None, :] if same else ka[:, None] != kb[None, :]))
+        return pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c]), "similarity": s[r, c]})
+
+    kind = dict(vectors.dtypes)[key]
+    return _block_pairs(vectors, key, vector, block_rows, pairs, f"a {kind}, b {kind}, similarity double")
+
+
+def spanning_links(s: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a boolean matrix whose links join what all true cells join: fewer than rows and columns together. ``same``: both are the same things."""
+    label, columns = np.arange(s.shape[0] + (0 if same else s.shape[1])), 0 if same else s.shape[0]
+    kept_r, kept_c = [], []
+    for r in range(s.shape[0]):
+        c = np.flatnonzero(s[r])
+        _, first = np.unique(label[c + columns], return_index=True)  # one link to each group that the row touches
+        c = c[first]
+        groups, own = label[c + columns], label[r]
+        c, groups = c[groups != own], groups[groups != own]
+        if len(c):
+            label[np.isin(label, groups)] = own
+            kept_r.append(np.full(len(c), r))
+            kept_c.append(c)
+    flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    return flat(kept_r), flat(kept_c)
+
+
+def cosine_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 2048) -> DataFrame:
+    """``a, b``: links whose closure is that of ``cosine_pairs``. A block gives a forest, so a group of n stories costs n links a block and never n * n."""
+
+    def links(same: bool, ka: np.ndarray, kb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        r, c = spanning_links(s >= least, same)
+        return pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c])})
 
     kind = dict(vectors.dtypes)[key]
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")
+    return _block_pairs(vectors, key, vector, block_rows, links, f"a {kind}, b {kind}")
 
 
 def lsh_shape(least: float, rows: int, recall: float) -> tuple[int, int]:

@@ -25,7 +25,7 @@ g as (select *, min(news_id) over (partition by h) as cluster_id from k)
 
 @query(f"with {_GROUPS} select news_id, cluster_id, news_id = cluster_id as kept from g")
 def dedup_exact(spark, sf):
-    g = stories.exact_groups(i.news(spark, sf), "news_id", "text")
+    g = stories.exact_clusters(i.news(spark, sf), "news_id", "text")
     return g.select("news_id", "cluster_id", (F.col("news_id") == F.col("cluster_id")).alias("kept"))
 
 
@@ -50,7 +50,7 @@ c as (select a as node, a as root from l union select c.node, l.b from c join l
 select node as news_id, min(root) as cluster_id from c group by node
 """)
 def dedup_cosine(spark, sf):
-    p = stories.cosine_pairs(i.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4)
+    p = stories.cosine_links(i.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4)
     return stories.groups_of(p).select(F.col("node").alias("news_id"), "cluster_id")
 
 

@@ -2,11 +2,13 @@
 
 Collecting itself needs a network and is not the engine's; collectors land files, and these readers give them the
 engine's schemas. ``register`` adds two Python data sources: ``landed_messages`` (JSON lines, one file a partition)
-and ``sqlite_table`` (a table read in key ranges).
+and ``sqlite_table`` (a table read in key ranges). Message files are opened through Arrow's file systems, so they may lie in any
+store that the cluster shares. SQLite itself reads only mounted paths: the database must be on one that all executors mount.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import sqlite3
 from collections.abc import Iterator
@@ -15,17 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark import schemas
+from tidemark.work import open_fs
 
 MARKET = {"candles": schemas.CANDLE, "index": schemas.CANDLE, "brent": schemas.SERIES, "usd_rub": schemas.SERIES, "rate": schemas.RATE, "dividends": schemas.DIVIDEND, "capitalization": schemas.CAPITALIZATION}
 
 
 def read_market(spark: SparkSession, kind: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """One of ``MARKET`` from landed files of any built-in format, with its schema declared, never inferred."""
+    """One of ``MARKET`` from landed files of any built-in format, with its schema declared, never inferred.
+
+    Files may have further columns and any order of them where the format names its columns (Parquet, JSON); CSV files must have the schema's.
+    """
     reader = spark.read.schema(MARKET[kind])
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+    return schemas.conform((reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path), MARKET[kind])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] | None = None) -> None:
+    """A result or a report as a folder of files of any built-in format; an earlier one there is replaced."""
     writer = df.write.mode("overwrite").format(fmt)
     (writer.partitionBy(*by) if by else writer).save(path)
 
@@ -59,8 +66,9 @@ class MessageReader(DataSourceReader):
     def read(self, partition: MessageFile) -> Iterator[tuple]:
         from datetime import datetime
 
-        with open(partition.path, encoding="utf-8") as f:
-            for line in f:
+        fs, path = open_fs(partition.path)
+        with fs.open_input_stream(path) as raw:
+            for line in io.TextIOWrapper(raw, encoding="utf-8"):
                 if line.strip():
                     m = json.loads(line)
                     yield m["id"], self.kind, m.get("channel"), datetime.fromisoformat(m["date"]), m.get("text")

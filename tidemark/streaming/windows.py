@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.work import fresh
+from tidemark.work import fresh, open_fs
 
 DELAY = "10 minutes"
 
@@ -13,9 +14,10 @@ def open_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     """A stream over landed event files of the table's own schema. ``path`` is a folder, or one file, which streams need a folder for."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    fs, at = open_fs(path)
+    if fs.get_file_info(at).type == FileType.File:
+        folder, name = path.rsplit("/", 1)
+        reader, path = reader.option("pathGlobFilter", name), folder
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
