@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import udtf
 
 from tidemark.functions.text import NOT_WORD
 
@@ -146,3 +147,17 @@ def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str
     longest = max((n for _, n, _ in table), default=1)
     known = sorted({form for form, *_ in table})
     return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest, common, known if len(known) <= FEW_FORMS else ())
+
+
+@udtf(returnType="ticker string, place int")
+class CashTags:
+    """Tickers written as ``$SBER`` with their place in the text, one row each: a table function for lateral joins."""
+
+    def eval(self, text: str):
+        for m in re.finditer(r"\$([A-Z]{1,5})\b", text or ""):
+            yield m[1], m.start()
+
+
+def cash_tags(news: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, ticker, place`` of all tags; texts without any give no rows."""
+    return news.lateralJoin(CashTags(F.col(text).outer())).select(key, "ticker", "place")

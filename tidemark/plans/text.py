@@ -50,6 +50,18 @@ def mentions_media(spark, sf):
     return _mention(spark, sf, m.MEDIA)
 
 
+@query("""
+with t as (select news_id, unnest([chr(cast(65 + news_id % 26 as int)) || 'A', chr(cast(65 + news_id % 7 as int))]) as ticker, unnest([8, 12]) as place from stories where news_id % 5 > 0)
+select news_id, ticker, place from t
+""")
+def cash_tags(spark, sf):
+    """Tags by a table function; the texts are stand-ins made from ids, a fifth of them without any tag."""
+    letter = lambda n: F.chr(65 + F.col("news_id") % n)
+    tagged = F.concat(F.lit("news of $"), letter(26), F.lit("A $"), letter(7), F.lit(", not $lower, $TOOLONG or US$"))
+    n = i.news(spark, sf).select("news_id", F.when(F.col("news_id") % 5 > 0, tagged).otherwise("none").alias("text"))
+    return m.cash_tags(n, "news_id", "text")
+
+
 @query(r"""
 with t as (select lang, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) as token from stories),
 c as (select lang, token, count(*) as n from t group by 1, 2), r as (select *, cast(row_number() over (partition by lang order by n desc, token) as int) as rank from c)
