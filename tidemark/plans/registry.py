@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tidemark.plans import books, market, news, study, text  # noqa: F401
+    from tidemark.plans import books, landed, market, news, study, text  # noqa: F401
 
 
 load()

@@ -108,7 +108,7 @@ def macro_signals(spark, sf):
     return s.select("news_id", "signal.class", "signal.scope", F.explode("signal.tickers").alias("ticker"))
 
 
-@query()
+@query("select news_id, case when regexp_matches(lower(text), 'санкц|войн|sanction|conflict') then 'geo' when regexp_matches(lower(text), 'ставк|инфляц|ввп|rate|inflation|gdp') then 'macro' else 'other' end as class from stories")
 def macro_classify(spark, sf):
     """The classifier boundary with its stand-in rules."""
     n = i.news(spark, sf).select("news_id", "text")
