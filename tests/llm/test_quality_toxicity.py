@@ -30,6 +30,31 @@ def test_marginals_equal_enumeration():
     assert np.allclose(gamma, want) and np.allclose(pairs, want_pairs)
 
 
+def test_document_score_is_the_length_weighted_mean_of_enumerated_marginals():
+    """Features of neighbours, emissions, path sums and weights, all by plain loops over each document."""
+    good = ["A plain sentence about the sea.\nIt goes on for a while, calmly.\nAnd it ends here.", "One line only, in good order."]
+    bad = ["### $$$ |||\n### $$$ |||\n12345 67890", "BUY NOW !!! <a> <b>\nBUY NOW !!! <a> <b>"]
+    texts, y = good * 6 + bad * 6, np.array([1.0] * 12 + [0.0] * 12)
+    model = quality_crf.LineCrf().fit(texts, y, np.ones(24))
+    asked = ["First line here.\n$$$ ||| ###\n\n  \nLast words of it, said twice.\nLast words of it, said twice.", *good, *bad]
+    got = model._mean_marginal(*quality_crf.batch_features(asked))
+    for text, value in zip(asked, got):
+        rows, sizes = quality_crf.line_features(text)
+        n, zero = len(rows), [0.0] * len(rows[0])
+        emit = []
+        for k, row in enumerate(rows):
+            x = [*row, *(max(v - h, 0) for hinge in model.hinges for v, h in zip(row, hinge)), *(rows[k - 1] if k else zero), *(rows[k + 1] if k + 1 < n else zero), float(k == 0), float(k == n - 1)]
+            emit.append(sum(w * (v - m) / s for w, v, m, s in zip(model.w, x, model.mean, model.scale)) + model.b)
+        total, of_good = 0.0, [0.0] * n
+        for path in itertools.product((0, 1), repeat=n):
+            weight = math.exp(sum(e for e, state in zip(emit, path) if state) + sum(model.t[a, b] for a, b in zip(path, path[1:])))
+            total += weight
+            of_good = [g + weight * state for g, state in zip(of_good, path)]
+        p = sum(size * g / total for size, g in zip(sizes, of_good)) / sum(sizes)
+        assert value == pytest.approx(math.log((p + 1e-6) / (1 - p + 1e-6)), abs=1e-6)
+    assert (model.score(good) > 0.5).all() and (model.score(bad) < 0.5).all()
+
+
 def held_out_accuracy(rows, labels, column):
     y = {r.doc_id: r[column] for r in labels.collect()}
     hit = [(r.predicted == y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
