@@ -555,3 +555,34 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted((r.user_id, r.n) for r in s) == [(7, 1), (7, 1), (8, 2)]
     assert w.drain(w.sliding(w.open_events(spark, path), "1 hour", "30 minutes", []), "c").count() > 3
     assert w.drain(w.first_seen(w.open_events(spark, path), ["event_id"]), "d").count() == 4
+
+
+# --- shared folder -------------------------------------------------------------------------
+
+
+def test_passing_folders_go_and_kept_ones_stay(spark):
+    from pathlib import Path
+    from threading import Thread
+
+    from tidemark import work
+
+    there = lambda uri: Path(uri.removeprefix("file://").removeprefix("file:")).exists()
+    one = spark.range(3)
+    with work.passing() as outer:
+        before = work.cut(one, "outer").inputFiles()[0].rsplit("/", 1)[0]
+        with work.passing() as inner:
+            inner.append(work.fresh(spark, "kept"))
+            one.write.parquet(inner[0])
+            gone = work.cut(one, "inner").inputFiles()[0].rsplit("/", 1)[0]
+            other: list[str] = []
+            t = Thread(target=lambda: other.append(work.fresh(spark, "other")))
+            t.start()
+            t.join()
+            one.write.parquet(other[0])
+        assert there(inner[0]) and not there(gone) and there(before) and there(other[0])
+        outer.append(inner[0])
+    assert there(inner[0]) and not there(before) and there(other[0])
+    work.discard([inner[0], *other, other[0]])
+    assert not there(inner[0]) and not there(other[0])
+    with pytest.warns(UserWarning, match="stays"):
+        work.discard(["nosuch://bucket/x"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyarrow.fs import FileSelector, LocalFileSystem
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as b
@@ -74,24 +75,19 @@ def landed_messages(spark, sf):
         n.select(F.col("news_id").alias("id"), F.col("source").alias("channel"), F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "text").write.json(path)
         fs, at = open_fs(path)
         scheme = path[: len(path) - len(at)] if path.endswith(at) else ""
-        files = [scheme + f.path for f in fs.get_file_info(_selector(at)) if f.base_name.endswith(".json") and f.size]
+        files = [scheme + f.path for f in fs.get_file_info(FileSelector(at)) if f.base_name.endswith(".json") and f.size]
         read = spark.read.format("landed_messages").options(paths=",".join(files), kind=kind).load()
         out = read if out is None else out.unionByName(read)
     return out.groupBy("source_kind", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.min("published").alias("first"), F.max("published").alias("last"))
 
 
-def _selector(path: str):
-    from pyarrow.fs import FileSelector
-
-    return FileSelector(path)
-
-
 @query("select n_nationkey, n_name, r_name from nation join region on r_regionkey = n_regionkey where n_nationkey >= 0")
 def sqlite_round_trip(spark, sf):
     """A small table out to SQLite and in again, a key range a partition."""
     landed.register(spark)
-    folder = fresh(spark, "sqlite")
-    fs, path = open_fs(folder)
+    fs, path = open_fs(fresh(spark, "sqlite"))
+    if not isinstance(fs, LocalFileSystem):
+        raise ValueError("SQLite needs a shared folder that all machines mount")
     fs.create_dir(path)
     n, r = i.table(spark, sf, "nation"), i.table(spark, sf, "region")
     small = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")

@@ -9,14 +9,18 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tidemark_folders", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +38,8 @@ def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared one; nothing is created yet."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(folder)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(folder)
     return folder
 
 
@@ -58,23 +64,30 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def discard(folders: list[str]) -> None:
-    """Remove folders that ``fresh`` has named, and forget them; those never created or already gone are no error."""
+    """Remove folders that ``fresh`` has named, and forget them. It only tidies up: what a store does not let it remove stays, with a warning."""
     for folder in folders:
-        fs, path = open_fs(folder)
-        if fs.get_file_info(path).type != pafs.FileType.NotFound:
-            fs.delete_dir(path)
+        try:
+            fs, path = open_fs(folder)
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                fs.delete_dir(path)
+        except (OSError, pa.ArrowException) as e:
+            warnings.warn(f"{folder} stays: {e}", stacklevel=2)
         if folder in _MADE:
             _MADE.remove(folder)
 
 
 @contextmanager
 def passing() -> Iterator[list[str]]:
-    """Folders named inside are removed at the end, those put on the yielded list aside. What reads them must have run by then."""
-    before, kept = len(_MADE), []
+    """Folders that this thread names inside are removed at the end, those put on the yielded list aside. What reads them must have run by then."""
+    outer, mine, kept = _SCOPE.get(), [], []
+    token = _SCOPE.set(mine)
     try:
         yield kept
     finally:
-        discard([f for f in _MADE[before:] if f not in kept])
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer.extend(kept)
+        discard([f for f in mine if f not in kept])
 
 
 def clean_up() -> None:
