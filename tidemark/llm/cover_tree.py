@@ -273,7 +273,7 @@ def search_blocks(table: DataFrame, k: int = K, every: int = QUERY_EVERY, block_
             return pd.DataFrame({"dim": [dim], "region": [region], "part": [part], "n": [len(frame)], "path": [path], "far": [far], "long": [long]})
 
         parts = rows.groupBy("dim", "region").agg(F.ceil(F.count("*") / most).alias("parts"))
-        sliced = rows.join(parts, ["dim", "region"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+        sliced = rows.join(parts, ["dim", "region"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int"))
         made = sliced.drop("parts").groupBy("dim", "region", "part").applyInPandas(build, "dim int, region int, part int, n long, path string, far double, long double")
         return materialize(made, f"{kind}-trees")
 
