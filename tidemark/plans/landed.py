@@ -108,8 +108,8 @@ def ticker_dimension(spark, sf):
     folder = fresh(spark, "tickers")
     fs, path = open_fs(folder)
     fs.create_dir(path)
-    with fs.open_output_stream(f"{path}/tickers.json") as f:
+    with fs.open_output_stream(f"{path}/securities.json") as f:
         f.write(json.dumps(listed, ensure_ascii=False, indent=1).encode())
-    dim = tickers.read_tickers(spark, f"{folder}/tickers.json")
+    dim = tickers.read_tickers(spark, f"{folder}/securities.json")
     said = i.mentions(spark, sf).join(i.dimension(spark, sf).select("inst", F.col("sector").alias("issuer")), "inst")
     return dim.join(said, "issuer", "left").groupBy("ticker", "issuer", dim.sector).agg(F.count("news_id").alias("n_news"))
