@@ -1,0 +1,3 @@
+"""The queries over the test tables. Importing any of them registers all; ``registry`` imports none."""
+
+from tidemark.plans import books, landed, market, news, study, text  # noqa: F401

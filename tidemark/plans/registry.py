@@ -23,10 +23,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def load() -> None:
-    from tidemark.plans import books, landed, market, news, study, text  # noqa: F401
-
-
-load()
