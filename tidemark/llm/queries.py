@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat_format, cover_tree, mixing, quality_crf, quality_rules, simhash, token_files, toxicity_mil, transducer_bpe, warc_zstd
+from tidemark.llm import chat_format, cover_tree, jaccard_join, mixing, quality_crf, quality_rules, simhash, token_files, toxicity_mil, transducer_bpe, warc_zstd, weighted_lloyd, whitening
 from tidemark.llm.shared import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,7 +65,19 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(warc_zstd.write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_token_files, op3_pivotal_mix, op4_cover_tree_topk, op5_chat_round_trip, op6_transducer_bpe, op7_simhash_vptree, op8_adaptive_rules, op9_toxicity_mil, op10_warc_zstd)}
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_token_files, op3_pivotal_mix, op4_cover_tree_topk, op5_chat_round_trip, op6_transducer_bpe, op7_simhash_vptree, op8_adaptive_rules, op9_toxicity_mil, op10_warc_zstd, op11_jaccard_join, op12_whitening, op13_weighted_lloyd)}
 
 _OP4 = """
 with v as (
@@ -168,4 +180,61 @@ select page_id, payload_bytes, payload_digest,
 from w
 """
 
-ORACLE_SQL = {"op4_cover_tree_topk": _OP4, "op5_chat_round_trip": _OP5, "op8_adaptive_rules": _OP8, "op10_warc_zstd": _OP10}
+_OP11 = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), g as (
+  select distinct rid, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as g
+  from (select rid, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)
+), n as (
+  select rid, count(*) as n from g group by rid
+), common as (
+  select g, count(*) as c from g group by g having count(*) > 1
+), kept as (
+  select g.rid, g.g from g join common using (g)
+), link as (
+  select a.rid as a, b.rid as b
+  from kept a join kept b on a.g = b.g and a.rid <> b.rid join n x on x.rid = a.rid join n y on y.rid = b.rid
+  group by a.rid, b.rid, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach as (
+  select rid as a, rid as b from d
+  union select r.a, l.b from reach r join link l on l.a = r.b
+), least as (
+  select r.a as rid, min(d.doc_id) as component_id from reach r join d on d.rid = r.b group by r.a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least.component_id from d join least on least.rid = d.rid left join n on n.rid = d.rid
+"""
+
+
+def _op13(rounds: int = 10) -> str:
+    """A common table of centroids for each round."""
+    steps = ""
+    for k in range(rounds):
+        steps += f""", a{k} as materialized (
+  select rid, c from (select v.rid, m.c, row_number() over (partition by v.rid order by sum((v.x - m.x) * (v.x - m.x)), m.c) as r from v join m{k} m on m.i = v.i group by v.rid, m.c) where r = 1
+), m{k + 1} as materialized (
+  select m.c, m.i, case when s.n is null then m.x else (s.s - ((s.s % s.n) + s.n) % s.n) // s.n end as x
+  from m{k} m left join (select a.c, v.i, sum(v.x) as s, count(*) as n from a{k} a join v on v.rid = a.rid group by a.c, v.i) s on s.c = m.c and s.i = m.i
+)"""
+    return f"""
+with e as (
+  select row_number() over () as rid, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), v as materialized (
+  select rid, vec_id, generate_subscripts(embedding, 1) as i, cast(floor(1024 * cast(unnest(embedding) as double)) as bigint) as x from e
+), m0 as materialized (
+  select s.c, v.i, v.x from (select rid, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from e order by c limit 8) s join v on v.rid = s.rid
+){steps}, f as materialized (
+  select rid, vec_id, c, d from (
+    select v.rid, v.vec_id, m.c, sum((v.x - m.x) * (v.x - m.x)) as d, row_number() over (partition by v.rid order by sum((v.x - m.x) * (v.x - m.x)), m.c) as r
+    from v join m{rounds} m on m.i = v.i group by v.rid, v.vec_id, m.c) where r = 1
+), h as (
+  select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as h from m{rounds} group by c
+)
+select vec_id, cast(f.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by f.c) as bigint) as cluster_inertia,
+       cast(sum(d) over () as bigint) as inertia, h as centroid_sha256
+from f join h on h.c = f.c
+"""
+
+
+ORACLE_SQL = {"op4_cover_tree_topk": _OP4, "op5_chat_round_trip": _OP5, "op8_adaptive_rules": _OP8, "op10_warc_zstd": _OP10, "op11_jaccard_join": _OP11, "op13_weighted_lloyd": _op13()}
