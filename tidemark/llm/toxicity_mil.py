@@ -1,10 +1,11 @@
-"""Toxicity by multiple-instance learning: sentences score, a noisy-or combines those that offend, documents' labels train.
+"""Toxicity by multiple-instance learning: sentences score, a noisy-or combines them, documents' labels train.
 
-A sentence has p = sigmoid(bias + sum of weights of its words and of their beginnings, which stand for inflected
-stems); training takes a document as toxic with 1 - prod(1 - p). A score takes the product over the worst sentence and
-those that reach the model's ``gate`` alone: the background of harmless ones would grow with the length. The gate lies where one
-sentence is enough to call a document toxic, so texts clean by themselves stay clean when joined. Only documents carry labels. Words and beginnings are those that tell
-the training documents' classes apart; the trained model also says which sentences offend (``offending_sentences``).
+A sentence's evidence is z = bias + the sum of weights of its words and of their beginnings, which stand for inflected
+stems. It is toxic with p = 1 - exp(-rate), rate = softplus(SHARP * z) / SHARP: a logistic link whose lower tail falls fast, so that a million
+harmless sentences add up to nothing while several doubtful ones do add up. A document is toxic with 1 - prod(1 - p) over all its sentences; that one formula is
+trained and scored. Clean documents' share of the loss is the sum of their sentences' rates, thus that of all of them joined; ``CLEAN`` weighs it. Only documents
+carry labels. Words and beginnings are those that tell the training documents' classes apart; the trained model also says which sentences offend
+(``offending_sentences``).
 
 Defined cases: null and empty texts have one empty sentence; a sentence of more than ``MOST_WORDS`` words counts in pieces of so many; a null ``doc_id`` is not held out; repeated rows get a row each;
 without usable labels, or with one class only, scores are near that class (0 without labels); an empty table gives no rows; further
@@ -16,20 +17,24 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.quality_crf import filter_documents, score_documents
-from tidemark.llm.training import adam, calibrate, labelled_sample, sigmoid
+from tidemark.llm.training import adam, labelled_sample, sigmoid
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.3
 VOCABULARY, LEAST_DOCS, STEPS, RIDGE = 2000, 4, 300, 3e-4
+SHARP, CLEAN = 12.0, 1e4
 MOST_WORDS = 64
 _STEMS, _MEMO_WORDS, _SLOTS = (4, 5, 6, 7, 8), 200_000, 1 << 22
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_ENDS = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
+_SPAN = 1 << 16
 
 
 def sentences(text: str) -> list[str]:
@@ -44,6 +49,20 @@ def pieces(sentence: str) -> list[str]:
     return [sentence[a:b] for a, b in zip([0, *cuts], [*cuts, None])]
 
 
+def word_groups(low: str, a: int, b: int) -> Iterator[set[str]]:
+    """The words of one sentence of a lower-case text, in pieces of ``MOST_WORDS``; the words of a long one are never listed whole."""
+    if b - a < _SPAN:
+        words = _WORD.findall(low, a, b)
+        if words or not low[a:b].isspace() and a < b:
+            yield from (set(words[k : k + MOST_WORDS]) for k in range(0, len(words) or 1, MOST_WORDS))
+        return
+    found = (m[0] for m in _WORD.finditer(low, a, b))
+    first = True
+    while (words := set(islice(found, MOST_WORDS))) or first:
+        first = False
+        yield words
+
+
 def marks_of(word: str) -> list[str]:
     """The word and its proper beginnings (ending in a dash)."""
     return [word, *(word[:k] + "-" for k in _STEMS if len(word) > k)]
@@ -98,72 +117,77 @@ def choose_marks(texts: list[str], y: np.ndarray) -> list[str]:
     return [names[i] for i in np.argsort(-far, kind="stable")[:VOCABULARY] if far[i] > 0]
 
 
+def rate(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, SHARP * z) / SHARP
+
+
 class NoisyOr:
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> "NoisyOr":
-        self.weights, self.bias, self.slope, self.shift, self.gate = {}, -12.0, 1.0, 0.0, np.inf
+        self.weights, self.bias = {}, -3.0
         if not len(y) or y.min() == y.max():
-            self.slope, self.shift = 0.0, -6.0 if not len(y) or y[0] == 0 else 6.0
+            self.bias = 3.0 if len(y) and y[0] == 1 else -3.0
             return self
         place = {m: i for i, m in enumerate(choose_marks(texts, y))}
-        doc, sent, word, n_sent = [], [], [], 0
+        bag, sent, word, n_sent = [], [], [], 0
         for d, t in enumerate(texts):
-            for s in sentences(t):
-                hits = [place[m] for m in words_of(s) if m in place]
-                doc.append(d)
-                word += hits
-                sent += [n_sent] * len(hits)
-                n_sent += 1
-        doc, sent, word = (np.array(x, np.int64) for x in (doc, sent, word))
-
-        def parts(p):
-            z = p[-1] + np.bincount(sent, p[word], n_sent)
-            lone = sigmoid(z)
-            log_clean = np.bincount(doc, -np.logaddexp(0, z), len(y))
-            return lone, log_clean
+            # One bag as the text stands and one without ends of sentences: evidence is to add up alike in pieces of either kind.
+            for k, parts in enumerate((sentences(t), pieces(_ENDS.sub(" ", t)))):
+                for s in parts:
+                    hits = [place[m] for m in words_of(s) if m in place]
+                    bag.append(2 * d + k)
+                    word += hits
+                    sent += [n_sent] * len(hits)
+                    n_sent += 1
+        bag, sent, word = (np.array(x, np.int64) for x in (bag, sent, word))
+        y, weight = np.repeat(y, 2), np.repeat(weight, 2)
 
         def gradient(p):
-            lone, log_clean = parts(p)
-            clean = np.exp(log_clean)
-            push = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * weight  # of -log P by the sum of log(1 - p)
-            gz = push[doc] * lone / len(y)
+            z = p[-1] + np.bincount(sent, p[word], n_sent)
+            total = np.bincount(bag, rate(z), len(y))
+            push = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-12)), CLEAN) * weight  # of -log P by the sum of rates
+            gz = push[bag] * sigmoid(SHARP * z) / len(y)
             g = np.append(np.bincount(word, gz[sent], len(place)), gz.sum())
             g[:-1] += RIDGE * p[:-1]
             return g
 
         start = np.zeros(len(place) + 1)
-        start[-1] = -4.0
+        start[-1] = -1.0
         p = adam(gradient, start, STEPS, 0.1)
         self.weights = {w: float(p[i]) for w, i in place.items() if abs(p[i]) > 0.02}
         self.bias = float(p[-1])
-        called = np.log(THRESHOLD / (1 - THRESHOLD))
-        for self.gate in (called, np.inf):  # a gate below the log-odds that call a document toxic would let weak sentences add up
-            self.slope, self.shift = calibrate(self.raw(texts), y, weight)
-            if self.slope * self.gate + self.shift >= called:
-                break
         return self
 
+    def weight_of(self, word: str) -> float:
+        if "memo" not in self.__dict__:
+            self.memo = WordWeights(self.weights)
+        return self.memo[word]
+
+    def evidence(self, text: str) -> Iterator[float]:
+        """``z`` of each sentence, one at a time."""
+        low, a, found = text.lower(), 0, False
+        for end in chain(_SENTENCE.finditer(low), (None,)):
+            b = end.start() if end else len(low)
+            for words in word_groups(low, a, b):
+                found = True
+                yield self.bias + sum(map(self.weight_of, words))
+            a = end.end() if end else b
+        if not found:
+            yield self.bias
+
     def sentence_scores(self, text: str) -> np.ndarray:
-        get = WordWeights(self.weights).__getitem__
-        return sigmoid(np.array([self.bias + sum(map(get, set(_WORD.findall(s.lower())))) for s in sentences(text)]))
-
-    def raw(self, texts: list[str]) -> np.ndarray:
-        """Log-odds of the noisy-or of each text's worst sentence and those that reach the gate."""
-        out, base = np.empty(len(texts)), self.bias
-        if "get" not in self.__dict__:
-            self.get = WordWeights(self.weights).__getitem__
+        return -np.expm1(-rate(np.array([self.bias + sum(map(self.weight_of, set(_WORD.findall(s.lower())))) for s in sentences(text)])))
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """The noisy-or of each text's sentences."""
+        total = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            words = [_WORD.findall(s) for s in _SENTENCE.split(text.lower()) if s and not s.isspace()]
-            z = base + np.array([sum(map(self.get, set(w[k : k + MOST_WORDS]))) for w in words for k in range(0, len(w) or 1, MOST_WORDS)] or [0.0])
-            offends = z >= self.gate
-            total = float(np.logaddexp(0, z[offends] if offends.any() else z.max()).sum())
-            out[i] = np.log(-np.expm1(-total) + 1e-300) + total  # P / (1 - P)
-        return out
+            z = self.evidence(text)
+            while len(part := np.fromiter(islice(z, 1 << 16), np.float64)):
+                total[i] += rate(part).sum()
+        return -np.expm1(-total)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "get"}
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(self.slope * self.raw(texts) + self.shift)
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> NoisyOr:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLE_PER_CLASS = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 20_000_000
 
 
 def remainder(doc_id, mod: int) -> Column:
@@ -17,8 +17,8 @@ def remainder(doc_id, mod: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights to learn from, never with ``crc32(doc_id) % mod == held_out``.
 
-    The bound: of each class the ``per_class`` ids that come first by a hash, and of these the documents of at most
-    ``chars`` characters. Labels without a document do not count. Weights restore the share of the classes among all usable labels.
+    The bound: of each class the ``per_class`` ids that come first by a hash, and of these whole texts, in that order, as long as they hold at most ``chars``
+    characters together; a text of more than ``chars`` by itself gives its first stretch. Labels without a document do not count. Weights restore the share of the classes among all usable labels.
     Rows with equal id count once (highest label, first text).
     """
     labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -29,8 +29,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     likely = {y: place < min(1 << 30, (2 * per_class << 30) // max(share[y], 1)) for y in (0, 1)}  # spares the sort most rows
     picked = [usable.where((F.col("y") == y) & likely[y]).orderBy(place, "doc_id").limit(per_class) for y in (0, 1)]
     picked = picked[0].union(picked[1])  # at most 2 * per_class rows: small enough to broadcast
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    before = Window.partitionBy("y").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")  # over the picked rows
+    rows = rows.withColumn("_sum", F.sum(F.length("text")).over(before)).where(F.col("_sum") <= chars).select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows], np.float64)
     got = [max(1, int((y == k).sum())) for k in (0, 1)]
