@@ -1,8 +1,12 @@
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -30,6 +34,46 @@ def test_marginals_equal_enumeration():
     assert np.allclose(gamma, want) and np.allclose(pairs, want_pairs)
 
 
+def test_stretches_of_one_chain_equal_plain_recursion():
+    r = np.random.default_rng(4)
+    counts = np.array([1, 700, 0, 3, 1500, 2])
+    emit, t = r.normal(scale=3, size=counts.sum()), r.normal(size=(2, 2))
+    gamma, _ = quality_crf.marginals(emit, t, counts)
+    want, at = [], 0
+    for n in counts:
+        a, b = np.ones((n, 2)), np.ones((n, 2))
+        for k in range(n):
+            a[k] = (a[k - 1] @ np.exp(t) if k else np.ones(2)) * [1, np.exp(emit[at + k])]
+            a[k] /= a[k].sum()
+        for k in range(n - 2, -1, -1):
+            b[k] = np.exp(t) @ (b[k + 1] * [1, np.exp(emit[at + k + 1])])
+            b[k] /= b[k].sum()
+        want += ((a * b)[:, 1] / (a * b).sum(axis=1)).tolist()
+        at += n
+    assert np.allclose(gamma, want, atol=1e-9)
+
+
+ALONE = """
+import resource, sys, time
+import numpy as np
+from tidemark.llm import quality_crf
+good, bad = "A plain sentence about the sea.\\nIt goes on, calmly.", "### $$$ |||\\n12345 67890"
+model = quality_crf.LineCrf().fit([good, bad] * 10, np.array([1.0, 0.0] * 10), np.ones(20))
+text = sys.argv[1].replace("N", "\\n") * (2_000_000 // len(sys.argv[1]))
+held, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+score = model.score([text])[0]
+print(time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - held) / 1024, score)
+"""
+
+
+@pytest.mark.parametrize("line", ["aN", "abcN", "a b cNN"])
+def test_many_short_lines_cost_little(line):
+    """A text of 2 MB in up to a million lines: its seconds and megabytes, in a process of its own."""
+    run = subprocess.run([sys.executable, "-c", ALONE, line], env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    seconds, mb, score = map(float, run.stdout.split())
+    assert seconds < 20 and mb < 500 and 0 <= score <= 1
+
+
 def test_document_score_is_the_length_weighted_mean_of_enumerated_marginals():
     """Features of neighbours, emissions, path sums and weights, all by plain loops over each document."""
     good = ["A plain sentence about the sea.\nIt goes on for a while, calmly.\nAnd it ends here.", "One line only, in good order."]
@@ -37,9 +81,11 @@ def test_document_score_is_the_length_weighted_mean_of_enumerated_marginals():
     texts, y = good * 6 + bad * 6, np.array([1.0] * 12 + [0.0] * 12)
     model = quality_crf.LineCrf().fit(texts, y, np.ones(24))
     asked = ["First line here.\n$$$ ||| ###\n\n  \nLast words of it, said twice.\nLast words of it, said twice.", *good, *bad]
-    got = model._mean_marginal(*quality_crf.batch_features(asked))
+    got = model._mean_marginal(asked)
     for text, value in zip(asked, got):
-        rows, sizes = quality_crf.line_features(text)
+        lines = [x for x in text.split("\n") if x.split()]
+        rows = [quality_crf.features_of(x, x in lines[:k], lines[k - 1] if k else None) for k, x in enumerate(lines)]
+        sizes = list(map(len, lines))
         n, zero = len(rows), [0.0] * len(rows[0])
         emit = []
         for k, row in enumerate(rows):
@@ -97,27 +143,48 @@ def test_noisy_or_finds_the_sentence(spark):
     assert [(f.doc_id, f.sentence_no) for f in found] == [(1, 2)] and "vile" in found[0].sentence
 
 
-def brute_log_odds(model, text):
-    """P / (1 - P) of 1 - prod(1 - p) over the sentences that count, each summed by hand."""
-    p = []
+def brute_score(model, text):
+    """1 - prod(1 - p) over all sentences, each summed by hand."""
+    clean = 1.0
     for s in toxicity_mil.sentences(text):
         words = set(re.findall(r"[^\W\d_]+", s.lower()))
         z = model.bias + sum(model.weights.get(m, 0.0) for w in words for m in [w, *(w[:k] + "-" for k in (4, 5, 6, 7, 8) if len(w) > k)])
-        p.append((z, 1 / (1 + math.exp(-z))))
-    offend = [x for x in p if x[0] >= model.gate] or [max(p)]
-    clean = math.prod(1 - x for _, x in offend)
-    return math.log((1 - clean) / clean)
+        clean *= (1 + math.exp(toxicity_mil.SHARP * z)) ** (-1 / toxicity_mil.SHARP)
+    return 1 - clean
 
 
-@pytest.mark.parametrize("gate", [-math.inf, -1.0, math.inf])
-def test_scores_equal_a_plain_noisy_or(gate):
+@pytest.mark.parametrize("span", [1 << 16, 8])
+def test_scores_equal_a_plain_noisy_or(monkeypatch, span):
+    monkeypatch.setattr(toxicity_mil, "_SPAN", span)
     r = random.Random(2)
     words = ["vile", "vilest", "trash", "garbage", "kind", "lovely", "Hateful", "ok"]
     model = toxicity_mil.NoisyOr().fit([], np.zeros(0), np.zeros(0))
     model.weights = {m: r.uniform(-2, 3) for w in words for m in toxicity_mil.marks_of(w.lower())}
-    model.bias, model.gate = -2.0, gate
-    texts = [" ".join(r.choice(words) + r.choice(["", "", ".", "!", "\n"]) for _ in range(r.randrange(1, 150))) for _ in range(60)]
-    assert model.raw(texts) == pytest.approx([brute_log_odds(model, t) for t in texts], abs=1e-6)
+    model.bias = -2.0
+    texts = ["", " \n", *(" ".join(r.choice(words) + r.choice(["", "", ".", "!", "\n"]) for _ in range(r.randrange(1, 150))) for _ in range(60))]
+    assert model.score(texts) == pytest.approx([brute_score(model, t) for t in texts], abs=1e-6)
+
+
+def test_training_lowers_the_loss_of_the_scored_formula():
+    """A step away from the trained weights in any drawn direction makes the loss of ``score`` no smaller."""
+    r = np.random.default_rng(1)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    make = lambda bad: " ".join(" ".join(r.choice(words, 6)) + (" vile." if bad and k == 2 else ".") for k in range(5))
+    y = np.arange(120) % 2
+    texts = [make(b) for b in y]
+    model = toxicity_mil.NoisyOr().fit(texts, y.astype(float), np.ones(120))
+
+    def loss(weights, bias):
+        other = toxicity_mil.NoisyOr()
+        other.weights, other.bias = weights, bias
+        p = np.concatenate([other.score(texts), other.score([toxicity_mil._ENDS.sub(" ", t) for t in texts])])
+        label = np.tile(y, 2)
+        return np.where(label == 1, -np.log(p + 1e-300), -toxicity_mil.CLEAN * np.log1p(-p)).mean() + toxicity_mil.RIDGE / 2 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.bias)
+    none = dict.fromkeys(model.weights, 0.0)
+    assert best < loss(none, -1.0) / 5 and best < min(loss(none, b) for b in np.linspace(-6, 2, 17))
+    assert best < loss({m: w / 2 for m, w in model.weights.items()}, model.bias)
 
 
 def test_length_alone_is_not_toxic(spark):
@@ -127,16 +194,17 @@ def test_length_alone_is_not_toxic(spark):
     texts = {k: [r.text for r in d.join(la.where(f"toxic = {k}"), "doc_id").orderBy("doc_id").collect()] for k in (0, 1)}
     clean = [t for t, s in zip(texts[0], model.score(texts[0])) if s < toxicity_mil.THRESHOLD]
     bad = max((s for t in texts[1] for s in toxicity_mil.sentences(t)), key=lambda s: model.sentence_scores(s)[0])
-    for seed in range(3):
+    for seed in range(8):
         order = np.random.default_rng(seed).permutation(len(clean))
         joined = "\n".join([clean[i] for i in order])[:1_000_000].rsplit("\n", 1)[0]
         assert len(joined) > 900_000
         half = joined.index("\n", len(joined) // 2)
-        before, after = model.score([joined, joined[:half] + "\n" + bad + joined[half:]])
-        assert before < toxicity_mil.THRESHOLD and after > 0.9
+        endless = " ".join(re.findall(r"[^\W\d_]+", joined))
+        before, after, plain = model.score([joined, joined[:half] + "\n" + bad + joined[half:], endless])
+        assert before < toxicity_mil.THRESHOLD and plain < toxicity_mil.THRESHOLD and after > 0.9
     assert model.score(["\n".join(clean)])[0] < toxicity_mil.THRESHOLD
-    plain = " ".join(w for w in re.findall(r"[^\W\d_]+", " ".join(clean)[:1_000_000]) if model.sentence_scores(w)[0] < 0.01)
-    assert model.score([plain])[0] < toxicity_mil.THRESHOLD
+    found = model.score(texts[1])
+    assert np.mean(found >= toxicity_mil.THRESHOLD) > 0.9
 
 
 def test_long_sentences_count_in_pieces():

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,71 +43,106 @@ def _byte_classes() -> np.ndarray:
 _KIND = _byte_classes()
 
 
-def line_features(text: str) -> tuple[list[list[float]], list[int]]:
-    """Features and lengths of the lines that hold a word."""
-    rows, sizes, seen, last = [], [], set(), None
-    for line in text.split("\n"):
-        words = line.split()
-        n = len(words)
-        if not n:
-            continue
-        raw = line.encode()
-        c = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=7).tolist()
-        ink = max(1, len(raw) - c[6])
-        letters = max(1, c[1] + c[2])
-        kinds = len(set(words))
-        same = sum(map(str.__eq__, words, words[1:]))
-        third = max(1, n - 2)
-        rows.append([
-            math.log1p(n), math.log1p(len(raw)), ink / n, kinds / n, kinds / math.sqrt(n), same / n,
-            len(set(zip(words, words[1:], words[2:]))) / third if n > 2 else 1.0, c[1] / letters, c[3] / ink, c[4] / ink, c[5] / ink, c[0] / ink,
-            (c[1] + c[2]) / ink, line.count("!") / n, line.count("|") / n, float(line.rstrip()[-1:] in ".!?"), float(line in seen), float(line == last),
-        ])
-        seen.add(line)
-        last = line
-        sizes.append(len(line))
-    return rows, sizes
-
-
-def batch_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Raw features of all lines, their lengths, and the number of lines of each text."""
-    rows, sizes, counts = [], [], []
-    for t in texts:
-        r, s = line_features(t)
-        rows += r
-        sizes += s
-        counts.append(len(r))
-    return np.array(rows, np.float64).reshape(-1, N_FEATURES), np.array(sizes, np.float64), np.array(counts, np.int64)
+def lines_of(text: str) -> Iterator[str]:
+    """The lines that hold a word, one at a time."""
+    a = 0
+    while a <= len(text):
+        b = text.find("\n", a)
+        b = len(text) if b < 0 else b
+        line = text[a:b]
+        if line and not line.isspace():
+            yield line
+        a = b + 1
+
+
+def repeated(text: str) -> np.ndarray:
+    """Which lines equal an earlier one. Lines are kept as 64-bit hashes: eight bytes for each, however many there are."""
+    h = np.fromiter(map(hash, lines_of(text)), np.int64)
+    again = np.ones(len(h), bool)
+    again[np.unique(h, return_index=True)[1]] = False
+    return again
+
+
+def shape(line: str) -> tuple[float, ...]:
+    """What a line says by itself."""
+    words = line.split()
+    n = len(words)
+    raw = line.encode()
+    c = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=7).tolist()
+    ink = max(1, len(raw) - c[6])
+    letters = max(1, c[1] + c[2])
+    kinds = len(set(words))
+    same = sum(map(str.__eq__, words, words[1:]))
+    third = max(1, n - 2)
+    return (
+        math.log1p(n), math.log1p(len(raw)), ink / n, kinds / n, kinds / math.sqrt(n), same / n,
+        len(set(zip(words, words[1:], words[2:]))) / third if n > 2 else 1.0, c[1] / letters, c[3] / ink, c[4] / ink, c[5] / ink, c[0] / ink,
+        (c[1] + c[2]) / ink, line.count("!") / n, line.count("|") / n, float(line.rstrip()[-1:] in ".!?"),
+    )
+
+
+_known_shape = lru_cache(maxsize=4096)(shape)
+
+
+def features_of(line: str, again: bool, last: str | None) -> tuple[float, ...]:
+    """Its shape (remembered for short lines, which come in great numbers), and whether it repeats an earlier line or the last one."""
+    return (*(_known_shape(line) if len(line) <= 64 else shape(line)), float(again), float(line == last))
+
+
+def strips(texts: list[str], rows: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Raw features of consecutive lines, ``rows`` at a time, each with the line before and after; their lengths, their texts' numbers, and whether they begin or end a text.
+
+    Yields ``raw`` (one row more at either side), ``size``, ``doc`` and ``edge`` (two columns of flags).
+    """
+    zero = (0.0,) * N_FEATURES
+
+    def walk():
+        for d, text in enumerate(texts):
+            again, last = repeated(text), None
+            for k, line in enumerate(lines_of(text)):
+                yield features_of(line, again[k], last), len(line), d, (k == 0, k == len(again) - 1)
+                last = line
+
+    lines, before = walk(), zero
+    part = list(islice(lines, rows))
+    while part:
+        ahead = list(islice(lines, rows))
+        raw = [before, *(p[0] for p in part), ahead[0][0] if ahead else zero]
+        yield np.array(raw, np.float64), np.array([p[1] for p in part], np.float64), np.array([p[2] for p in part], np.int64), np.array([p[3] for p in part], bool)
+        part, before = ahead, part[-1][0]
 
 
 class LineCrf:
     """Two states, 0 bad and 1 good. ``w`` weighs the emission of good, ``t`` the four transitions."""
 
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> "LineCrf":
-        raw, sizes, counts = batch_features(texts)
+        found = list(strips(texts))
+        doc = np.concatenate([np.zeros(0, np.int64), *(s[2] for s in found)])
+        counts = np.bincount(doc, minlength=len(texts))
         self.empty = float(np.average(y[counts == 0], weights=weight[counts == 0])) if (counts == 0).any() else 0.0
-        self.known = bool(len(raw))
+        self.known = bool(len(doc))
         if not self.known:
             self.empty = self.empty if len(y) else 1.0
             return self
-        doc = np.repeat(np.arange(len(counts)), counts)
-        self.hinges = np.quantile(raw, _HINGES, axis=0)
-        x = self._expand(raw, counts)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        x = (x - self.mean) / self.scale
+        self.hinges = np.quantile(np.concatenate([s[0][1:-1] for s in found]), _HINGES, axis=0)
+        x = np.concatenate([self._expand(s[0], s[3]).astype(np.float32) for s in found])
+        del found
+        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-6
+        x -= self.mean.astype(np.float32)
+        x /= self.scale.astype(np.float32)
         label, lw = y[doc].astype(int), weight[doc]
         n_docs = len(counts)
 
         def gradient(p):
             w, b, t = p[:-5], p[-5], p[-4:].reshape(2, 2)
-            gamma, pairs = marginals(x @ w + b, t, counts, weight)
+            gamma, pairs = marginals(x @ w.astype(np.float32) + b, t, counts, weight)
             e = lw * (gamma - label)
             same = np.zeros((2, 2))
             inner = np.ones(len(doc), bool)
             inner[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = False
             for s in (0, 1):
                 same[s, s] = lw[inner & (label == s)].sum()
-            g = np.concatenate([x.T @ e, [e.sum()], (pairs - same).ravel()]) / n_docs
+            g = np.concatenate([x.T @ e.astype(np.float32), [e.sum()], (pairs - same).ravel()]) / n_docs
             g[:-5] += RIDGE * w
             g[-4:] += RIDGE * p[-4:]
             return g
@@ -114,71 +151,79 @@ class LineCrf:
         self.w, self.b, self.t = p[:-5], p[-5], p[-4:].reshape(2, 2)
         self.slope, self.shift = 1.0, 0.0
         full = counts > 0
-        m = self._mean_marginal(raw, sizes, counts)
+        m = self._mean_marginal(texts)
         self.slope, self.shift = calibrate(m[full], y[full], weight[full])
         return self
 
-    def _expand(self, raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def _expand(self, raw: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Own features with hinges at training quantiles, the neighbours' features, and flags of the first and last line."""
-        own = [raw, *(np.maximum(raw - h, 0) for h in self.hinges)]
-        first = np.zeros(len(raw), bool)
-        last = np.zeros(len(raw), bool)
-        ends = np.cumsum(counts)[counts > 0]
-        first[ends - counts[counts > 0]] = True
-        last[ends - 1] = True
-        before = np.where(first[:, None], 0, np.roll(raw, 1, axis=0))
-        after = np.where(last[:, None], 0, np.roll(raw, -1, axis=0))
-        return np.hstack([*own, before, after, first[:, None], last[:, None]])
-
-    def _mean_marginal(self, raw, sizes, counts) -> np.ndarray:
-        """Log-odds of the length-weighted mean marginal of each text."""
-        x = (self._expand(raw, counts) - self.mean) / self.scale
-        gamma, _ = marginals(x @ self.w + self.b, self.t, counts)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        size = np.bincount(doc, sizes, len(counts))
-        good = np.bincount(doc, sizes * gamma, len(counts)) / np.maximum(size, 1)
-        bad = np.bincount(doc, sizes * (1 - gamma), len(counts)) / np.maximum(size, 1)
-        return np.log((good + 1e-6) / (bad + 1e-6))
+        own = raw[1:-1]
+        before = np.where(edge[:, :1], 0, raw[:-2])
+        after = np.where(edge[:, 1:], 0, raw[2:])
+        return np.hstack([own, *(np.maximum(own - h, 0) for h in self.hinges), before, after, edge])
+
+    def _mean_marginal(self, texts: list[str]) -> np.ndarray:
+        """Log-odds of the length-weighted mean marginal of each text; NaN for one without words. A line costs some numbers: its features pass strip by strip."""
+        w = self.w / self.scale
+        b = self.b - self.mean @ w
+        parts = [(self._expand(raw, edge) @ w + b, size, doc) for raw, size, doc, edge in strips(texts)]
+        if not parts:
+            return np.full(len(texts), np.nan)
+        emit, sizes, doc = (np.concatenate(p) for p in zip(*parts))
+        gamma, _ = marginals(emit, self.t, np.bincount(doc, minlength=len(texts)))
+        size = np.bincount(doc, sizes, len(texts))
+        good = np.bincount(doc, sizes * gamma, len(texts)) / np.maximum(size, 1)
+        bad = np.bincount(doc, sizes * (1 - gamma), len(texts)) / np.maximum(size, 1)
+        return np.where(size > 0, np.log((good + 1e-6) / (bad + 1e-6)), np.nan)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.known:
             return np.full(len(texts), self.empty)
-        raw, sizes, counts = batch_features(texts)
-        if not len(raw):
-            return np.full(len(texts), self.empty)
-        return np.where(counts > 0, sigmoid(self.slope * self._mean_marginal(raw, sizes, counts) + self.shift), self.empty)
+        m = self._mean_marginal(texts)
+        return np.where(np.isnan(m), self.empty, sigmoid(self.slope * np.nan_to_num(m) + self.shift))
 
 
 def marginals(emit: np.ndarray, t: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line by forward-backward, chains side by side; and the weighted sum of pair marginals.
+    """P(good) of each line by forward-backward, and the weighted sum of pair marginals.
 
-    ``emit`` is the score of good; that of bad is 0. Chains are sorted by length, so step k touches only those longer than k.
+    ``emit`` is the score of good; that of bad is 0. All chains are one sequence, in which a chain's first line forgets what came before. It is cut into
+    equal stretches: their two-by-two products, multiplied one after the other, give each stretch its start, and all stretches then walk side by side.
     """
-    order = np.argsort(-counts, kind="stable")
-    start = (np.cumsum(counts) - counts)[order]
-    long = counts[order]
-    steps = int(long.max(initial=0))
-    active = np.searchsorted(-long, -np.arange(steps), side="left")  # chains with more than k lines
     n = len(emit)
-    psi = np.exp(np.clip(emit, -30, 30))
-    trans = np.exp(np.clip(t, -10, 10))
-    alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
-    for k in range(steps):
-        at = start[: active[k]] + k
-        prior = alpha[at - 1] @ trans if k else np.ones((len(at), 2))
-        a = prior * np.stack([np.ones(len(at)), psi[at]], axis=1)
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
-    for k in range(steps - 2, -1, -1):
-        at = start[: active[k + 1]] + k
-        b = (beta[at + 1] * np.stack([np.ones(len(at)), psi[at + 1]], axis=1)) @ trans.T
-        beta[at] = b / b.sum(axis=1, keepdims=True)
+    first = np.zeros(n, bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    psi, trans = np.exp(np.clip(emit.astype(np.float64), -30, 30)), np.exp(np.clip(t, -10, 10))
+    long = max(1, math.isqrt(n))
+    width = -(-n // long)
+    # Step k takes a row (bad, good) on its left to line k: what it meets there is weighed by psi. Padding changes nothing.
+    step = np.tile(np.eye(2), (width * long, 1, 1))
+    step[:n] = np.where(first[:, None, None], 1.0, trans) * np.stack([np.ones(n), psi], axis=1)[:, None, :]
+    step = step.reshape(width, long, 2, 2)
+    alpha, beta = np.empty((width, long, 2)), np.empty((width, long, 2))
+    whole = np.tile(np.eye(2), (width, 1, 1))
+    for k in range(long):
+        whole = whole @ step[:, k]
+        whole /= whole.sum(axis=(1, 2), keepdims=True)
+    starts, ends = np.ones((width, 2)), np.ones((width, 2))
+    for i in range(1, width):
+        v = starts[i - 1] @ whole[i - 1]
+        starts[i] = v / v.sum()
+        v = whole[width - i] @ ends[width - i]
+        ends[width - i - 1] = v / v.sum()
+    v, u = starts, ends
+    for k in range(long):
+        v = np.einsum("wi,wij->wj", v, step[:, k])
+        v = v / v.sum(axis=1, keepdims=True)
+        alpha[:, k] = v
+        beta[:, long - 1 - k] = u
+        u = np.einsum("wij,wj->wi", step[:, long - 1 - k], u)
+        u = u / u.sum(axis=1, keepdims=True)
+    alpha, beta = alpha.reshape(-1, 2)[:n], beta.reshape(-1, 2)[:n]
     g = alpha * beta
     gamma = g[:, 1] / g.sum(axis=1)
     pairs = np.zeros((2, 2))
     if weight is not None:
-        inner = np.ones(n, bool)
-        inner[start[long > 0]] = False
-        at = np.flatnonzero(inner)
+        at = np.flatnonzero(~first)
         right = beta[at] * np.stack([np.ones(len(at)), psi[at]], axis=1)
         joint = alpha[at - 1][:, :, None] * trans[None] * right[:, None, :]
         joint /= joint.sum(axis=(1, 2), keepdims=True)
