@@ -1,4 +1,5 @@
 import json
+import re
 import sqlite3
 from datetime import date, datetime
 
@@ -586,3 +587,52 @@ def test_passing_folders_go_and_kept_ones_stay(spark):
     assert not there(inner[0]) and not there(other[0])
     with pytest.warns(UserWarning, match="stays"):
         work.discard(["nosuch://bucket/x"])
+
+
+def _edited(r, base, edits):
+    words = list(base)
+    for _ in range(edits):
+        words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_minhash_finds_what_brute_force_finds_and_estimates_it(spark):
+    """Near copies about the threshold, copies by other punctuation, nulls, empty and short texts, repeats, a hot group of near copies."""
+    import random
+
+    from tidemark.operators import minhash
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(20, 120))]
+        texts += [" ".join(base), *(_edited(r, base, r.choice([0, 1, 1, 2, 3, 5])) for _ in range(r.choice([1, 3])))]
+    base = [f"h{k}" for k in range(200)]
+    texts += [_edited(r, base, 1) for _ in range(40)] + [texts[0].upper(), texts[0].replace(" ", ", "), None, "", " ... ", "one two", "One, two!", "a b c"]
+    rows = list(enumerate(texts))
+    sets = {}
+    for k, t in rows:
+        w = [x for x in re.split(r"[^\w]+", (t or "").lower()) if x]
+        sets[k] = (tuple(w), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k][0] or k, k)
+    own = sorted(set(first.values()))
+    want = {(a, b): len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) for a in own for b in own if a < b and sets[a][1] & sets[b][1]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(p.a, p.b): p for p in minhash.similar_pairs(df.where(F.col("doc_id").isin(own)), "doc_id", "text").collect()}
+    true = {p: j for p, j in want.items() if j >= 0.8}
+    assert len(true) > 500 and set(found) == set(true)
+    assert all(found[p].jaccard == pytest.approx(j) and abs(found[p].estimate - j) < 0.25 for p, j in true.items())
+    groups = {g.doc_id: g for g in minhash.near_groups(df, "doc_id", "text").collect()}
+    assert len(groups) == len(rows) and all(groups[k]["class"] == first[sets[k][0] or k] for k in groups)
+    assert all(groups[a].cluster_id == groups[b].cluster_id for a, b in true)
+    assert groups[own[-1]].cluster_id == own[-1] and {groups[k].n_links for k in groups if texts[k] and texts[k].startswith("h")} <= set(range(1, 40))
+    assert minhash.near_groups(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_bands_follow_the_threshold():
+    from tidemark.operators.minhash import bands_for
+
+    assert bands_for(0.8, 0.99) < bands_for(0.8, 0.99999) < bands_for(0.6, 0.99999) and bands_for(1.0, 0.9) == 1
+    assert 1 - (1 - 0.8**4) ** bands_for(0.8, 0.999) >= 0.999
