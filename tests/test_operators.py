@@ -226,12 +226,7 @@ EXCHANGE = [("MOEX", "Московская биржа"), ("CBOM", "Москов
 )
 def test_adjectives_plurals_and_press_names(spark, sentence, want):
     n = spark.createDataFrame([(1, sentence)], "news_id long, text string")
-    for few in (2000, 0):
-        mentions.FEW_FORMS, was = few, mentions.FEW_FORMS
-        try:
-            assert {r.ticker for r in mentions.search(spark, n, EXCHANGE, mentions.MEDIA, kind=None, also=mentions.PRESS_NAMES).collect()} == want
-        finally:
-            mentions.FEW_FORMS = was
+    assert {r.ticker for r in mentions.search(spark, n, EXCHANGE, mentions.MEDIA, kind=None, also=mentions.PRESS_NAMES).collect()} == want
 
 
 def test_media_variant_ignores_tickers(spark):
@@ -636,3 +631,54 @@ def test_bands_follow_the_threshold():
 
     assert bands_for(0.8, 0.99) < bands_for(0.8, 0.99999) < bands_for(0.6, 0.99999) and bands_for(1.0, 0.9) == 1
     assert 1 - (1 - 0.8**4) ** bands_for(0.8, 0.999) >= 0.999
+
+
+def test_automaton_finds_every_phrase_that_brute_force_finds():
+    import random
+
+    from tidemark.operators.automaton import Automaton
+
+    r = random.Random(4)
+    for _ in range(200):
+        phrases = [tuple(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 12))]
+        words = [r.choice("abcd") for _ in range(r.randint(0, 40))]
+        made = Automaton([(p, p) for p in phrases])
+        got = sorted((at, p) for at, ends in made.matches(words) for p in ends)
+        assert got == sorted((at, p) for p in set(phrases) for at in range(len(words)) if tuple(words[at - len(p) + 1 : at + 1]) == p and at + 1 >= len(p))
+
+
+def test_a_dictionary_of_a_hundred_thousand_forms(spark):
+    """One pass a text, the file read back by the tasks, and the rows that a set of n-grams gives."""
+    import random
+
+    r = random.Random(6)
+    securities = [(f"K{k}", f"{chr(97 + k % 26)}{k} {k % 500}x" if k % 3 else f"name{k}") for k in range(100_000)]
+    forms = {(f, n): t for f, n, t in mentions.dictionary(securities, mentions.MEDIA)}
+    assert len(forms) >= 100_000
+    texts = [" ".join(r.choice([f"{chr(97 + k % 26)}{k} {k % 500}x", f"name{k}", f"{k % 500}x", "filler"]) for k in (r.randrange(100_000) for _ in range(30))) for _ in range(200)]
+    want = set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        want |= {(i, forms[g, n]) for n in (1, 2) for k in range(len(w) - n + 1) if (g := " ".join(w[k : k + n]), n) in forms}
+    df = spark.createDataFrame(list(enumerate(texts)), "news_id long, text string")
+    got = mentions.search(spark, df, securities, mentions.MEDIA, kind=None)
+    assert {(x.news_id, x.ticker) for x in got.collect()} == want and len(want) > 1000
+
+
+@pytest.mark.parametrize(
+    "sentence, want",
+    [
+        ("акции Т-Технологий и Т-Банка", {"T"}),
+        ("Озона и Озоном, Хэдхантеру", {"OZON", "HEAD"}),
+        ("Т-технологиями", {"T"}),
+        ("лента новостей, самолет сел, магнит на холодильнике", set()),
+        ("отчёт «Ленты» и Магнита", {"LENT", "MGNT"}),
+        ("технологии и банки", set()),
+    ],
+)
+def test_names_of_the_whole_exchange(spark, sentence, want):
+    """Plurals in -ии, Cyrillic forms of Latin names, and ordinary words, which need a capital or a quotation mark."""
+    shares = [("T", "Т-банк (Т-Технологии)"), ("OZON", "Ozon"), ("HEAD", "HeadHunter"), ("LENT", "Лента"), ("MGNT", "Магнит"), ("SMLT", "Самолет")]
+    n = spark.createDataFrame([(1, sentence)], "news_id long, text string")
+    got = mentions.search(spark, n, shares, mentions.TELEGRAM, kind=None, common=mentions.ORDINARY, also=mentions.PRESS_NAMES)
+    assert {r.ticker for r in got.collect()} == want

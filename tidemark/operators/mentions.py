@@ -1,22 +1,25 @@
-"""Mention search: a dictionary of word forms built once, and one equi-join with the word sequences of the texts.
+"""Mention search: a dictionary of word forms built once, compiled to an automaton over words (``automaton``), and walked once a text.
 
 Morphology is a rule: endings of Russian nouns and adjectives by case. In names of several words all words agree in case, or only the first or the last
 one is inflected (an apposition). ``ё`` reads as ``е`` in names and texts. Two variants: ``TELEGRAM`` also accepts tickers,
-``MEDIA`` only names. Names of several words match as word sequences of their length. Securities listed as ``common``, whose one-word names are ordinary words,
+``MEDIA`` only names. Names of several words match as word sequences. Securities listed as ``common``, whose one-word names are ordinary words,
 need a second sign: the name must be capitalised in the text or follow a quotation mark.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import udtf
 
-from tidemark.functions.text import NOT_WORD
+from tidemark.operators import automaton
+from tidemark.operators.automaton import Automaton
 
 # Endings of Russian nouns and adjectives in nominative, genitive, dative, accusative, instrumental and prepositional, singular and plural
 # together; what they replace is the key, longest first, and "" follows a last consonant.
@@ -39,17 +42,21 @@ NOUNS = {
     "й": (("й", "и"), ("я", "ев"), ("ю", "ям"), ("й", "я"), ("ем", "ями"), ("е", "ях")),
     "о": (("о", "а"), ("а",), ("у", "ам"), ("о",), ("ом", "ами"), ("е", "ах")),
     "е": (("е", "я"), ("я", "ей"), ("ю", "ям"), ("е",), ("ем", "ями"), ("е", "и", "ях")),
+    "ии": (("ии",), ("ий",), ("иям",), ("ии",), ("иями",), ("иях",)),
     "и": (("и",), ("ей", "ов", "ий"), ("ям", "ам"), ("и",), ("ями", "ами"), ("ях", "ах")),
     "ы": (("ы",), ("ов",), ("ам",), ("ы",), ("ами",), ("ах",)),
     "": (("", "ы", "и"), ("а", "ов"), ("у", "ам"), ("", "а"), ("ом", "ем", "ами"), ("е", "ах")),
 }
-# Other names that the press gives to issuers of the Moscow exchange.
-PRESS_NAMES = {"MOEX": ("Мосбиржа",), "SBER": ("Сбер", "Сбербанк"), "SBERP": ("Сбер", "Сбербанк"), "GMKN": ("Норникель",), "VTBR": ("ВТБ",), "T": ("Т-Банк", "Тинькофф"), "CBOM": ("МКБ",), "MTSS": ("МТС",), "FEES": ("Россети",)}
+# Other names that the press gives to issuers of the Moscow exchange, those of Latin names in Cyrillic among them.
+PRESS_NAMES = {
+    "CBOM": ("МКБ",), "FEES": ("Россети",), "GMKN": ("Норникель",), "HEAD": ("Хэдхантер",), "MDMG": ("Мать и дитя",), "MOEX": ("Мосбиржа",), "MTSS": ("МТС",),
+    "OZON": ("Озон",), "SBER": ("Сбер", "Сбербанк"), "SBERP": ("Сбер", "Сбербанк"), "T": ("Т-Банк", "Тинькофф"), "VTBR": ("ВТБ",),
+}
+#: Issuers whose one-word names are ordinary words too; for ``common``.
+ORDINARY = ("LENT", "MGNT", "PIKK", "PLZL", "SMLT")
 
-
-FEW_FORMS = 2000  # what a literal of an expression may hold
-# A quotation mark before a letter or digit; it becomes a private character that no word holds.
-OPENING, _QUOTED = r"[«„“\"'](?=[\p{L}\p{N}])", "\ue000"
+_WORD = re.compile(r"[^\W_]+")
+_OPENING = "«„“\"'"
 
 
 @dataclass(frozen=True)
@@ -114,39 +121,44 @@ def dictionary(securities: list[tuple[str, str]], variant: Variant, also: Mappin
     return sorted(out)
 
 
-def find(news: DataFrame, forms_table: DataFrame, key: str, text: str, longest: int, common: Collection[str] = (), known: Sequence[str] = ()) -> DataFrame:
-    """Distinct ``key, ticker``. Sequences of up to ``longest`` words are exploded; the dictionary decides the join's side by its size.
-
-    ``known``, the dictionary's forms where they are few, keeps all other sequences from being exploded at all. Only with ``common`` are words told apart by case: a mark takes the place of an opening quotation mark, and words keep their first letter's case.
-    """
-    plain = F.translate(text, "ёЁ", "еЕ")
-    source, split_at = (F.regexp_replace(plain, OPENING, f" {_QUOTED}"), NOT_WORD.replace("]", f"{_QUOTED}]")) if common else (F.lower(plain), NOT_WORD)
-    w = F.filter(F.split(source, split_at), lambda t: t != "")
-    listed = news.where(F.col(text).isNotNull()).select(F.col(key).alias(key), w.alias("_w"))
-    # ``_w`` is a column by now, so each sequence costs a slice and no second split.
-    def grams(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
-
-    every = F.array_distinct(F.flatten(F.array(*map(grams, range(1, longest + 1)))))
-    if known and not common:
-        every = F.array_intersect(every, F.array(*map(F.lit, known)))
-    seen = listed.select(key, F.explode(every).alias("form"))
-    if not common:
-        return seen.join(forms_table.select("form", "ticker"), "form").select(key, "ticker").distinct()
-    first = F.left("form", F.lit(1))  # the mark, or a letter
-    signed = seen.select(key, F.lower(F.replace("form", F.lit(_QUOTED), F.lit(""))).alias("form"), ((first == _QUOTED) | (first != F.lower(first))).alias("_signed"))
-    hits = signed.join(forms_table.select("form", "n_words", "ticker"), "form")
-    ordinary = F.col("ticker").isin(*common) & (F.col("n_words") == 1) & (F.col("form") != F.lower("ticker"))
-    return hits.where(~ordinary | F.col("_signed")).select(key, "ticker").distinct()
+def found_in(text: str, phrases: Automaton, common: Collection[str]) -> set[str]:
+    """Tickers named in a text."""
+    plain = text.replace("ё", "е").replace("Ё", "Е")
+    out, places = set(), None
+    for at, ends in phrases.matches(_WORD.findall(plain.lower())):
+        for ticker, ordinary in ends:
+            if ticker in out:
+                continue
+            if ordinary and ticker in common:
+                # Where the word stands is looked up only here.
+                places = list(_WORD.finditer(plain)) if places is None else places
+                word = places[at]
+                if word[0][0] == word[0][0].lower() and plain[word.start() - 1 : word.start()] not in tuple(_OPENING):
+                    continue
+            out.add(ticker)
+    return out
+
+
+def find(news: DataFrame, phrases: str, key: str, text: str, common: Collection[str] = ()) -> DataFrame:
+    """Distinct ``key, ticker``, by the compiled file ``phrases``. Texts stay where they are read; a null text names nothing."""
+    common = frozenset(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = automaton.load(phrases)
+        for batch in batches:
+            hits = [sorted(found_in(t, compiled, common)) if t else [] for t in batch.column(1).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(hits)), list(map(len, hits))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([t for h in hits for t in h], pa.string())], names=[key, "ticker"])
+
+    return news.select(key, text).mapInArrow(run, f"`{key}` {dict(news.dtypes)[key]}, ticker string").distinct()
 
 
 def search(spark: SparkSession, news: DataFrame, securities: list[tuple[str, str]], variant: Variant, key: str = "news_id", text: str = "text", kind: str | None = "source_kind", common: Collection[str] = (), also: Mapping[str, Sequence[str]] = {}) -> DataFrame:
     """Mentions of ``securities`` in the news of the variant's kind."""
-    table = dictionary(securities, variant, also)
     own = news.where(F.col(kind) == variant.kind) if kind else news
-    longest = max((n for _, n, _ in table), default=1)
-    known = sorted({form for form, *_ in table})
-    return find(own, spark.createDataFrame(table, "form string, n_words int, ticker string"), key, text, longest, common, known if len(known) <= FEW_FORMS else ())
+    # A form that is the ticker itself needs no second sign.
+    phrases = [(form.split(), (ticker, n == 1 and form != ticker.lower())) for form, n, ticker in dictionary(securities, variant, also)]
+    return find(own, automaton.write(spark, phrases), key, text, common)
 
 
 @udtf(returnType="ticker string, place int")
