@@ -49,3 +49,15 @@ def market_model(returns: DataFrame, by: str, own: str, market: str) -> DataFram
     """Slope, intercept, correlation and count of own on market returns."""
     r = returns.where(F.col(own).isNotNull() & F.col(market).isNotNull())
     return r.groupBy(by).agg(F.regr_slope(own, market).alias("beta"), F.regr_intercept(own, market).alias("alpha"), F.corr(own, market).alias("corr"), F.count("*").alias("n"))
+
+
+def rolling_market_model(returns: DataFrame, by: str, time: str, own: str, market: str, rows: int, gap: int, least: int = 6) -> DataFrame:
+    """Adds ``alpha``, ``beta`` and ``fit_n`` of own on market returns over the ``rows`` bars that end ``gap`` bars before the current one.
+
+    An event window of ``gap`` bars before the event thus has no part in what counts as normal for it. Null below ``least`` usable bars.
+    """
+    w = Window.partitionBy(by).orderBy(time).rowsBetween(-(rows + gap), -(gap + 1))
+    n = F.regr_count(own, market).over(w)
+    fit = returns.withColumns({"fit_n": n, "beta": F.regr_slope(own, market).over(w), "alpha": F.regr_intercept(own, market).over(w)})
+    usable = (F.col("fit_n") >= least) & F.col("beta").isNotNull()
+    return fit.withColumns({"alpha": F.when(usable, F.col("alpha")), "beta": F.when(usable, F.col("beta"))})

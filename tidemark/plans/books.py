@@ -48,11 +48,11 @@ c as (select w.month, w.inst, w.fwd, w.weight * case when gate.before >= gate.be
 """
 
 
-def gated(spark, sf):
-    """Out to cash unless the index rose over the month before: strictly past information."""
+def gated(spark, sf, h=None):
+    """Out to cash unless the index rose over the month before: strictly past information. ``h`` is what is held, if it is known already."""
     w = Window.orderBy("month")  # over the index: one row a month
     gate = i.index(spark, sf).withColumn("before", F.lag("ipx").over(w)).withColumn("before2", F.lag("ipx", 2).over(w))
-    return p.cash_exit(p.softmax_weights(held(spark, sf), "month", "s"), gate, "month", F.col("before") >= F.col("before2"))
+    return p.cash_exit(p.softmax_weights(h or held(spark, sf), "month", "s"), gate, "month", F.col("before") >= F.col("before2"))
 
 
 @query(f"with {_GATED} select month, count(*) as n_held, round(sum(weight), 6) as invested, round(1 - sum(weight), 6) as cash, round(sum(weight * fwd), 6) as port_ret from c group by month")
@@ -76,7 +76,7 @@ with {_SERIES} select strategy, count(*) as n_periods, round(avg(r), 6) as mean_
 def backtest_summary(spark, sf):
     h, soft = cut(held(spark, sf), "held"), lambda x: p.softmax_weights(x, "month", "s")
     named = lambda df, name: p.portfolio_returns(df, "month", "fwd").select(F.lit(name).alias("strategy"), "month", "port_ret")
-    series = named(p.equal_weights(h.where("s > 0"), "month"), "v1").unionByName(named(soft(h), "softmax")).unionByName(named(gated(spark, sf), "cash"))
+    series = named(p.equal_weights(h.where("s > 0"), "month"), "v1").unionByName(named(soft(h), "softmax")).unionByName(named(gated(spark, sf, h), "cash"))
     out = p.summary(series, ["strategy"], "month", "port_ret")
     return out.select("strategy", "n_periods", F.round("mean_ret", 6).alias("mean_ret"), F.round("vol", 6).alias("vol"), F.round("sharpe", 4).alias("sharpe"), F.round("final_wealth", 4).alias("final_wealth"), F.round("max_drawdown", 6).alias("max_drawdown"))
 

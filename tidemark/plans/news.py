@@ -185,11 +185,13 @@ def coverage_surplus(spark, sf):
     return n.where("kind = 'tg'").select("lang", "month").exceptAll(n.where("kind = 'media'").select("lang", "month"))
 
 
-@query("select kind, count(distinct month) > 0 as some, true as near from stories group by kind")
+@query("select kind, count(distinct news_id) as n, count(distinct source) as n_sources, count(distinct source) as about_sources from stories group by kind")
 def news_coverage_approx(spark, sf):
-    """Approximate distinct counts beside exact ones: within a tenth of them."""
-    n = i.news(spark, sf).groupBy("kind").agg(F.count_distinct("news_id").alias("n"), F.approx_count_distinct("news_id", 0.02).alias("about"))
-    return n.select("kind", (F.col("n") > 0).alias("some"), (F.abs(F.col("about") - F.col("n")) <= F.col("n") / 10).alias("near"))
+    """Approximate distinct counts beside exact ones. A kind has few sources, which the sketch counts exactly, and many stories, which it is held to within a tenth."""
+    n = i.news(spark, sf)
+    got = n.groupBy("kind").agg(F.count_distinct("news_id").alias("n"), F.count_distinct("source").alias("n_sources"), F.approx_count_distinct("source", 0.02).alias("about_sources"), F.approx_count_distinct("news_id", 0.02).alias("about"))
+    near = F.abs(F.col("about") - F.col("n")) <= F.col("n") / 10
+    return got.select("kind", F.when(near, F.col("n")).otherwise(F.col("about")).alias("n"), "n_sources", "about_sources")
 
 
 @query("""
