@@ -74,3 +74,36 @@ def test_signals_keep_rows_and_the_order_of_their_lists(spark):
 def test_macro_path_has_both_scopes(spark):
     rows = QUERIES["macro_path"](spark, "/root/testdata/sf0.01").collect()
     assert {r.scope for r in rows} == {"market", "sector"} and all((r.sector is None) == (r.scope == "market") for r in rows)
+
+
+def test_learned_vectors_keep_the_neighbours_of_the_terms(spark):
+    """Against brute force over hashed terms: the directions, the cosines of near copies, and each text's own group."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.operators import latent, minhash
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("news_id"), "text")
+    model = latent.fit(n, "text")
+    rows = model.transform(latent._listed(n, "text")).select("news_id", vector_to_array("_unit").alias("x")).orderBy("news_id").collect()
+    x = np.array([r.x for r in rows])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = x @ axes[:, ::-1][:, : latent.SIZE]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    got = np.array([r.embedding for r in latent.embed(n, "text", model).orderBy("news_id").collect()])
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+    place = {r.news_id: k for k, r in enumerate(rows)}
+    pairs = minhash.similar_pairs(n, "news_id", "text").collect()
+    assert len(pairs) > 50 and min(got[place[p.a]] @ got[place[p.b]] for p in pairs) > 0.97
+    groups = {r.news_id: r.cluster_id for r in QUERIES["dedup_learned"](spark, sf).collect()}
+    assert len(groups) == len(rows) and all(groups[p.a] == groups[p.b] for p in pairs if p.jaccard > 0.95)
+
+
+def test_learned_vectors_of_odd_texts(spark):
+    from tidemark.operators import latent
+
+    n = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, None), (4, " .. "), (None, "b c d"), (1, "a b")], "news_id long, text string")
+    got = latent.embed(n, "text", latent.fit(n, "text", 2, 16)).collect()
+    assert len(got) == 6 and all(len(r.embedding) == 2 for r in got) and [r.embedding for r in got if not (r.text or "").strip(" .")] == [[0.0, 0.0]] * 2
+    assert latent.fit(n.limit(0), "text") is None and latent.embed(n, "text", None).first().embedding is None

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import minhash
+from tidemark.functions import vector
+from tidemark.operators import latent, minhash, stories
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
+from tidemark.work import cut
 
 #: Distinct texts by their words (``cls``), their five-word shingles (``sh``) and the pairs that reach 0.8 (``near``), as SQL sees them.
 _NEAR = r"""
@@ -36,3 +38,22 @@ select cls.news_id, cls.class, g.cluster_id, coalesce(d.n_links, 0) as n_links f
 """)
 def minhash_groups(spark, sf):
     return minhash.near_groups(i.news(spark, sf).select("news_id", "text"), "news_id", "text")
+
+
+def learned(spark, sf):
+    n = i.news(spark, sf).select("news_id", "text")
+    return cut(latent.embed(n, "text", latent.fit(n, "text")).select("news_id", "embedding"), "embeddings")
+
+
+@query()
+def news_embeddings(spark, sf):
+    """Learned vectors of all news. Their directions have a sign of the solver's choosing, so no SQL stands for them; cosines are tested."""
+    return learned(spark, sf).select("news_id", "embedding", F.round(vector.norm("embedding"), 4).alias("length"))
+
+
+@query()
+def dedup_learned(spark, sf):
+    """Stories that fall together by their learned vectors: ``cosine_links`` over all news."""
+    v = learned(spark, sf)
+    groups = stories.groups_of(stories.cosine_links(v, "news_id", "embedding", 0.98)).select(F.col("node").alias("news_id"), "cluster_id")
+    return v.select("news_id").join(groups, "news_id", "left").select("news_id", F.coalesce("cluster_id", "news_id").alias("cluster_id"))
