@@ -682,3 +682,19 @@ def test_names_of_the_whole_exchange(spark, sentence, want):
     n = spark.createDataFrame([(1, sentence)], "news_id long, text string")
     got = mentions.search(spark, n, shares, mentions.TELEGRAM, kind=None, common=mentions.ORDINARY, also=mentions.PRESS_NAMES)
     assert {r.ticker for r in got.collect()} == want
+
+
+def test_window_pairs_equal_brute_force_over_dates(spark):
+    """A hot day in many small blocks, pairs over the edges of spans, repeats, nulls, zero vectors and other lengths."""
+    r = np.random.default_rng(8)
+    days = [date(2020, 1, 1 + int(d)) for d in r.integers(0, 30, 120)] + [date(2020, 1, 15)] * 80
+    data = [(k, r.normal(size=3).tolist(), d) for k, d in enumerate(days)]
+    data += [(500, [1.0, 0.0], days[0]), (501, [1.0, 0.1], days[0]), (502, [0.0] * 3, days[0]), (503, None, days[0]), (504, [1.0, 0.0, 0.0], None), (None, [1.0, 0.0, 0.0], days[0])]
+    t = spark.createDataFrame(data, "id long, v array<double>, day date")
+    cos = lambda x, y: float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)))
+    fit = [x for x in data if x[0] is not None and x[1] and x[2] and any(x[1])]
+    for span in (0, 3, 7):
+        want = {(a[0], b[0]): abs((a[2] - b[2]).days) for a in fit for b in fit if a[0] < b[0] and len(a[1]) == len(b[1]) and abs((a[2] - b[2]).days) <= span and cos(a[1], b[1]) >= 0.9}
+        got = stories.window_pairs(t, "id", "v", "day", span, 0.9, block_rows=16).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.gap for x in got} == want
+    assert stories.window_pairs(t.limit(0), "id", "v", "day", 3, 0.5).collect() == []

@@ -167,3 +167,39 @@ def representatives(news: DataFrame, cluster: str, time: str, key: str) -> DataF
     """The earliest story of each cluster; ties go to the smallest ``key``."""
     w = Window.partitionBy(cluster).orderBy(time, key)
     return news.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def window_pairs(vectors: DataFrame, key: str, vector: str, day: str, days: int, least: float, block_rows: int = 2048) -> DataFrame:
+    """``a, b, similarity, gap`` of pairs with a < b at or above ``least`` whose dates lie at most ``days`` apart: exact, and its work grows with the rows in a span, not with all rows squared.
+
+    Time is cut into spans of ``days`` days; a story is at home in its own and a guest in the next, so each pair meets once, where the later of the two is at home. A
+    span is worked in blocks of bounded size, however many stories fall on one day. Rows with a null key, date or vector have no pairs; vectors of other length are not alike.
+    """
+    v = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.unix_date(F.col(day).cast("date")).alias("d"))
+    width = max(1, days)
+    v = cut(v.withColumn("span", F.floor(F.col("d") / width)), "window-rows")
+    both = v.withColumn("own", F.lit(True)).unionByName(v.select("k", "v", "d", (F.col("span") + 1).alias("span"), F.lit(False).alias("own")))
+    sizes = both.groupBy("span").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).where("n > 0")
+    shape = cut(sizes.select("span", F.ceil(F.col("n") / block_rows).cast("int").alias("rows"), F.ceil(F.col("m") / block_rows).cast("int").alias("cols")), "window-spans")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    left = v.join(shape, "span").select("k", "v", "d", "span", slot("rows").alias("i"), every("cols").alias("j"))
+    right = both.join(shape, "span").select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("d").alias("d2"), "own", F.col("span").alias("span2"), slot("cols").alias("j2"), every("rows").alias("i2"))
+    kind = dict(v.dtypes)["k"]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "similarity": [], "gap": []})]
+        b = b.rename(columns={"k2": "k", "v2": "v", "d2": "d"})
+        for size in set(a["v"].map(len)) & set(b["v"].map(len)) - {0}:
+            x, y = a[a["v"].map(len) == size], b[b["v"].map(len) == size]
+            m, o = (np.array(t["v"].tolist(), np.float64) for t in (x, y))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ (o / np.linalg.norm(o, axis=1, keepdims=True)).T
+            ka, kb, gap = x["k"].to_numpy(), y["k"].to_numpy(), np.abs(x["d"].to_numpy()[:, None] - y["d"].to_numpy()[None, :])
+            # Two rows at home in one span meet twice; a guest meets a row at home once.
+            once = np.where(y["own"].to_numpy(bool)[None, :], ka[:, None] < kb[None, :], ka[:, None] != kb[None, :])
+            r, c = np.nonzero((s >= least) & (gap <= days) & once)
+            out.append(pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c]), "similarity": s[r, c], "gap": gap[r, c]}))
+        return pd.concat(out[1:]) if out[1:] else out[0]
+
+    return left.groupBy("span", "i", "j").cogroup(right.groupBy("span2", "i2", "j2")).applyInPandas(compare, f"a {kind}, b {kind}, similarity double, gap int")

@@ -57,3 +57,19 @@ def dedup_learned(spark, sf):
     v = learned(spark, sf)
     groups = stories.groups_of(stories.cosine_links(v, "news_id", "embedding", 0.98)).select(F.col("node").alias("news_id"), "cluster_id")
     return v.select("news_id").join(groups, "news_id", "left").select("news_id", F.coalesce("cluster_id", "news_id").alias("cluster_id"))
+
+
+WINDOW_DAYS = 45
+
+
+@query(f"""
+with e as (select vec_id, embedding, cast(o_orderdate as date) as day from embeddings join orders on o_orderkey = vec_id),
+p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s, cast(abs(date_diff('day', a.day, b.day)) as int) as gap from e a join e b on a.vec_id < b.vec_id and abs(date_diff('day', a.day, b.day)) <= {WINDOW_DAYS})
+select a, b, round(s, 4) as similarity, gap from p where s >= 0.2
+""")
+def window_pairs(spark, sf):
+    """Stories alike by embedding within some weeks of each other."""
+    o = i.table(spark, sf, "orders").select(F.col("o_orderkey").alias("vec_id"), F.col("o_orderdate").cast("date").alias("day"))
+    e = i.table(spark, sf, "embeddings").select("vec_id", "embedding").join(o, "vec_id")
+    p = stories.window_pairs(e, "vec_id", "embedding", "day", WINDOW_DAYS, 0.2)
+    return p.select("a", "b", F.round("similarity", 4).alias("similarity"), "gap")
