@@ -147,6 +147,17 @@ def test_shards_roll_at_a_size_and_stream(spark, docs, tokenizer):
         del keep
 
 
+def test_rows_of_one_id_are_dealt_over_shards(spark, tokenizer):
+    """A page that comes back under null ids, and texts that share an id, do not meet in one task; offsets stay whole."""
+    rows = [(None, "the same page")] * 300 + [(7, f"text {k}") for k in range(300)] + [(3, "one"), (9, "two")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_files.write_token_files(table, tokenizer, shards=6).collect()
+    assert sum(m.n_docs for m in manifest) == 602 and max(m.n_docs for m in manifest) < 250
+    got = sorted(token_files.token_digest(table, tokenizer).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [3] + [7] * 300 + [9]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_arrow_names_of_hadoop_folders():
     from tidemark.work import arrow_uri
 

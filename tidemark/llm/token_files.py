@@ -244,8 +244,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             out.close()
             yield told()
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    ranged = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
+    # Rows of one id, null among them, may fill several ranges: their texts' hashes part them, and rows equal in both the file they came from.
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "part"]
+    ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return materialize(ranged.mapInArrow(write, "shard int, part int, ids_path string, docs_path string, n_docs long, n_tokens long"), "token-manifest")
 
 
