@@ -27,8 +27,8 @@ from tidemark.llm.quality_crf import filter_documents, score_documents
 from tidemark.llm.training import adam, labelled_sample, sigmoid
 
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.3
-VOCABULARY, LEAST_DOCS, STEPS, RIDGE = 2000, 4, 300, 3e-4
-SHARP, CLEAN = 12.0, 1e4
+VOCABULARY, LEAST_DOCS, STEPS, RIDGE = 500, 4, 300, 3e-4
+SHARP, CLEAN = 12.0, 3e4
 MOST_WORDS = 64
 _STEMS, _MEMO_WORDS, _SLOTS = (4, 5, 6, 7, 8), 200_000, 1 << 22
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
