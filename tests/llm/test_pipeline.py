@@ -87,5 +87,5 @@ def test_run_leaves_only_its_result(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(names)
