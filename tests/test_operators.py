@@ -521,6 +521,9 @@ def test_html(spark):
         ("<script>if (a</style>b) x()</script >kept<headline>too</headline>", "kept too"),
         ("a &lt;b&gt; &amp;lt; &#1071;&#x44F; &#x1F642; &nbsp; &unknown; &#0; &#xD800; &#9999999; R&D &; end", "a <b> &lt; \u042f\u044f \U0001f642 &unknown; &#0; &#xD800; &#9999999; R&D &; end"),
         ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+        ("a<script>if (x<y) never closed", "a"),
+        ("a<template>b<template>c</template>d</template>e<template>open", "a e"),
+        ("a</template>b&#1;&#8;&#10;c", "a b&#1;&#8; c"),
         ("<!-- <p>not this</p> -->\n\t<p\nclass=x>this</p>", "this"),
         ("", ""),
         (None, None),
@@ -530,6 +533,32 @@ def test_articles(spark, page, want):
     assert spark.createDataFrame([(page,)], "h string").select(html.article("h").alias("a")).first().a == want
 
 
+LONG = " ".join(["one two three four five six seven eight nine ten eleven twelve"] * 2)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<ul><li><a href=x>Home</a><li><a href=y>News of the day</a></ul><h1>Head</h1><p>{LONG}</p><p>short</p><p>{LONG}</p><p>All rights reserved", ["Head", LONG, "short", LONG]),
+        (f"<nav>{LONG} {LONG}</nav><div>{LONG}</div><footer><p>{LONG} {LONG}</p>{LONG}</footer>", [LONG]),
+        (f"</nav></footer><p>{LONG}</p><nav><ul><li>{LONG}</li></ul></nav>", [LONG]),
+        (f"<p>{LONG}</p><aside>{LONG} {LONG} never closed<p>{LONG}</p>", [LONG]),
+        (f"<p>{LONG} <a href=z>one</a> <b>&lt;b&gt;</b></p>", [f"{LONG} one <b>"]),
+        (f"<p><a href=z>{LONG}</a></p>", []),
+        (f"<p>{LONG}</p><p><a>x y z a b c d e f</a></p><h2>Tie</h2><p>{LONG}</p>", ["Tie", LONG]),
+        (f"\x01<p>\x05{LONG}\x06</p>", [LONG]),
+        ("<h1>Title alone</h1>", ["Title alone"]),
+        ("<p>too short</p>", []),
+        ("", []),
+        (None, None),
+    ],
+)
+def test_articles_by_density(spark, page, want):
+    """Menus, advertisements and footers are outside the run of blocks; a short block between long ones is inside."""
+    r = html.extract(spark.createDataFrame([(1, page, "kept")], "id int, h string, body_md5 string"), "h").first()
+    assert (None if r.blocks is None else [b.text for b in r.blocks]) == want and r.body == (None if want is None else "\n".join(want)) and r.body_md5 == "kept"
+
+
 def test_vectors(spark):
     r = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>").select(vector.norm("a").alias("n"), vector.cosine("a", "a").alias("c"), vector.cosine("a", "b").alias("z")).first()
     assert (r.n, r.c, r.z) == (5.0, 1.0, None)

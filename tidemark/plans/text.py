@@ -87,6 +87,32 @@ def html_extract(spark, sf):
     return x.select("page_id", "host", "title", F.length("article").alias("n_chars"), F.md5("article").alias("article_md5"))
 
 
+# Written apart from ``html.blocks`` and ``html.run``: prefix sums over rows in place of a fold, and only the references and tags that the pages hold.
+@query(rf"""
+with x as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<head>.*?</head>', ' ', 'g') as h from pages),
+m as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<(nav|footer)>', chr(1) || 'OPEN', 'g'), '</(nav|footer)>', 'SHUT' || chr(1), 'g'), '<h1>', chr(1) || 'HEAD', 'g'),
+  '</?(?:html|body|ul|li|div|article|p|h1)(?:\s[^>]*)?>', chr(1), 'g'), '<a(?:\s[^>]*)?>', chr(2), 'g'), '</a>', chr(3), 'g') as h from x),
+d as (select page_id, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&') as h from m),
+b as (select page_id, unnest(range(0, len(parts))) as k, unnest(parts) as part from (select page_id, string_split(h, chr(1)) as parts from d)),
+c as (select page_id, k, starts_with(part, 'HEAD') as heading, cast(starts_with(part, 'OPEN') as int) as opens, cast(ends_with(part, 'SHUT') as int) as shuts, replace(replace(replace(part, 'HEAD', ''), 'OPEN', ''), 'SHUT', '') as t from b),
+f as (select *, trim(regexp_replace(translate(t, chr(2) || chr(3), ''), '\s+', ' ', 'g')) as text, trim(regexp_replace(regexp_replace(t, chr(2) || '[^' || chr(2) || chr(3) || ']*' || chr(3), ' ', 'g'), '\s+', ' ', 'g')) as outside from c),
+n as (select *, case when text = '' then 0 else len(string_split(text, ' ')) end as n_words, case when outside = '' then 0 else len(string_split(outside, ' ')) end as n_free,
+  sum(opens) over w - coalesce(sum(shuts) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0) as depth from f window w as (partition by page_id order by k)),
+g as (select *, case when text = '' then 0 when depth > 0 then -n_words - {h.BLOCK_COST} else n_words - {h.LINK_COST} * (n_words - n_free) - case when heading then 0 else {h.BLOCK_COST} end end as gain from n),
+s as (select *, sum(gain) over (partition by page_id order by k) as upto from g),
+l as (select *, least(0, min(upto) over (partition by page_id order by k rows between unbounded preceding and 1 preceding)) as low from s),
+e as (select page_id, min_by(k, (-(upto - low), k)) as last, min_by(low, (-(upto - low), k)) as low, max(upto - low) as best from l group by 1),
+r as (select e.page_id, e.last, coalesce(max(s.k) + 1, 0) as first from e left join s on s.page_id = e.page_id and s.k < e.last and s.upto = e.low where e.best > 0 group by 1, 2)
+select p.page_id, count(n.k) as n_blocks, cast(coalesce(sum(n.n_words), 0) as bigint) as n_words, cast(coalesce(sum(n.n_words - n.n_free), 0) as bigint) as n_linked, md5(coalesce(string_agg(n.text, chr(10) order by n.k), '')) as body_md5
+from pages p left join r on r.page_id = p.page_id left join n on n.page_id = p.page_id and n.k between r.first and r.last and n.text <> '' group by 1
+""")
+def article_extract(spark, sf):
+    """The article of each page by the density of text and links in its blocks."""
+    x = h.extract(i.table(spark, sf, "pages").select("page_id", "html"), "html")
+    total = lambda c: F.aggregate(F.col("blocks")[c], F.lit(0).cast("long"), lambda a, v: a + v)
+    return x.select("page_id", F.size("blocks").cast("long").alias("n_blocks"), total("n_words").alias("n_words"), total("n_linked").alias("n_linked"), F.md5("body").alias("body_md5"))
+
+
 @query("select event_type, cast(json_extract(props, '$.k') as int) as k, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def json_props(spark, sf):
     e = i.table(spark, sf, "events").withColumn("k", F.from_json("props", "k int")["k"])
