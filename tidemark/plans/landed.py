@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as b
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
-from tidemark.sources import landed, tickers
+from tidemark.sources import landed, sqlite_parts as parts, tickers
+from tidemark.streaming import windows
 from tidemark.work import fresh, open_fs
 
 
@@ -81,6 +82,29 @@ def landed_messages(spark, sf):
     return out.groupBy("source_kind", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.min("published").alias("first"), F.max("published").alias("last"))
 
 
+@query("select kind as source_kind, source, count(*) as n, cast(sum(length(text)) as bigint) as n_chars, min(published) as first, max(published) as last from stories where kind = 'tg' group by 1, 2")
+def stream_messages(spark, sf):
+    """Channels' messages as a stream with offsets: half the files are there at the first run, the others at the second, which goes on where the first has ended."""
+    landed.register(spark)
+    path, out, state = (fresh(spark, f"messages-{part}") for part in ("in", "out", "state"))
+    n = i.news(spark, sf).where("kind = 'tg'")
+    for half in (0, 1):
+        n.where(F.col("news_id") % 2 == half).select(F.col("news_id").alias("id"), F.col("source").alias("channel"), F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "text").write.mode("append").json(path)
+        stream = spark.readStream.format("landed_messages").options(path=path, kind="tg").load()
+        windows.drain_into(stream, out, state)
+    read = spark.read.schema(stream.schema).parquet(out)
+    return read.groupBy("source_kind", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.min("published").alias("first"), F.max("published").alias("last"))
+
+
+@query("select inst, month, round(px + 1e-7, 4) as px, volume from bars")
+def sqlite_parts(spark, sf):
+    """Monthly prices out to SQLite files, which tasks write and a list names, and in again."""
+    parts.register(spark)
+    path = fresh(spark, "sqlite-parts")
+    i.bars(spark, sf).write.format("sqlite_parts").mode("overwrite").options(path=path, table="bars").save()
+    return spark.read.format("sqlite_parts").options(path=path).load().select("inst", "month", F.round(F.col("px") + 1e-7, 4).alias("px"), "volume")
+
+
 @query("select n_nationkey, n_name, r_name from nation join region on r_regionkey = n_regionkey where n_nationkey >= 0")
 def sqlite_round_trip(spark, sf):
     """A small table out to SQLite and in again, a key range a partition."""

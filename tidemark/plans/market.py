@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, bars as b, events, portfolio, ranks
 from tidemark.plans import inputs as i
 from tidemark.plans.registry import query
+from tidemark.streaming import quotes, windows
+from tidemark.work import fresh
 
 
 def money(column: str, name: str | None = None):
@@ -133,6 +135,23 @@ def asof_backward_strict(spark, sf):
     return _asof(spark, sf, strict=True)
 
 
+@query(f"""
+with {_QUOTES}, w as (select least((select max(d) from e), (select max(d) from q)) - interval 1 hour as mark)
+select e.news_id, e.inst, e.d, q.d as quote_d, round(q.vwap + 1e-7, 4) as vwap from e asof left join q on q.inst = e.inst and q.d <= e.d where e.d < (select mark from w)
+""")
+def stream_asof(spark, sf):
+    """The same join as two streams, by state and timers: news come out once both streams have passed them, so those of the last day wait."""
+    e, q = _asof_inputs(spark, sf)
+    inputs = []
+    for df, name in ((e, "stream-news"), (q, "stream-quotes")):
+        path = fresh(spark, name)
+        df.withColumn("d", F.col("d").cast("timestamp")).write.parquet(path)
+        inputs.append(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    with quotes.rocksdb(spark):
+        out = windows.drain(quotes.asof_stream(*inputs, "inst", "news_id", "d", "d", "vwap", "1 hour"), "stream-asof")
+    return out.select("news_id", "inst", F.col("d").cast("date").alias("d"), F.col("asof_d").cast("date").alias("quote_d"), money("asof_vwap", "vwap"))
+
+
 @query("""
 with r as (select distinct cast(date_trunc('quarter', d) as date) as from_d from trades),
 rate as (select from_d, cast(5 + (month(from_d) + year(from_d)) % 7 as double) as rate from r), p as (select distinct inst, month from bars)

@@ -12,9 +12,11 @@ import io
 import json
 import sqlite3
 from collections.abc import Iterator
+from datetime import datetime
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark import schemas
 from tidemark.work import open_fs
@@ -37,13 +39,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] |
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def message(line: bytes | str, kind: str) -> tuple:
+    m = json.loads(line)
+    return m["id"], kind, m.get("channel"), datetime.fromisoformat(m["date"]), m.get("text")
+
+
 class MessageFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
 class LandedMessages(DataSource):
-    """Options: ``paths`` (comma-separated files of JSON lines) and ``kind`` (``tg`` or ``media``)."""
+    """Options: ``kind`` (``tg`` or ``media``) and ``paths``, comma-separated files of JSON lines; as a stream ``path``, a folder of such files, and ``split``, the most bytes of a partition (32 MiB)."""
 
     @classmethod
     def name(cls) -> str:
@@ -55,6 +62,9 @@ class LandedMessages(DataSource):
     def reader(self, schema):
         return MessageReader(self.options)
 
+    def streamReader(self, schema):
+        return MessageStream(self.options)
+
 
 class MessageReader(DataSourceReader):
     def __init__(self, options):
@@ -64,14 +74,73 @@ class MessageReader(DataSourceReader):
         return [MessageFile(p) for p in self.paths]
 
     def read(self, partition: MessageFile) -> Iterator[tuple]:
-        from datetime import datetime
-
         fs, path = open_fs(partition.path)
         with fs.open_input_stream(path) as raw:
             for line in io.TextIOWrapper(raw, encoding="utf-8"):
                 if line.strip():
-                    m = json.loads(line)
-                    yield m["id"], self.kind, m.get("channel"), datetime.fromisoformat(m["date"]), m.get("text")
+                    yield message(line, self.kind)
+
+
+class MessageBytes(InputPartition):
+    """The lines of a file that begin at ``low`` or later and before ``high``; ``first`` is known to begin one."""
+
+    def __init__(self, name: str, first: int, low: int, high: int):
+        self.name, self.first, self.low, self.high = name, first, low, high
+
+
+class MessageStream(DataSourceStreamReader):
+    """Files of a folder that grow line by line, and new ones. An offset holds how far each file has been read, so it has as many numbers as there are channels' files.
+
+    Only whole lines count: one that a collector is still writing waits for its end. A file that shrinks has been changed behind the
+    stream's back and is an error; one that goes has been read as far as the last offset says. Names that begin with ``_`` or ``.`` are no input.
+    """
+
+    TAIL = 1 << 16
+
+    def __init__(self, options):
+        self.path, self.kind, self.split, self.seen = options["path"].rstrip("/"), options.get("kind", "tg"), int(options.get("split", 32 << 20)), {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        fs, at = open_fs(self.path)
+        sizes = {f.base_name: f.size for f in fs.get_file_info(FileSelector(at, allow_not_found=True)) if f.type == FileType.File and f.base_name[0] not in "._"}
+        self.seen = {n: self.seen[n] if self.seen.get(n, (None,))[0] == size else (size, self._whole(fs, f"{at}/{n}", size)) for n, size in sizes.items()}
+        return {n: end for n, (_, end) in sorted(self.seen.items()) if end}
+
+    def _whole(self, fs, path: str, size: int) -> int:
+        """Where the last whole line ends, sought from the end."""
+        with fs.open_input_file(path) as f:
+            while size > 0:
+                low = max(size - self.TAIL, 0)
+                f.seek(low)
+                if (k := f.read(size - low).rfind(b"\n")) >= 0:
+                    return low + k + 1
+                size = low
+        return 0
+
+    def partitions(self, start: dict, end: dict) -> list[MessageBytes]:
+        parts = []
+        for name, high in end.items():
+            low = start.get(name, 0)
+            if high < low:
+                raise ValueError(f"{name} has shrunk from {low} to {high} bytes")
+            parts += [MessageBytes(name, low, a, min(a + self.split, high)) for a in range(low, high, self.split)]
+        return parts
+
+    def read(self, partition: MessageBytes) -> Iterator[tuple]:
+        fs, at = open_fs(self.path)
+        with fs.open_input_file(f"{at}/{partition.name}") as raw:
+            begins = partition.low == partition.first
+            raw.seek(partition.low - (not begins))
+            f = io.BufferedReader(raw, 1 << 20)
+            place = partition.low if begins else partition.low - 1 + len(f.readline())
+            while place < partition.high:
+                line = f.readline()
+                place += len(line)
+                if line.strip():
+                    yield message(line, self.kind)
 
 
 class RowRange(InputPartition):
@@ -112,7 +181,7 @@ class SqliteReader(DataSourceReader):
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, batch: int = 10_000) -> None:
-    """Streams rows to one SQLite file through the driver: a format with one writer, for small results only."""
+    """Streams rows to one SQLite file through the driver: a format with one writer, for small results only; ``sqlite_parts`` is the sink for tables."""
     q = lambda n: '"' + n.replace('"', '""') + '"'
     with sqlite3.connect(path) as db:
         db.execute(f"create table if not exists {q(table)} ({', '.join(map(q, df.columns))})")

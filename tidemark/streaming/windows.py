@@ -45,6 +45,10 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run all available input through a file sink in the shared folder and read the result."""
     spark = stream.sparkSession
     out, state = fresh(spark, name), fresh(spark, f"{name}-state")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    drain_into(stream, out, state)
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain_into(stream: DataFrame, out: str, state: str) -> None:
+    """Run what is available now into files at ``out``. The next call with the same ``state`` goes on where this one has ended, or was cut off: the sink takes each batch once."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
