@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -15,51 +15,63 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class LastQuote(StatefulProcessor):
-    """Of each key: quotes by time, and news that wait for the watermark. A timer behind each row's time answers what is due and drops quotes that no later news can ask for.
+    """Of each key: quotes, and news that wait for the watermark. A timer behind the earliest row answers what is due, drops quotes that no later news can ask for, and sets the next.
 
-    What is kept of a key is one quote and what came since the watermark, however long the stream runs. The first timer of a batch
-    does the work of all that expire with it.
+    What is kept of a key is one quote and what came since the watermark, however long the stream runs. State is read and written
+    a list at a time: a call for each row would cost more than the join.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.quotes = handle.getMapState("quotes", "at long", "value double")
+        self.quotes = handle.getListState("quotes", "at long, value double")
         self.waiting = handle.getListState("waiting", "id long, at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times, best, news = set(), {}, []
+        quotes, news = [], []
         for r in rows:
-            times.add(r["_us"] // 1000 + 1)
             if r["_quote"]:
-                best[r["_us"]] = r["_value"] if r["_us"] not in best else max(best[r["_us"]], r["_value"])
+                quotes.append((r["_us"], r["_value"]))
             else:
                 news.append((r["_id"], r["_us"]))
-        for at, value in best.items():
-            had = self.quotes.getValue((at,))
-            self.quotes.updateValue((at,), (value if had is None else max(value, had[0]),))
-        if news:
-            self.waiting.appendList(news)
-        for t in times:
-            self.handle.registerTimer(t)
+        self._add(self.quotes, quotes)
+        self._add(self.waiting, news)
+        self._wake([at for at, _ in quotes] + [at for _, at in news])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        quotes = sorted((k[0], v[0]) for k, v in self.quotes.iterator())
-        times = [at for at, _ in quotes]
-        waiting = list(self.waiting.get())
-        due, later = [w for w in waiting if w[1] < mark], [tuple(w) for w in waiting if w[1] >= mark]
-        if due:
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-        for at in times[: max(bisect_right(times, mark - 1) - 1, 0)]:
-            self.quotes.removeKey((at,))
-        for ident, at in due:
-            k = bisect_right(times, at)
-            seen, value = quotes[k - 1] if k else (None, None)
-            yield Row(key=key[0], id=ident, at=at, asof_at=seen, value=value)
+        best = {}
+        for at, value in self.quotes.get():
+            best[at] = max(value, best.get(at, value))
+        times = sorted(best)
+        waiting = [tuple(w) for w in self.waiting.get()]
+        later, used = [w for w in waiting if w[1] >= mark], max(bisect_left(times, mark) - 1, 0)
+        self._put(self.quotes, [(at, best[at]) for at in times[used:]])
+        if len(later) < len(waiting):
+            self._put(self.waiting, later)
+        self._wake([at for at in times if at >= mark] + [at for _, at in later])
+        for ident, at in waiting:
+            if at < mark:
+                k = bisect_right(times, at)
+                seen = times[k - 1] if k else None
+                yield Row(key=key[0], id=ident, at=at, asof_at=seen, value=best.get(seen))
+
+    def _wake(self, times: list[int]) -> None:
+        """At the first millisecond behind the earliest of ``times``."""
+        if times:
+            self.handle.registerTimer(min(times) // 1000 + 1)
+
+    @staticmethod
+    def _add(state, rows: list[tuple]) -> None:
+        if rows:
+            state.appendList(rows)
+
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
 
     def close(self) -> None:
         pass
