@@ -175,6 +175,26 @@ def stream_tumbling(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""
+with g as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+s as (select *, sum(fresh) over (partition by user_id order by ts) as k from g),
+c as (select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from s group by user_id, k)
+select * from c where "end" <= (select max(ts) from events) - interval 10 minute
+""")
+def stream_sessions(spark, sf):
+    """Sessions as a stream: those that the watermark has not passed may still grow, and wait."""
+    out = windows.drain(windows.sessions(windows.open_events(spark, f"{sf}/events.parquet"), "30 minutes", "user_id"), "sessions")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("select event_id, user_id, event_type, value from events")
+def stream_once(spark, sf):
+    """Events that a collector delivers twice come out once."""
+    path = f"{sf}/events.parquet"
+    twice = windows.open_events(spark, path).unionByName(windows.open_events(spark, path))
+    return windows.drain(windows.first_seen(twice, ["event_id"]), "once").select("event_id", "user_id", "event_type", "value")
+
+
 @query("select inst, name, n_news, cast(rank as int) as rank from (select inst, name, count(*) as n_news, row_number() over (order by count(*) desc, inst) as rank from mentioned join dim using (inst) group by 1, 2) where rank <= 10")
 def most_mentioned(spark, sf):
     """A report: global order and limit, which Spark takes per partition first."""
