@@ -151,3 +151,14 @@ def test_lists_of_the_same_nodes_give_a_pair_once(spark):
     want = [(a, b) for a in range(5) for b in range(a + 1, 5)]
     for parts in (1, 4):
         assert sorted(tuple(r) for r in jj.scanned(blocks.withColumn("part", F.col("key") % parts), 85).collect()) == want
+
+
+@pytest.mark.parametrize("percent", [85, 75, 50, 34])
+def test_small_sets_inside_one_of_one_more(spark, percent, monkeypatch):
+    """At 85, six shingles link to the same six and another (6 / 7); below 51, sets may share a single shingle."""
+    texts = [" ".join(f"p{i}w{j}" for j in range(n)) for i in range(12) for n in (i + 3, i + 4)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {s for d, s, c in check(table, percent) if d > c}
+    assert 7 in linked if percent == 85 else min(linked) <= 4
+    monkeypatch.setattr(jj, "boundary", lambda cost, percent: 10**6)
+    check(table, percent)

@@ -224,12 +224,12 @@ def posted(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank
 
     def keys_of(tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
-        if opening(n, 0, percent) == 0:
-            return tokens[:0]  # so few that only an equal set is similar
+        if 100 * n < percent * (n + 1):
+            return tokens[:0]  # so few that not even a set of one more is similar
         first = in_order(tokens, frequent, rank)[: opening(n, 2, percent)]
         keys = [subsets_of(first)] if n < heavy_from else []
-        if n >= matches_heavy:
-            keys.append(first[:-1])
+        if n >= matches_heavy or percent * n <= 100:  # the latter may share a single shingle
+            keys.append(first[: opening(n, 1, percent)])
         return np.concatenate(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
