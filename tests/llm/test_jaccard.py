@@ -162,3 +162,20 @@ def test_small_sets_inside_one_of_one_more(spark, percent, monkeypatch):
     assert 7 in linked if percent == 85 else min(linked) <= 4
     monkeypatch.setattr(jj, "boundary", lambda cost, percent: 10**6)
     check(table, percent)
+
+
+def test_postings_stay_in_proportion_whatever_the_sample_says(spark, monkeypatch):
+    """A common shingle in the sample speaks for light sets alone, whose 2-subsets grow with the square of a set."""
+    table = made(spark, 6, 60, 300, 900)
+    monkeypatch.setattr(jj, "boundary", lambda cost, percent: 10**6)
+    monkeypatch.setattr(jj, "_KEYS", 500, raising=False)
+    frequent, rank, at = jj.learned(table, 4, 85)
+    keys = [r.k for r in jj.posted(table, 4, 85, frequent, rank, at).selectExpr("size(keys) as k").collect()]
+    heavy = [r.k for r in jj.posted(table, 4, 85, frequent, rank, 1).selectExpr("size(keys) as k").collect()]
+    assert len(keys) == table.count() and sum(keys) <= 2 * sum(heavy)
+    check(table)
+
+
+def test_light_sets_as_far_as_the_input_pays():
+    assert jj.most_light([], 85) == 1
+    assert jj.most_light([(b, 100) for b in range(8, 48)], 85) < 500 < jj.most_light([(20, 10), (36, 10**6)], 85)

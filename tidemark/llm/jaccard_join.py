@@ -6,7 +6,8 @@ least ``ceil(percent * n)`` shingles of either set, so under any one order of al
 
 1. *Profile.* One pass finds frequent shingles with mergeable Misra-Gries summaries, counts sets by size, and counts the
    documents of a hash sample of all shingles. Frequent shingles come last in the order, so passages that many documents share seldom open a set.
-2. *Boundary.* By these counts, light sets are those whose size makes enumerating subsets cheaper than scanning lists (``boundary``).
+2. *Boundary.* By these counts, light sets are those whose size makes enumerating subsets cheaper than scanning lists (``boundary``), as far as
+   postings stay in proportion to the input (``most_light``).
 3. *Postings.* A light set posts every 2-subset of its first shingles (k = 2), a heavy one each of its first shingles (k = 1), and so do light
    sets large enough to match a heavy one. Postings with one key are an inverted list; those of a single node go.
 4. *Hubs.* In each list that holds several components (at first every node is its own) one node of one component is the hub; nodes of other components are
@@ -43,6 +44,8 @@ MOST_FREQUENT = 1 << 16  # shingles kept by a summary, and broadcast as the end
 LEAST_FREQUENT = 16
 ONE_IN = 1024  # shingles of the profile's sample, by hash, over all documents
 HUB_ROUNDS = 3
+LIGHT_TIMES = 2  # postings with light sets, at most, over those of heavy sets alone
+_KEYS = 1 << 19  # of a batch that a task gives out
 BLOCK_ROWS = 4096
 SLOTS = 1 << 20
 TASK_ROWS = 1 << 18
@@ -191,6 +194,20 @@ def boundary(cost: list[tuple[int, int, int]], percent: int) -> int:
     return math.ceil(2 ** (int(np.argmin(total)) / 4))
 
 
+def most_light(sizes: list[tuple[int, int]], percent: int) -> int:
+    """The largest boundary at which all postings are at most ``LIGHT_TIMES`` those of heavy sets alone, given ``bin, sets``: 2-subsets grow with the square of a set."""
+    rows = []
+    for b, sets in sorted(sizes):
+        spare = 2 ** ((b + 1) / 4) * (100 - percent) / 100
+        rows.append((b, sets * (spare + 1), sets * (spare + 2) * (spare + 1) / 2))
+    left = (LIGHT_TIMES - 1) * sum(heavy for _, heavy, _ in rows)
+    for b, _, light in rows:
+        left -= light
+        if left < 0:
+            return math.ceil(2 ** (b / 4))
+    return math.ceil(2 ** ((rows[-1][0] + 1) / 4)) if rows else 1
+
+
 def learned(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent shingles in ascending order of hash, their ranks by count, and the boundary; of bounded size, whatever the documents."""
     seen = materialize(profile(docs, words), "jaccard-profile")
@@ -200,7 +217,8 @@ def learned(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.n
     sample = sample.withColumn("df", F.sum("c").over(Window.partitionBy("item"))).where(F.col("df") > 1)
     entries = {r.bin: r.e * ONE_IN for r in sample.groupBy("bin").agg(F.sum(F.col("c") * (F.col("df") - 1)).alias("e")).collect()}
     sizes = seen.where("kind = 1").groupBy("item").agg(F.sum("n").alias("n")).collect()
-    at = boundary([(r.item, r.n, entries.get(r.item, 0)) for r in sizes], percent)
+    # The sample multiplies a single shingle by ONE_IN, so its verdict may be far off: it decides within what the input can pay for.
+    at = min(boundary([(r.item, r.n, entries.get(r.item, 0)) for r in sizes], percent), most_light([(r.item, r.n) for r in sizes], percent))
     items = np.array(frequent, np.int64).view(np.uint64)
     order = np.argsort(items)
     return items[order], order, at
@@ -235,16 +253,21 @@ def posted(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            nodes, sizes, keys, bits = [], [], [], []
-            for text in batch.column("text"):
+            nodes, sizes, keys, bits, held, start = [], [], [], [], 0, 0
+            for at, text in enumerate(batch.column("text"), 1):
                 tokens = shingles(text.as_py(), memo, words)
                 sizes.append(len(tokens))
                 nodes.append(np.uint64(node_of(tokens)).view(np.int64) if len(tokens) else None)
                 keys.append(keys_of(tokens).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
                 bits.append(parity(tokens) if len(tokens) else None)
-            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "place", "node", "n", "keys", "bits"])
+                held += len(keys[-1])
+                if held < _KEYS and at < batch.num_rows:
+                    continue
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
+                own = batch.slice(start, at - start)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("place"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "place", "node", "n", "keys", "bits"])
+                nodes, sizes, keys, bits, held, start = [], [], [], [], 0, at
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, node long, n long, keys array<long>, bits binary")
