@@ -123,3 +123,13 @@ def test_backtests_of_the_learned_books_add_up(spark, monkeypatch):
         assert got.n_periods == len(x) and got.mean_ret == pytest.approx(x.mean(), abs=1e-9) and got.vol == pytest.approx(x.std(ddof=1), abs=1e-9)
         assert got.final_wealth == pytest.approx(wealth[-1], rel=1e-6) and got.max_drawdown == pytest.approx((wealth / peak - 1).min(), abs=1e-9)
         assert net.final_wealth < got.final_wealth and net.mean_ret < got.mean_ret
+
+
+def test_sketches_are_exact_beyond_one_sketch(spark):
+    """40,000 items overflow a sketch of 2**14, but not its shards."""
+    n = spark.range(40_000).select("id", F.when(F.col("id") < 30_000, "a").otherwise("b").alias("g")).unionByName(spark.range(25_000, 30_000).select("id", F.lit("b").alias("g")))
+    stored = sketches.by_period(n, ["g"], "id")
+    assert {r.part: r.about for r in sketches.compared(stored, "g", "a", "b").collect()} == {"a": 30_000, "b": 15_000, "both": 5_000, "either": 40_000}
+    assert {r.g: r.about for r in sketches.merged(stored, ["g"]).collect()} == {"a": 30_000, "b": 15_000}
+    empty = sketches.compared(stored.limit(0), "g", "a", "b").collect()
+    assert {r.part: r.about for r in empty} == {"a": 0, "b": 0, "both": 0, "either": 0}

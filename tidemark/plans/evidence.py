@@ -106,7 +106,7 @@ def m0_slope(spark, sf):
     return w.select("fold", "n", F.round(F.get("w", F.lit(0)), 5).alias("intercept"), F.round(F.get("w", F.lit(1)), 5).alias("slope"))
 
 
-THETA_BITS = 14  # a sketch of up to 16,384 different stories counts them exactly; beyond, within 3 / 128 nearly always
+THETA_BITS = 14  # a shard's sketch of up to 16,384 different stories counts them exactly; beyond, within 3 / 128 nearly always
 
 
 @query(f"""
@@ -115,7 +115,7 @@ select 'tg' as part, count(*) filter (tg) as n, count(*) filter (tg) as about fr
 union all select 'both', count(*) filter (tg and media), count(*) filter (tg and media) from seen union all select 'either', count(*), count(*) from seen
 """)
 def coverage_sketches(spark, sf):
-    """Stories by kind from sketches kept by month: merged over months, then intersected and united; the exact count beside each. SQL's tables are small enough for both to be equal."""
+    """Stories by kind from sketches kept by month: merged over months, then intersected and united; the exact count beside each. Sketches are sharded, so both are equal to some 14 million stories."""
     g = stories.exact_groups(i.news(spark, sf), "news_id", "text").select("kind", "month", "cluster_id")
     kept = cut(sketches.by_period(g, ["kind", "month"], "cluster_id", THETA_BITS), "sketches")
     about = sketches.compared(kept, "kind", "tg", "media", THETA_BITS)
