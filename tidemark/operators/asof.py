@@ -23,10 +23,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(1 - left_place).alias("_side"), packed.alias("_v"))
     both = a.unionByName(b, allowMissingColumns=True)
     window = Window.partitionBy(*by)
-    if forward:
-        found = F.first("_v", ignorenulls=True).over(window.orderBy("_t", "_side", F.col("_v").desc()).rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("_v", ignorenulls=True).over(window.orderBy("_t", "_side", F.col("_v").asc()).rowsBetween(Window.unboundedPreceding, 0))
+    # Looking ahead is looking back in reverse order: a frame to the end of the partition would be read anew for every row.
+    order = [F.col("_t").desc(), F.col("_side").desc()] if forward else ["_t", "_side"]
+    found = F.last("_v", ignorenulls=True).over(window.orderBy(*order, F.col("_v").asc()).rowsBetween(Window.unboundedPreceding, 0))
     got = both.withColumn("_v", found).where(F.col("_row").isNotNull())
     return got.select("_row.*", *(F.col(f"_v.{c}").alias(f"asof_{c}") for c in (right_ts, *values)))
 
