@@ -727,3 +727,55 @@ def test_window_pairs_equal_brute_force_over_dates(spark):
         got = stories.window_pairs(t, "id", "v", "day", span, 0.9, block_rows=16).collect()
         assert len(got) == len(want) and {(x.a, x.b): x.gap for x in got} == want
     assert stories.window_pairs(t.limit(0), "id", "v", "day", 3, 0.5).collect() == []
+
+
+def test_words_whose_signs_cancel_still_have_a_vector():
+    """Two words of one place and opposite signs."""
+    places = {}
+    for k in range(2000):
+        v = vector.load_hashing()([f"w{k}"])[0]
+        at = int(np.flatnonzero(v)[0])
+        if (at, -v[at]) in places:
+            break
+        places[at, v[at]] = k
+    text = f"w{k} w{places[at, -v[at]]}"
+    got = vector.load_hashing()([text, "", " ... "])
+    assert np.linalg.norm(got[0]) == pytest.approx(1) and not got[1].any() and not got[2].any()
+
+
+def test_looking_ahead_reads_no_frame_anew(spark):
+    """The frame of every as-of join runs from the start of its partition, which Spark extends row by row."""
+    left = spark.createDataFrame([("a", 1), ("a", 3), ("a", 9)], "k string, at int")
+    right = spark.createDataFrame([("a", 3, 1.0), ("a", 3, 2.0), ("a", 5, 7.0)], "k string, t int, v double")
+    for strict, want in ((False, [(1, 3, 2.0), (3, 3, 2.0), (9, None, None)]), (True, [(1, 3, 2.0), (3, 5, 7.0), (9, None, None)])):
+        got = asof.asof_join(left, right, ["k"], "at", "t", ["v"], "forward", strict)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+        assert sorted((r["at"], r.asof_t, r.asof_v) for r in got.collect()) == want
+
+
+def test_lsh_takes_few_tables_and_finds_pairs_in_slices(spark, monkeypatch):
+    """Every table shuffles all vectors, so there are some tens of tables; large buckets are compared in slices."""
+    assert stories.lsh_shape(0.4, 100_000, 0.95)[0] < 64
+    monkeypatch.setattr(stories, "BUCKET_ROWS", 32)
+    r = np.random.default_rng(6)
+    v = np.vstack([r.normal(size=(500, 64)), np.repeat(r.normal(size=(1, 64)), 150, axis=0)])
+    v[500:] += r.normal(size=(150, 64)) * 0.1
+    v[:40] = v[40:80] + r.normal(size=(40, 64)) * 0.1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(v @ v.T, 1) >= 0.9))}
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    assert stories.lsh_shape(0.9, len(v), 0.95)[1] > 0
+    got = [(x.a, x.b) for x in stories.lsh_pairs(t, "id", "v", 0.9).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.95 * len(want)
+
+
+def test_links_of_large_blocks_come_in_strips(spark, monkeypatch):
+    """Vectors are dealt once a block: 30,000 of them twelve times, where blocks of 2,048 took fifteen; strips share one forest."""
+    monkeypatch.setattr(stories, "STRIP_CELLS", 1000)
+    r = np.random.default_rng(4)
+    v = np.repeat(r.normal(size=(40, 16)), 8, axis=0) + r.normal(size=(320, 16)) * 0.02
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    links = stories.cosine_links(t, "id", "v", 0.98)
+    assert links.count() < 320 and rows(stories.groups_of(links)) == rows(stories.groups_of(stories.cosine_pairs(t, "id", "v", 0.98)))
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.array_equal(stories.at_least(x, x, 0.98), np.einsum("ik,jk->ij", x, x) >= 0.98)

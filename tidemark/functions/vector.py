@@ -33,6 +33,9 @@ def load_hashing(size: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
         for w in re.findall(r"\w+", text.lower()):
             h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
             v[h // 2 % size] += 1 if h % 2 else -1
+        if not v.any():  # the signs of all words cancel: without them, a text with words is never zero
+            for w in re.findall(r"\w+", text.lower()):
+                v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") // 2 % size] += 1
         return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
     return lambda texts: [one(t) for t in texts]

@@ -163,7 +163,8 @@ def stub_sentiment(spark, sf):
 def stub_embeddings(spark, sf):
     """The embedding boundary with its stand-in model: vectors of unit length, of zeros for texts without words."""
     e = vector.embed(i.news(spark, sf).select("news_id", "text"), "text")
-    return e.select("news_id", F.size("embedding").alias("size"), (F.round(vector.norm("embedding"), 4) == 1).alias("has_words"))
+    has_words = F.when(F.col("text").isNotNull(), F.round(vector.norm("embedding"), 4) == 1)
+    return e.select("news_id", F.size("embedding").alias("size"), has_words.alias("has_words"))
 
 
 @query("""
