@@ -25,11 +25,17 @@ def exact_groups(news: DataFrame, key: str, text: str) -> DataFrame:
     return news.join(exact_clusters(news, key, text), key)
 
 
+STRIP_CELLS = 1 << 22  # similarities in memory at a time, where a block's are not kept
+_LEAST_BLOCKS, _SMALL_BLOCK = 12, 2048
+_MARGIN = 1e-5  # single precision is off by less for unit vectors of some hundred components
+
+
 def _block_pairs(vectors: DataFrame, key: str, vector: str, block_rows: int, found, schema: str) -> DataFrame:
-    """Runs ``found(i, keys, other keys, similarities)`` on each pair of blocks; see ``cosine_pairs``."""
+    """Runs ``found(same, keys, other keys, unit vectors, other unit vectors)`` on each pair of blocks; see ``cosine_pairs``. Each row is dealt once a block."""
     v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
     n = v.count()
-    blocks = max(1, -(-n // block_rows))
+    # Large blocks spare the shuffle; some dozen of them keep all cores at work.
+    blocks = max(1, -(-n // block_rows), min(_LEAST_BLOCKS, -(-n // _SMALL_BLOCK)))
     own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = v.withColumn("own", own).withColumn("other", every)
@@ -46,7 +52,7 @@ def _block_pairs(vectors: DataFrame, key: str, vector: str, block_rows: int, fou
             m, o = (np.array(t.tolist(), np.float64) for t in (x["v"], y["v2"]))
             with np.errstate(invalid="ignore", divide="ignore"):
                 m, o = m / np.linalg.norm(m, axis=1, keepdims=True), o / np.linalg.norm(o, axis=1, keepdims=True)
-            out.append(found(i[0] == i[1], x["k"].to_numpy(), y["k2"].to_numpy(), m @ o.T))
+            out.append(found(i[0] == i[1], x["k"].to_numpy(), y["k2"].to_numpy(), m, o))
         return pd.concat(out[1:]) if out[1:] else out[0]
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiply, schema)
@@ -60,7 +66,8 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     for their closure, ``lsh_pairs`` for high thresholds beyond some ten million rows.
     """
 
-    def pairs(same: bool, ka: np.ndarray, kb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    def pairs(same: bool, ka: np.ndarray, kb: np.ndarray, m: np.ndarray, o: np.ndarray) -> pd.DataFrame:
+        s = m @ o.T
         r, c = np.nonzero((s >= least) & (ka[:, None] < kb[None, :] if same else ka[:, None] != kb[None, :]))
         return pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c]), "similarity": s[r, c]})
 
@@ -68,53 +75,118 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     return _block_pairs(vectors, key, vector, block_rows, pairs, f"a {kind}, b {kind}, similarity double")
 
 
-def spanning_links(s: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a boolean matrix whose links join what all true cells join: fewer than rows and columns together. ``same``: both are the same things."""
-    label, columns = np.arange(s.shape[0] + (0 if same else s.shape[1])), 0 if same else s.shape[0]
+class Forest:
+    """Links of things by number, kept if they join two groups."""
+
+    def __init__(self, n: int):
+        self.up, self.size = np.arange(n), np.ones(n, np.int64)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.up[x]
+        while (r != (further := self.up[r])).any():
+            r = further
+        self.up[x] = r
+        return r
+
+    def join(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Joins ``one`` with each of ``others``; places in ``others`` of one link to each group that was apart."""
+        own, theirs = self.roots(np.array([one]))[0], self.roots(others)
+        apart = np.flatnonzero(theirs != own)
+        if not len(apart):
+            return apart
+        groups, first = np.unique(theirs[apart], return_index=True)
+        every = np.append(groups, own)
+        top = every[self.size[every].argmax()]  # under the largest, so ways up stay short
+        self.size[top] = self.size[every].sum()
+        self.up[every] = top
+        return apart[first]
+
+
+def spanning_links(s: np.ndarray, same: bool, forest: Forest | None = None, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a boolean matrix whose links join what all true cells join: fewer than rows and columns together. ``same``: both are the same things.
+
+    With ``forest`` the matrix is a strip of a larger one from row ``at`` on, whose other strips went before; columns then come before rows there.
+    """
+    forest = forest or Forest(s.shape[1] + (0 if same else s.shape[0]))
+    rows = 0 if same else s.shape[1]
     kept_r, kept_c = [], []
-    for r in range(s.shape[0]):
+    for r in np.flatnonzero(s.any(axis=1)):
         c = np.flatnonzero(s[r])
-        _, first = np.unique(label[c + columns], return_index=True)  # one link to each group that the row touches
-        c = c[first]
-        groups, own = label[c + columns], label[r]
-        c, groups = c[groups != own], groups[groups != own]
+        c = c[forest.join(rows + at + r, c)]
         if len(c):
-            label[np.isin(label, groups)] = own
-            kept_r.append(np.full(len(c), r))
+            kept_r.append(np.full(len(c), at + r))
             kept_c.append(c)
     flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
     return flat(kept_r), flat(kept_c)
 
 
-def cosine_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 2048) -> DataFrame:
-    """``a, b``: links whose closure is that of ``cosine_pairs``. A block gives a forest, so a group of n stories costs n links a block and never n * n."""
+def at_least(m: np.ndarray, o: np.ndarray, least: float, single: np.ndarray | None = None) -> np.ndarray:
+    """Where ``m @ o.T`` (double precision, unit rows) reaches ``least``: single precision decides what is far from it (``single``: ``o`` in it)."""
+    s = m.astype(np.float32) @ (o.astype(np.float32) if single is None else single).T
+    hit = s >= np.float32(least - _MARGIN)
+    r, c = np.nonzero(hit)
+    close = s[r, c] <= np.float32(least + _MARGIN)
+    r, c = r[close], c[close]
+    for a in range(0, len(r), 1 << 16):
+        i, j = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
+        hit[i, j] = np.einsum("ij,ij->i", m[i], o[j]) >= least
+    return hit
 
-    def links(same: bool, ka: np.ndarray, kb: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        r, c = spanning_links(s >= least, same)
+
+def cosine_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 1 << 16) -> DataFrame:
+    """``a, b``: links whose closure is that of ``cosine_pairs``. A block gives a forest, so a group of n stories costs n links a block and never n * n.
+
+    A block's similarities are worked in strips and never kept, so blocks may be large: every row is shuffled once a block.
+    """
+
+    def links(same: bool, ka: np.ndarray, kb: np.ndarray, m: np.ndarray, o: np.ndarray) -> pd.DataFrame:
+        forest, out, high = Forest(len(kb) + (0 if same else len(ka))), [], max(1, STRIP_CELLS // len(kb))
+        if same:  # both sides are the same rows, each in its own order
+            ka_order, kb_order = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+            ka, m, kb, o = ka[ka_order], m[ka_order], kb[kb_order], o[kb_order]
+        single = o.astype(np.float32)
+        for at in range(0, len(ka), high):
+            r, c = spanning_links(at_least(m[at : at + high], o, least, single), same, forest, at)
+            out.append((r, c))
+        r, c = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c])})
 
     kind = dict(vectors.dtypes)[key]
     return _block_pairs(vectors, key, vector, block_rows, links, f"a {kind}, b {kind}")
 
 
+BUCKET_ROWS = 2048
+
+
 def lsh_shape(least: float, rows: int, recall: float) -> tuple[int, int]:
-    """``tables, bits``: buckets of some eight rows, and tables enough for a pair at ``least`` to meet with chance ``recall``.
+    """``tables, bits``: buckets of some ``BUCKET_ROWS`` rows, and tables enough for a pair at ``least`` to meet with chance ``recall``.
+
+    Every table shuffles all vectors, while a bucket's products are one matrix product: so buckets are large and tables few.
 
     No bits, where the tables would hold more candidates than there are pairs.
     """
     agree = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
-    bits = min(62, max(0, int(np.log2(max(rows, 1) / 8)))) if rows >= 16 else 0
+    bits = min(62, max(0, int(np.log2(max(rows, 1) / BUCKET_ROWS)))) if rows >= 2 * BUCKET_ROWS else 0
     meet = agree**bits
     tables = 1 if meet >= 1 else int(np.ceil(np.log(1 - recall) / np.log1p(-meet))) if meet > 0 else 1 << 62
     return (1, 0) if tables >= 2**bits else (tables, bits)
 
 
+def in_slices(rows: DataFrame, key: str, total: str, most: int) -> DataFrame:
+    """Adds ``slice`` and ``block``: a bucket of more than ``most`` rows (``total``) is dealt by ``key`` into slices, and each pair of slices is a block, besides each slice itself."""
+    n = F.when(F.col(total) <= most, 1).otherwise(F.ceil(F.col(total) / (most // 2))).cast("int")
+    dealt = rows.withColumn("_n", n).withColumn("slice", F.pmod(F.xxhash64(key, F.lit(1)), "_n").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return dealt.withColumn("block", F.least("slice", "_other") * F.col("_n") + F.greatest("slice", "_other")).drop("_n", "_other")
+
+
 def lsh_pairs(vectors: DataFrame, key: str, vector: str, least: float, recall: float = 0.95, seed: int = 7) -> DataFrame:
     """``a, b, similarity`` of pairs with a < b that share a random-hyperplane bucket in any table and reach ``least``: no false pairs.
 
     ``lsh_shape`` takes tables and bits from the threshold and the distinct vectors, so that a pair at the threshold is found with chance
     ``recall``; nearer ones more often. Equal vectors are hashed once; vectors of other length never meet. The work grows with the rows to the power
-    1 + log(agree) / log(1/2), agree = 1 - arccos(least) / pi: 1.66 at 0.4, 1.22 at 0.9. Without bits ``cosine_pairs`` finds all.
+    1 + log(agree) / log(1/2), agree = 1 - arccos(least) / pi: 1.66 at 0.4, 1.22 at 0.9. Buckets are compared where they meet, large ones in slices, so what is
+    shuffled is each vector once a table, and no candidates. Without bits ``cosine_pairs`` finds all.
     """
     from tidemark.functions.vector import cosine
 
@@ -127,15 +199,36 @@ def lsh_pairs(vectors: DataFrame, key: str, vector: str, least: float, recall: f
         for frame in frames:
             for size, part in frame.groupby(frame["v"].map(len)):
                 x = np.array(part["v"].tolist(), np.float64)
+                each = np.empty((len(part), tables), np.int64)
                 for t in range(tables):
                     plane = np.random.default_rng([seed, size, t]).choice([-1.0, 1.0], size=(size, bits))
-                    yield pd.DataFrame({"g": part["g"], "size": size, "t": t, "code": (x @ plane >= 0) @ (1 << np.arange(bits, dtype=np.int64))})
+                    each[:, t] = (x @ plane >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pd.DataFrame({"g": part["g"].to_numpy(), "v": part["v"].to_numpy(), "size": size, "codes": list(each)})
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("slice", kind="stable")
+        x, g = np.array(frame["v"].tolist(), np.float64), frame["g"].to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        first = int((frame["slice"] == frame["slice"].iloc[0]).sum())
+        several, out = first < len(g), []
+        for at in range(0, first if several else len(g), 512):
+            end = min(at + 512, first) if several else at + 512
+            y, names = (x[first:], g[first:]) if several else (x, g)
+            s = x[at:end] @ y.T
+            r, c = np.nonzero(s >= least) if several else np.nonzero((s >= least) & (g[at:end][:, None] < names[None, :]))
+            i, j = g[at:end][r], names[c]
+            out.append(pd.DataFrame({"g": np.minimum(i, j), "h": np.maximum(i, j), "similarity": s[r, c]}))
+        return pd.concat(out)
 
     if bits:
-        hashed = cut(groups.select("g", "v").mapInPandas(codes, "g long, size int, t int, code long"), "lsh")
-        near = hashed.join(hashed.withColumnRenamed("g", "h"), ["size", "t", "code"]).where("g < h").select("g", "h").distinct()
-        other = groups.select(F.col("g").alias("h"), F.col("v").alias("w"))
-        close = near.join(groups, "g").join(other, "h").select("g", "h", cosine("v", "w").alias("similarity"))
+        coded = cut(groups.select("g", "v").mapInPandas(codes, f"g long, v {dict(groups.dtypes)['v']}, size int, codes array<long>"), "lsh")
+        dealt = coded.select("g", "v", "size", F.posexplode("codes").alias("t", "code"))
+        # Pairs meet where their bucket is: ids and vectors are shuffled, candidates never. Of a table there are at most 2**bits buckets.
+        sizes = dealt.groupBy("size", "t", "code").agg(F.count("*").alias("rows")).where("rows > 1")
+        dealt = in_slices(dealt.join(F.broadcast(sizes), ["size", "t", "code"]), "g", "rows", 2 * BUCKET_ROWS)
+        close = dealt.groupBy("size", "t", "code", "block").applyInPandas(compare, "g long, h long, similarity double")
+        close = close.groupBy("g", "h").agg(F.max("similarity").alias("similarity"))
     else:
         close = cosine_pairs(groups, "g", "v", least).select(F.col("a").alias("g"), F.col("b").alias("h"), "similarity")
     close = close.unionByName(groups.select("g", F.col("g").alias("h"), cosine("v", "v").alias("similarity")))
