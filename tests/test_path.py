@@ -107,3 +107,16 @@ def test_learned_vectors_of_odd_texts(spark):
     got = latent.embed(n, "text", latent.fit(n, "text", 2, 16)).collect()
     assert len(got) == 6 and all(len(r.embedding) == 2 for r in got) and [r.embedding for r in got if not (r.text or "").strip(" .")] == [[0.0, 0.0]] * 2
     assert latent.fit(n.limit(0), "text") is None and latent.embed(n, "text", None).first().embedding is None
+
+
+def test_bands_carry_ids_alone_and_estimates_are_apart(spark, monkeypatch):
+    """What bands bring together is kept as pairs of ids; signatures of all bands ride on no shuffled row."""
+    from tidemark.operators import minhash
+
+    kept, put = {}, minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, name: kept.setdefault(name, put(df, name)))
+    base = [f"w{k}" for k in range(60)]
+    n = spark.createDataFrame([(k, " ".join([*base[:50], f"x{k}", *base[50:]])) for k in range(6)] + [(9, "other words here altogether")], "id long, t string")
+    full = {(r.a, r.b): r for r in minhash.similar_pairs(n, "id", "t").collect()}
+    assert kept["minhash-met"].columns == ["a", "b"] and len(full) == 15 and all(abs(r.jaccard - r.estimate) < 0.3 for r in full.values())
+    assert {(r.a, r.b): r.jaccard for r in minhash.similar_pairs(n, "id", "t", estimates=False).collect()} == {k: r.jaccard for k, r in full.items()}

@@ -18,6 +18,7 @@ from tidemark.work import cut
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.99999
 BAND_ROWS = 4
+SLOTS = 1 << 20
 
 
 def bands_for(least: float, recall: float, rows: int = BAND_ROWS) -> int:
@@ -53,34 +54,42 @@ def estimate(a: str | Column, b: str | Column) -> Column:
     return same / F.size(a)
 
 
-def similar_pairs(docs: DataFrame, key: str, text: str, least: float = LEAST, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """``a, b, jaccard, estimate`` with a < b of texts whose shingle sets reach ``least``; ``key`` must be unique and ``docs`` without copies (``text_classes``).
+def similar_pairs(docs: DataFrame, key: str, text: str, least: float = LEAST, words: int = WORDS, recall: float = RECALL, estimates: bool = True) -> DataFrame:
+    """``a, b, jaccard, estimate`` (the last with ``estimates`` alone) with a < b of texts whose shingle sets reach ``least``; ``key`` must be unique and ``docs`` without copies (``text_classes``).
 
-    A pair that shares several bands is a candidate at the first of them alone, so no candidate is made twice. Null texts and texts without words have no pairs.
+    Bands are shuffled as a hash and a ``key`` each; only texts that some band brings together give their sets to be compared, and signatures are
+    read again only for pairs found. Null texts and texts without words have no pairs.
     """
     bands = bands_for(least, recall)
     # No filter on the sets here: pushed below, it would split the text again for each shingle. Empty sets have no signature.
     sets = cut(docs.select(F.col(key).alias("k"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("k", shingles("w", words).alias("shingles")), "shingle-sets")
     signed = cut(signatures(sets, "k", bands * BAND_ROWS), "signatures")
-    codes = F.array(*(F.xxhash64(*(F.get("signature", F.lit(b * BAND_ROWS + r)) for r in range(BAND_ROWS))) for b in range(bands)))
-    dealt = signed.select("k", codes.alias("codes")).select("k", "codes", F.posexplode("codes").alias("band", "code"))
-    left, right = dealt.select(F.col("k").alias("a"), F.col("codes").alias("c1"), "band", "code"), dealt.select(F.col("k").alias("b"), F.col("codes").alias("c2"), "band", "code")
-    met = left.join(right, ["band", "code"]).where("a < b")
-    first = met.where(F.array_position(F.zip_with("c1", "c2", lambda x, y: x == y), True) == F.col("band") + 1).select("a", "b")
-    one = sets.join(signed, "k")
-    pairs = first.join(one.select(F.col("k").alias("a"), F.col("shingles").alias("x"), F.col("signature").alias("s")), "a").join(one.select(F.col("k").alias("b"), F.col("shingles").alias("y"), F.col("signature").alias("t")), "b")
+    codes = F.array(*(F.xxhash64(F.lit(b), *(F.get("signature", F.lit(b * BAND_ROWS + r)) for r in range(BAND_ROWS))) for b in range(bands)))
+    dealt = signed.select("k", F.explode(codes).alias("code"))
+    met = dealt.join(dealt.select(F.col("k").alias("b"), "code"), "code").where("k < b")
+    first = cut(met.select(F.col("k").alias("a"), "b").distinct(), "minhash-met")
+    # Most texts meet none: a filter of at most SLOTS places spares the shuffle their sets.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(first.select(F.explode(F.array("a", "b")).alias("k")).select(slot("k").alias("_slot")).distinct())
+    near = lambda rows: rows.withColumn("_slot", slot("k")).join(slots, "_slot", "left_semi").drop("_slot")
+    one = near(sets)
+    pairs = first.join(one.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a").join(one.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
     # Sizes too far apart cannot be similar: that spares the intersection.
     low, high = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.where(low >= least * high).select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"), estimate("s", "t").alias("estimate"))
-    return found.where(F.col("jaccard") >= least)
+    found = pairs.where(low >= least * high).select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    if not estimates:
+        return found
+    found, seen = cut(found, "minhash-found"), near(signed)
+    both = found.join(seen.select(F.col("k").alias("a"), F.col("signature").alias("s")), "a").join(seen.select(F.col("k").alias("b"), F.col("signature").alias("t")), "b")
+    return both.select("a", "b", "jaccard", estimate("s", "t").alias("estimate"))
 
 
 def near_groups(docs: DataFrame, key: str, text: str, least: float = LEAST, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """``key, class, cluster_id, n_links``: each row's class of equal texts, its group of near copies (named by its smallest ``key``), and the links of its class to others."""
     classes = cut(text_classes(docs, key, text), "text-classes")
     own = docs.join(classes.where(F.col(key) == F.col("class")).select(key), key, "left_semi")
-    pairs = cut(similar_pairs(own, key, text, least, words, recall).select("a", "b"), "minhash-pairs")
+    pairs = cut(similar_pairs(own, key, text, least, words, recall, estimates=False).select("a", "b"), "minhash-pairs")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     roots = groups_of(pairs).select(F.col("node").alias("class"), "cluster_id")
     out = classes.join(roots, "class", "left").join(degree, "class", "left")

@@ -28,7 +28,7 @@ def minhash_pairs(spark, sf):
     """Links between different texts; copies stand behind their class's representative (``minhash_groups``)."""
     n = i.news(spark, sf).select("news_id", "text")
     own = n.join(minhash.text_classes(n, "news_id", "text").where(F.col("news_id") == F.col("class")).select("news_id"), "news_id", "left_semi")
-    return minhash.similar_pairs(own, "news_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return minhash.similar_pairs(own, "news_id", "text", estimates=False).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"""
