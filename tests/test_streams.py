@@ -5,6 +5,8 @@ import sqlite3
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 
@@ -46,6 +48,22 @@ def test_asof_stream_equals_the_batch_join(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(repr(r) for r in want.select("news_id", "inst", "at", "asof_seen", "asof_px").collect() if r.news_id != 9)
 
 
+def test_asof_state_holds_chunks_of_buckets(spark):
+    """A batch calls the state once a bucket, not once a key; ties, null ids, unmatched news and NaN come out as the batch join's."""
+    rows = spark.range(0, 40_000, 1, 2).selectExpr(f"cast(pmod(id, {quotes.BUCKETS}) as int) as bucket", "concat('k', id) as key", "id as at", "id / 2 as value")
+    chunks = quotes.in_chunks(rows, True).collect()
+    assert len(chunks) <= 2 * quotes.BUCKETS
+    for c in chunks:
+        own = quotes.opened([c.rows]).to_pydict()
+        assert {int(k[1:]) % quotes.BUCKETS for k in own["key"]} == {c.bucket} and c.earliest == min(own["at"])
+    assert sum(len(quotes.opened([c.rows])) for c in chunks) == 40_000
+    q = pa.table({"key": ["a", "a", "a", "b", "b", "c"], "at": [1, 5, 5, 4, 9, 8], "value": [1.0, 3.0, 2.0, 1.0, float("nan"), 7.0]})
+    assert sorted(quotes.needed(q, 6).select(["key", "at"]).to_pylist(), key=str) == [{"key": "a", "at": 5}, {"key": "b", "at": 4}, {"key": "b", "at": 9}, {"key": "c", "at": 8}]
+    got = quotes.answered(q, pa.table({"key": ["a", "a", "b", "c", "d"], "at": [5, 0, 10, 7, 9], "id": pa.array([2**53 + 1, 2, None, 4, 5])}))
+    assert got["id"].tolist() == [2**53 + 1, 2, pd.NA, 4, 5] and got["asof_at"].tolist() == [5, pd.NA, 9, pd.NA, pd.NA]
+    assert got["nan"].tolist() == [False, False, True, False, False] and got["value"][0] == 3.0
+
+
 def line(n):
     return json.dumps({"id": n, "channel": "c", "date": "2024-01-01T10:00:00", "text": f"слово {n}" * (n % 7)}, ensure_ascii=False) + "\n"
 
