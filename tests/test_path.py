@@ -3,9 +3,10 @@
 import json
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import macro, scorer, sentiment
+from tidemark.operators import latent, macro, scorer, sentiment
 from tidemark.plans import path
 from tidemark.plans.registry import QUERIES
 
@@ -120,3 +121,20 @@ def test_bands_carry_ids_alone_and_estimates_are_apart(spark, monkeypatch):
     full = {(r.a, r.b): r for r in minhash.similar_pairs(n, "id", "t").collect()}
     assert kept["minhash-met"].columns == ["a", "b"] and len(full) == 15 and all(abs(r.jaccard - r.estimate) < 0.3 for r in full.values())
     assert {(r.a, r.b): r.jaccard for r in minhash.similar_pairs(n, "id", "t", estimates=False).collect()} == {k: r.jaccard for k, r in full.items()}
+
+
+def test_learned_takes_texts_apart_once(spark):
+    """Rarity, means, covariance and projection read the counted terms, not the texts; the vectors are those of ``embed`` after ``fit``."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(k):
+        read.add(1)
+        return f"alpha w{k % 3} v{k % 5}" if k else None
+
+    n = spark.range(0, 30, 1, 2).select(F.col("id").alias("news_id"), text("id").alias("text"))
+    got = {r.news_id: r.embedding for r in latent.learned(n, "news_id", "text", 2, 16).collect()}
+    assert read.value == 30 and got[0] == [0.0, 0.0]
+    want = {r.news_id: r.embedding for r in latent.embed(n, "text", latent.fit(n, "text", 2, 16)).collect()}
+    assert all(abs(abs(np.dot(got[k], want[k])) - np.dot(want[k], want[k])) < 1e-5 for k in want)
+    assert latent.learned(n.limit(0), "news_id", "text").collect() == []

@@ -42,7 +42,7 @@ def minhash_groups(spark, sf):
 
 def learned(spark, sf):
     n = i.news(spark, sf).select("news_id", "text")
-    return cut(latent.embed(n, "text", latent.fit(n, "text")).select("news_id", "embedding"), "embeddings")
+    return cut(latent.learned(n, "news_id", "text"), "embeddings")
 
 
 @query()
