@@ -138,3 +138,10 @@ def test_learned_takes_texts_apart_once(spark):
     want = {r.news_id: r.embedding for r in latent.embed(n, "text", latent.fit(n, "text", 2, 16)).collect()}
     assert all(abs(abs(np.dot(got[k], want[k])) - np.dot(want[k], want[k])) < 1e-5 for k in want)
     assert latent.learned(n.limit(0), "news_id", "text").collect() == []
+
+
+def test_terms_search_a_text_once(spark):
+    news = spark.createDataFrame([("Wonderful, wonderful! a wonder",)], "text string").repartition(1)
+    assert sorted(news.select(scorer.terms("text")).first()[0]) == ["!", ",", "a", "wonde-", "wonde-", "wonder", "wonderful"]
+    plan = news.select(scorer.terms("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1

@@ -23,8 +23,9 @@ MOD, HELD_OUT = 5, 0
 def terms(text: str) -> Column:
     """Words, beginnings of longer words and single signs, lower-cased; a null text has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
-    distinct = F.array_distinct(found)
-    return F.concat(distinct, F.transform(F.filter(distinct, lambda t: F.length(t) > STEM), lambda t: F.concat(F.left(t, F.lit(STEM)), F.lit("-"))))
+    stems = lambda d: F.transform(F.filter(d, lambda t: F.length(t) > STEM), lambda t: F.concat(F.left(t, F.lit(STEM)), F.lit("-")))
+    # Bound to a variable, as the search would run anew wherever its result is named.
+    return F.flatten(F.transform(F.array(F.array_distinct(found)), lambda d: F.concat(d, stems(d))))
 
 
 def held_out(key: str) -> Column:
@@ -36,14 +37,15 @@ def fit(news: DataFrame, labels: DataFrame, key: str = "news_id", text: str = "t
     """The scorer, learned from ``labels`` (``key``, ``label`` one of ``CLASSES``); None without usable rows. Rows of equal key count as often as they come."""
     place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col(label)) - 1
     usable = labels.where(F.col(label).isin(*CLASSES) & ~held_out(key)).select(key, place.cast("double").alias("_y"))
-    rows = cut(news.join(usable, key).select(terms(text).alias("_terms"), "_y"), "scorer-rows")
+    hashing = HashingTF(inputCol="_terms", outputCol="_x", numFeatures=TERMS, binary=True)
+    rows = cut(hashing.transform(news.join(usable, key).select(terms(text).alias("_terms"), "_y")).select("_x", "_y"), "scorer-rows")
     n = {r["_y"]: r.n for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     share = F.element_at(F.create_map(*(F.lit(v) for y in n for v in (y, (sum(n.values()) / len(n) / n[y]) ** 0.5))), F.col("_y"))
-    hashing = HashingTF(inputCol="_terms", outputCol="_x", numFeatures=TERMS, binary=True)
     regression = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_class", family="multinomial", maxIter=STEPS, regParam=PENALTY, elasticNetParam=1.0)
-    return Pipeline(stages=[hashing, regression]).fit(rows.withColumn("_w", share))
+    model = Pipeline(stages=[regression]).fit(rows.withColumn("_w", share))
+    return PipelineModel([hashing, *model.stages])
 
 
 def score(news: DataFrame, text: str, model: PipelineModel | None) -> DataFrame:
