@@ -145,3 +145,13 @@ def test_terms_search_a_text_once(spark):
     assert sorted(news.select(scorer.terms("text")).first()[0]) == ["!", ",", "a", "wonde-", "wonde-", "wonder", "wonderful"]
     plan = news.select(scorer.terms("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_models_share_one_panel(spark, monkeypatch):
+    """The backtest of all models reads trades and news for one panel; what M3 sees more is joined to it."""
+    from tidemark.plans import books
+
+    panels, plain = [], books.features
+    monkeypatch.setattr(books, "features", lambda *a: panels.append(plain(*a)) or panels[-1])
+    monkeypatch.setattr(books, "walk_forward", lambda x: x.where("fwd is not null").select("inst", "month", "fwd", F.col("sent").alias("score")))
+    assert QUERIES["backtest_models"](spark, SF).count() == 6 and len(panels) == 1

@@ -119,15 +119,15 @@ def feature_panel(spark, sf):
     return f.select("inst", "month", *(F.round(c, 6).alias(c) for c in f.columns[2:]))
 
 
-def extended_features(spark, sf):
-    """``features`` with ``brent_ret``, the commodity's last move, and ``div_yield``, the last dividend over the price; both known before the month begins.
+def extended_features(spark, sf, x=None):
+    """``features``, or ``x`` in their place, with ``brent_ret``, the commodity's last move, and ``div_yield``, the last dividend over the price; both known before the month begins.
 
     Stand-ins: the commodity's price is the mean order of a month, dividends are the tax of a security's returned items.
     """
     o = i.table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("at")).agg(F.avg("o_totalprice").alias("price"))
     # One row a month, and one series for all securities: joined on the months alone.
     moves = o.select("at", F.lit(1).alias("k"), (F.col("price") / F.lag("price").over(Window.orderBy("at")) - 1).alias("brent_ret"))
-    x, bars = features(spark, sf), i.bars(spark, sf)
+    x, bars = features(spark, sf) if x is None else x, i.bars(spark, sf)
     months = bars.select("month", F.lit(1).alias("k")).distinct()
     brent = asof.asof_join(months, moves, ["k"], "month", "at", ["brent_ret"], strict=True).select("month", F.coalesce("asof_brent_ret", F.lit(0.0)).alias("brent_ret"))
     paid = i.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 0").groupBy(F.col("l_suppkey").alias("inst"), F.date_trunc("month", "l_shipdate").cast("date").alias("at"))
@@ -239,7 +239,8 @@ def v1_net(spark, sf):
 @query()
 def backtest_models(spark, sf):
     """Reports of M1, M2 and M3 before and after costs."""
-    plain, wide = cut(walk_forward(features(spark, sf)), "scores"), cut(walk_forward(extended_features(spark, sf)), "scores")
+    x = cut(features(spark, sf), "panel")  # once for all models: it reads trades and news
+    plain, wide = cut(walk_forward(x), "scores"), cut(walk_forward(extended_features(spark, sf, x)), "scores")
     books = {"m1": m1(plain), "m2": m2(plain), "m3": m3(wide, i.index(spark, sf))}
     series = None
     for name, book in books.items():
