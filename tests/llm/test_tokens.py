@@ -1,7 +1,10 @@
 import hashlib
 import random
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -85,6 +88,36 @@ def test_trimmed_memo_keeps_answers(tokenizer, library):
         assert enc.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_memo_keeps_the_stretches_used_most(tokenizer):
+    enc = token_files.LibraryEncoder(tokenizer)
+    enc.encode(" ".join(f"once{i}" for i in range(300)))
+    often = [f"often{i}" for i in range(20)]
+    for _ in range(3):
+        enc.encode(" ".join(often))
+    enc.memo.trim(most=100, kept=20)
+    assert list(enc.memo) == often
+
+
+def test_encoder_stays_small_over_many_words(tokenizer):
+    """A million words that never come back: an executor holds several workers, each with its own memo."""
+    code = """if 1:
+        import re, sys
+        from tidemark.llm import token_files
+        def mb():
+            return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+        enc, most = token_files.LibraryEncoder(sys.argv[1]), 0
+        letters = str.maketrans("0123456789", "ghijklmnop")
+        enc.encode("warm")
+        before = mb()
+        for i in range(0, 1_000_000, 1000):
+            enc.encode(" ".join(f"{j:x}".translate(letters) for j in range(i, i + 1000)))
+            most = max(most, mb() - before) if i % 20_000 == 0 else most
+        print(most)
+    """
+    out = subprocess.run([sys.executable, "-c", code, tokenizer], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 100
+
+
 def test_encode_digest(docs, odd_docs, empty_docs, tokenizer, library):
     for table in (docs, odd_docs):
         got = sorted(map(tuple, transducer_bpe.encode_digest(table, tokenizer, words=500).collect()), key=repr)

@@ -34,8 +34,9 @@ SEQ_LEN = 2048
 BATCH_SEQS = 256
 END_ID = 1
 SHARD_TOKENS = 1 << 27
-_MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES, _MEMO_CHARS = 800_000, 400_000, 300_000, 1 << 25
+_MEMO_WORDS, _MEMO_KEPT, _MEMO_PIECES, _MEMO_CHARS = 300_000, 150_000, 100_000, 1 << 24
 _LONG_PIECE = 256
+_ONE = np.int32(1)
 # Anything but ASCII and the composed letters of Latin-1 and Latin Extended-A (dotted capital I aside).
 _UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _ENCODERS: dict[str, "LibraryEncoder"] = {}
@@ -44,26 +45,31 @@ _ENCODERS: dict[str, "LibraryEncoder"] = {}
 class ChunkMemo(dict):
     """Remembers the ids of stretches between white space, which no piece of the tokenizer crosses.
 
-    The dict maps a stretch to its place in ``starts`` and ``sizes``; a new one gets the next place and
-    waits in ``new`` until ``settle``. Memory stays bounded: ``trim`` keeps the stretches that came first, among which the frequent ones are, and none where long ones fill it.
+    The dict maps a stretch to its place in ``starts``, ``sizes`` and ``uses``; a new one gets the next place and
+    waits in ``new`` until ``settle``. Memory stays bounded: ``trim`` keeps the stretches used most, and none where long ones fill it.
     """
 
     def __init__(self, dtype):
         self.dtype = dtype
         self.new: list[str] = []
         self.chars = 0
-        self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, self.dtype), 0
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, np.int32))
 
     def trim(self, most: int = _MEMO_WORDS, kept: int = _MEMO_KEPT) -> None:
         if self.chars > _MEMO_CHARS:  # long stretches: their like hardly comes back
             self.clear()
             self.used = self.chars = 0
+            self.uses[:] = 0
         if len(self) > most:
-            first = list(islice(self.items(), kept))
+            best = np.sort(np.argsort(-self.uses[: len(self)], kind="stable")[:kept])
+            words = list(self)
             self.clear()
-            self.update(first)
-            self.used = int(self.starts[kept - 1] + self.sizes[kept - 1])
+            self.update(zip(map(words.__getitem__, best.tolist()), range(kept)))
+            flat, sizes, uses = self.ids_at(best), self.sizes[best], self.uses[best] // 2  # old uses count less and less
+            self.used, self.uses[kept:] = len(flat), 0
+            self.flat[: self.used], self.sizes[:kept], self.uses[:kept] = flat, sizes, uses
+            self.starts[:kept] = np.cumsum(sizes) - sizes
             self.chars = sum(map(len, self))
 
     def __missing__(self, chunk: str) -> int:
@@ -80,7 +86,7 @@ class ChunkMemo(dict):
         """The ids of all of ``new``, one after another."""
         at, n = len(self) - len(self.new), len(self.new)
         while at + n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -88,9 +94,13 @@ class ChunkMemo(dict):
         self.used += len(ids)
         self.new = []
 
-    def ids(self, places: np.ndarray) -> np.ndarray:
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.starts[places], self.sizes[places])
 
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        np.add.at(self.uses, places, _ONE)  # of the same type: else many times slower
+        return self.ids_at(places)
+
 
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library, whose BPE model is called once for each remembered piece.
