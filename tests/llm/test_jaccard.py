@@ -179,3 +179,15 @@ def test_postings_stay_in_proportion_whatever_the_sample_says(spark, monkeypatch
 def test_light_sets_as_far_as_the_input_pays():
     assert jj.most_light([], 85) == 1
     assert jj.most_light([(b, 100) for b in range(8, 48)], 85) < 500 < jj.most_light([(20, 10), (36, 10**6)], 85)
+
+
+def test_lists_part_where_sizes_are_too_different(spark):
+    rows = [(i, n, [7]) for i, n in enumerate([10, 11, 12, 100, 110, 1000], 1)] + [(2, 11, [7]), (8, 50, [9]), (9, 58, [9]), (10, 50, [8]), (11, 59, [8])]
+    lists = jj.lists_of(spark.createDataFrame(rows, "node long, n long, keys array<long>"), 85)
+    got = sorted(sorted(r.nodes) for r in lists.groupBy("key").agg(F.collect_list("node").alias("nodes")).collect())
+    assert got == [[1, 2, 3], [4, 5], [8, 9]]  # a repeated row counts once; 50 and 59 can't be similar
+
+
+def test_lists_of_two_are_done_after_the_first_round(spark):
+    lists = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (2, 3, 3)], "key long, node long, comp long")
+    assert {r.key for r in jj.mixed(lists).collect()} == {2}

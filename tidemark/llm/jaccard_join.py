@@ -9,10 +9,10 @@ least ``ceil(percent * n)`` shingles of either set, so under any one order of al
 2. *Boundary.* By these counts, light sets are those whose size makes enumerating subsets cheaper than scanning lists (``boundary``), as far as
    postings stay in proportion to the input (``most_light``).
 3. *Postings.* A light set posts every 2-subset of its first shingles (k = 2), a heavy one each of its first shingles (k = 1), and so do light
-   sets large enough to match a heavy one. Postings with one key are an inverted list; those of a single node go.
+   sets large enough to match a heavy one. Postings with one key are an inverted list, which is cut by size where no pair across is similar; those of a single node go.
 4. *Hubs.* In each list that holds several components (at first every node is its own) one node of one component is the hub; nodes of other components are
    compared with it, and links join components. After ``HUB_ROUNDS`` such rounds, groups of copies have fallen together at a cost in proportion to their rows.
-5. *Lists.* Lists that still hold several components are scanned, block against block, for all pairs of different components. Components are the closure of all links found.
+5. *Lists.* Lists of more than two nodes that still hold several components are scanned, block against block, for all pairs of different components. Components are the closure of all links found.
 
 A pair is compared by its whole sets only if exact bounds, by size and by parity bitmap, leave it possible.
 
@@ -44,7 +44,7 @@ MOST_FREQUENT = 1 << 16  # shingles kept by a summary, and broadcast as the end
 LEAST_FREQUENT = 16
 ONE_IN = 1024  # shingles of the profile's sample, by hash, over all documents
 HUB_ROUNDS = 3
-LIGHT_TIMES = 2  # postings with light sets, at most, over those of heavy sets alone
+LIGHT_TIMES = 1.25  # postings with light sets, at most, over those of heavy sets alone
 _KEYS = 1 << 19  # of a batch that a task gives out
 BLOCK_ROWS = 4096
 SLOTS = 1 << 20
@@ -273,11 +273,18 @@ def posted(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, node long, n long, keys array<long>, bits binary")
 
 
-def lists_of(rows: DataFrame) -> DataFrame:
-    """``key, node, lo``: the inverted lists that hold two nodes or more, and a list's smallest node."""
-    entries = rows.select("node", F.explode("keys").alias("key"))
-    several = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
-    return entries.join(several, "key").select("key", "node", "lo").distinct()
+def lists_of(rows: DataFrame, percent: int) -> DataFrame:
+    """``key, node, lo``: the inverted lists that hold two nodes or more, and a list's smallest node.
+
+    By size, a list falls apart wherever even neighbours are too different to be similar: unrelated sets that share a shingle mostly part here.
+    """
+    entries = rows.select("node", "n", F.explode("keys").alias("key"))
+    by_size = Window.partitionBy("key").orderBy("n")
+    gap = F.coalesce((100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int"), F.lit(0))
+    runs = entries.withColumn("_gap", gap).withColumn("run", F.sum("_gap").over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = Window.partitionBy("key", "run")
+    several = runs.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo < hi")
+    return several.select("key", "run", "node", "lo").distinct().select(F.xxhash64("key", "run").alias("key"), "node", "lo")
 
 
 # --- links ---------------------------------------------------------------------------------
@@ -419,14 +426,14 @@ def scanned(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed(lists: DataFrame) -> DataFrame:
-    """Of ``key, node, comp`` the lists with several components, with ``lo``, the smallest of them, and their ``rows``."""
-    several = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").drop("hi")
+    """Of ``key, node, comp`` the lists with several components, with ``lo``, the smallest of them, and their ``rows``. Lists of two nodes have met their hub: nothing is left in them."""
+    several = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi and rows > 2").drop("hi")
     return lists.join(several, "key")
 
 
 def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: verified links of nodes whose closure is the closure of all similar pairs."""
-    left = materialize(lists_of(rows.where("node is not null")), "jaccard-lists")
+    left = materialize(lists_of(rows.where("node is not null"), percent), "jaccard-lists")
     nodes = rows.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "jaccard-nodes")
     tried = found = left.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
