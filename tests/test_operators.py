@@ -779,3 +779,28 @@ def test_links_of_large_blocks_come_in_strips(spark, monkeypatch):
     assert links.count() < 320 and rows(stories.groups_of(links)) == rows(stories.groups_of(stories.cosine_pairs(t, "id", "v", 0.98)))
     x = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert np.array_equal(stories.at_least(x, x, 0.98), np.einsum("ik,jk->ij", x, x) >= 0.98)
+
+
+def test_links_meet_only_within_reach(spark, monkeypatch):
+    """Groups that a sample knows cost a link a row, whatever the blocks; regions and boxes rule out no link."""
+    r = np.random.default_rng(5)
+    v = np.concatenate([np.repeat(r.normal(size=(6, 16)), 60, axis=0) + r.normal(size=(360, 16)) * 0.12, r.normal(size=(60, 16)), np.tile(r.normal(size=16), (30, 1))])
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = sorted(sorted(g) for g in components((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)))))
+    assert len(want) > 6
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (None, v[0].tolist()), (906, [])]
+    t = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)] + odd, "id long, v array<double>")
+    for cells in (stories.SAMPLE_CELLS, 16 * 150):
+        monkeypatch.setattr(stories, "SAMPLE_CELLS", cells)
+        links = stories.cosine_links(t, "id", "v", 0.98, block_rows=20)
+        got = {}
+        for g in stories.groups_of(links).collect():
+            got.setdefault(g.cluster_id, []).append(g.node)
+        assert sorted(sorted(g) for g in got.values()) == want + [[904, 905]]
+    assert links.distinct().count() < 1.5 * len(v)
+    monkeypatch.setattr(stories, "TILE_ROWS", 8)
+    for m, o in ((x, None), (x[:200], x[200:])):
+        i, j, _ = stories.forest_links(m, o, 0.98, np.full(len(x), -1))
+        cells = np.ones((len(x), len(x)), bool) if o is None else (np.arange(len(x)) < 200)[:, None] & (np.arange(len(x)) >= 200)
+        full = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu((x @ x.T >= 0.98) & cells, 1)))]
+        assert sorted(map(sorted, components(zip(i.tolist(), j.tolist())))) == sorted(map(sorted, components(full))) and len(i) < len(x)

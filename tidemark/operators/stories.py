@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.text import non_empty, text_key
@@ -25,7 +27,7 @@ def exact_groups(news: DataFrame, key: str, text: str) -> DataFrame:
     return news.join(exact_clusters(news, key, text), key)
 
 
-STRIP_CELLS = 1 << 22  # similarities in memory at a time, where a block's are not kept
+STRIP_CELLS = 1 << 18  # similarities in memory at a time, where a block's are not kept: they fit a core's cache
 _LEAST_BLOCKS, _SMALL_BLOCK = 12, 2048
 _MARGIN = 1e-5  # single precision is off by less for unit vectors of some hundred components
 
@@ -133,26 +135,255 @@ def at_least(m: np.ndarray, o: np.ndarray, least: float, single: np.ndarray | No
     return hit
 
 
-def cosine_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 1 << 16) -> DataFrame:
-    """``a, b``: links whose closure is that of ``cosine_pairs``. A block gives a forest, so a group of n stories costs n links a block and never n * n.
+SAMPLE_CELLS = 1 << 20  # numbers in the sample that lays out the regions: of 64 components some 16,000 vectors
+TILE_ROWS, BOX_SIDES = 1024, 16
+
+
+def regions(x: np.ndarray, parts: int) -> tuple | None:
+    """Halves rows along their widest component until there are ``parts``: (component, bound, below, from there on), None for a part. Equal rows stay together."""
+    if parts < 2 or len(x) < 2:
+        return None
+    side = int(x.std(axis=0).argmax())
+    bound = np.quantile(x[:, side], parts // 2 / parts, method="lower")
+    below = x[:, side] < bound
+    if not below.any():
+        bound = np.nextafter(bound, np.float32(np.inf))
+        below = x[:, side] < bound
+        if below.all():
+            return None
+    return side, bound, regions(x[below], parts // 2), regions(x[~below], parts - parts // 2)
+
+
+def in_regions(x: np.ndarray, tree: tuple | None) -> list[np.ndarray]:
+    """Rows of each part, in the order of the parts."""
+    out = []
+
+    def go(rows: np.ndarray, node: tuple | None) -> None:
+        if node is None:
+            out.append(rows)
+            return
+        below = x[rows, node[0]] < node[1]
+        go(rows[below], node[2])
+        go(rows[~below], node[3])
+
+    go(np.arange(len(x)), tree)
+    return out
+
+
+def reach(least: float) -> float:
+    """The square of the distance between unit vectors whose cosine is ``least``, and what single precision may be off."""
+    return max(0.0, 2 - 2 * least) + 4 * _MARGIN
+
 
-    A block's similarities are worked in strips and never kept, so blocks may be large: every row is shuffled once a block.
+def near_boxes(x: np.ndarray, low: np.ndarray, high: np.ndarray, square: float) -> np.ndarray:
+    """Rows by boxes: False where no point of the box can be within reach. The sides in which the boxes differ most decide."""
+    sides = np.sort(np.argsort(-(low + high).std(axis=0), kind="stable")[:BOX_SIDES])
+    y, out = np.ascontiguousarray(x[:, sides]), np.empty((len(x), len(low)), bool)
+    for j, (a, b) in enumerate(zip(low[:, sides], high[:, sides])):
+        gap = y - np.clip(y, a, b)
+        out[:, j] = np.einsum("ij,ij->i", gap, gap) <= square
+    return out
+
+
+def forest_links(m: np.ndarray, o: np.ndarray | None, least: float, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """Numbers of unit rows that are linked (those of ``o`` come after those of ``m``), and the forest. Rows with one label (none: -1) are joined to begin with.
+
+    All links of ``m`` with ``o`` (None: with itself) are weighed, but for those that regions of some ``TILE_ROWS`` rows rule out, or whose ends are joined.
     """
+    n, same = len(m), o is None
+    forest = Forest(len(labels))
+    named = np.flatnonzero(labels >= 0)
+    _, first, back, count = np.unique(labels[named], return_index=True, return_inverse=True, return_counts=True)
+    forest.up[named] = named[first][back]
+    forest.size[named[first]] = count
+    o = m if same else o
+    x, y = m.astype(np.float32), None if same else o.astype(np.float32)
+    y = x if same else y
+    tiles = [[t for t in in_regions(z, regions(z, -(-len(z) // TILE_ROWS))) if len(t)] for z in ((x,) if same else (x, y))]
+    ta, tb = tiles[0], tiles[-1]
+    box = lambda z, ts: (np.array([z[t].min(axis=0) for t in ts]), np.array([z[t].max(axis=0) for t in ts]))
+    square = reach(least)
+    to_b = near_boxes(x, *box(y, tb), square)
+    to_a = to_b if same else near_boxes(y, *box(x, ta), square)
+    kept = [np.zeros((2, 0), np.int64)]
+    for i, j in ((i, j) for i in range(len(ta)) for j in range(i if same else 0, len(tb))):
+        every, c = ta[i][to_b[ta[i], j]], tb[j][to_a[tb[j], i]]
+        if not len(every) or not len(c):
+            continue
+        at_c, columns, high = c if same else c + n, y[c], max(1, STRIP_CELLS // len(c))
+        for at in range(0, len(every), high):
+            r = every[at : at + high]
+            ours, theirs = forest.roots(r), forest.roots(at_c)
+            if (ours == ours[0]).all() and (theirs == ours[0]).all():
+                continue
+            s = (x[r] @ columns.T).ravel()
+            if not s.max() >= least - _MARGIN:
+                continue
+            hit = np.flatnonzero(s >= np.float32(least - _MARGIN))
+            p, q = np.divmod(hit, len(c))
+            apart = np.flatnonzero(ours[p] != theirs[q])
+            # Single precision decides what is far from the threshold; of a row's links to one group any will do.
+            sure = s[hit[apart]] > np.float32(least + _MARGIN)
+            unsure, apart = apart[~sure], apart[sure]
+            for k in range(0, len(unsure), 1 << 16):
+                e = unsure[k : k + (1 << 16)]
+                apart = np.append(apart, e[np.einsum("ij,ij->i", m[r[p[e]]], o[c[q[e]]]) >= least])
+            apart = apart[np.unique(p[apart] * len(labels) + theirs[q[apart]], return_index=True)[1]]
+            rows, begin = np.unique(p[apart], return_index=True)
+            for row, w in zip(rows, np.split(at_c[q[apart]], begin[1:])):
+                w = w[forest.join(r[row], w)]
+                kept.append(np.stack([np.full(len(w), r[row]), w]))
+    return *np.concatenate(kept, axis=1), forest
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Rows at unit length; NaN or infinite where there is none."""
+    x = raw.astype(np.float64)
+    with np.errstate(all="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def links(same: bool, ka: np.ndarray, kb: np.ndarray, m: np.ndarray, o: np.ndarray) -> pd.DataFrame:
-        forest, out, high = Forest(len(kb) + (0 if same else len(ka))), [], max(1, STRIP_CELLS // len(kb))
-        if same:  # both sides are the same rows, each in its own order
-            ka_order, kb_order = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-            ka, m, kb, o = ka[ka_order], m[ka_order], kb[kb_order], o[kb_order]
-        single = o.astype(np.float32)
-        for at in range(0, len(ka), high):
-            r, c = spanning_links(at_least(m[at : at + high], o, least, single), same, forest, at)
-            out.append((r, c))
-        r, c = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"a": np.minimum(ka[r], kb[c]), "b": np.maximum(ka[r], kb[c])})
 
-    kind = dict(vectors.dtypes)[key]
-    return _block_pairs(vectors, key, vector, block_rows, links, f"a {kind}, b {kind}")
+def cosine_links(vectors: DataFrame, key: str, vector: str, least: float, block_rows: int = 1 << 16) -> DataFrame:
+    """``a, b``: links whose closure is that of ``cosine_pairs``. A block gives a forest, so a group of n stories costs n links a block and never n * n.
+
+    A sample lays out regions of some ``block_rows`` vectors, larger ones are cut by hash. Two regions meet in a task, to which each sends those rows that lie within
+    reach of the other's bounding box: all others cannot have a link there. Groups that the sample itself forms are known beforehand: who is linked to one of them
+    is linked to its first, and two of one group are not compared again. The sample decides on time alone. Null keys have no links.
+    """
+    v = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    kind, wide = dict(v.dtypes)["k"], np.float64 if dict(v.dtypes)["v"] == "array<double>" else np.float32
+    if dict(v.dtypes)["v"] not in ("array<double>", "array<float>"):
+        v, wide = v.withColumn("v", F.col("v").cast("array<double>")), np.float64
+    sizes = {r.size: r["count"] for r in v.groupBy(F.size("v").alias("size")).count().collect()}
+    n = sum(sizes.values())
+    # Large blocks spare the shuffle; some dozen of them keep all cores at work.
+    blocks = max(1, -(-n // block_rows), min(_LEAST_BLOCKS, -(-n // _SMALL_BLOCK)))
+    one_of = max(1, sum(s * c for s, c in sizes.items()) // SAMPLE_CELLS)
+    sample = v.where(F.pmod(F.xxhash64("k", F.lit(2)), F.lit(one_of)) == 0).limit(2 * n // one_of + 1).toArrow() if blocks > 1 else None
+    lengths = np.array([len(x) for x in sample["v"].to_pylist()]) if sample else None
+    trees, leaders, names, leaves = {}, {}, [], 0
+    for size, count in sizes.items():
+        tree = None
+        if sample and (rows := np.flatnonzero(lengths == size)).size:
+            x = _units(_numbers(sample["v"].take(rows), size))
+            rows, x = rows[(ok := np.isfinite(x).all(axis=1))], x[ok]
+            tree = regions(x.astype(np.float32), max(1, blocks * count // n))
+            if one_of > 1 and len(x):
+                forest = forest_links(x, None, least, np.full(len(x), -1))[2]
+                roots = forest.roots(np.arange(len(x)))
+                _, group, members = np.unique(roots, return_inverse=True, return_counts=True)
+                known = members[group] > 1
+                at, label = np.unique(roots[known], return_inverse=True)
+                leaders[size] = x[known].astype(np.float32), label + len(names)
+                names += sample["k"].take(rows[at]).to_pylist()
+        trees[size] = leaves, tree
+        leaves += len(in_regions(np.zeros((0, size), np.float32), tree))
+    k_type = sample.schema.field("k").type if sample else None
+    firsts = pa.array(names, k_type) if names else None
+
+    def place(batches):
+        for batch in batches:
+            lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == size))
+                raw = _numbers(part["v"], size).astype(wide)
+                x = _units(raw)
+                ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                part, raw, x = part.filter(pa.array(ok)), raw[ok], x[ok].astype(np.float32)
+                start, tree = trees[int(size)]
+                leaf, label = np.empty(len(x), np.int32), np.full(len(x), -1, np.int32)
+                for i, rows in enumerate(in_regions(x, tree)):
+                    leaf[rows] = start + i
+                lead, group = leaders.get(int(size), ((), ()))
+                high = STRIP_CELLS // max(1, len(lead))
+                for at in range(0, len(x) if len(lead) else 0, high):
+                    s = x[at : at + high] @ lead.T
+                    best = s.argmax(axis=1)
+                    # What is nearer to the threshold than single precision tells stays without a label, and is found later.
+                    label[at : at + high] = np.where(s[np.arange(len(s)), best] >= least + _MARGIN, group[best], -1)
+                first = firsts.take(pa.array(label, mask=label < 0)) if firsts is not None else pa.nulls(len(x), part["k"].type)
+                flat = pa.array([r.tobytes() for r in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["k"], flat, pa.array(np.full(len(x), size, np.int32)), pa.array(leaf), pa.array(label), first, part["h"]], ["k", "v", "size", "leaf", "label", "first", "h"])
+
+    hashed = v.withColumn("h", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 20)).cast("int"))
+    placed = cut(hashed.mapInArrow(place, f"k {kind}, v binary, size int, leaf int, label int, first {kind}, h int"), "link-rows")
+
+    def bounds(batches):
+        seen = {}
+        for batch in batches:
+            leaf, size = batch["leaf"].to_numpy(), batch["size"].to_numpy()
+            for i in np.unique(leaf):
+                rows = np.flatnonzero(leaf == i)
+                x = _units(_read(batch["v"].take(pa.array(rows)), int(size[rows[0]]), wide)).astype(np.float32)
+                c, low, high = seen.get(i, (0, x[0], x[0]))
+                seen[i] = c + len(x), np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        if seen:
+            yield pa.RecordBatch.from_pydict({"leaf": pa.array(list(seen), pa.int32()), "n": [c for c, _, _ in seen.values()], "low": [a.tobytes() for _, a, _ in seen.values()], "high": [b.tobytes() for _, _, b in seen.values()]})
+
+    def bound(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = (np.array([np.frombuffer(b, np.float32) for b in frame[c]]) for c in ("low", "high"))
+        return pd.DataFrame({"leaf": frame["leaf"].iloc[:1], "n": [frame["n"].sum()], "low": [low.min(axis=0).tobytes()], "high": [high.max(axis=0).tobytes()]})
+
+    schema = "leaf int, n long, low binary, high binary"
+    boxes = {r.leaf: r for r in placed.select("v", "size", "leaf").mapInArrow(bounds, schema).groupBy("leaf").applyInPandas(bound, schema).collect()}
+    by_size: dict[int, list[int]] = {}
+    for i, r in boxes.items():
+        by_size.setdefault(len(r.low) // 4, []).append(i)
+    shape = {s: (at, np.array([np.frombuffer(boxes[i].low, np.float32) for i in at]), np.array([np.frombuffer(boxes[i].high, np.float32) for i in at])) for s, at in by_size.items()}
+    slices, start, total = {}, {}, 0
+    for i in sorted(boxes):
+        start[i], slices[i] = total, -(-boxes[i].n // (block_rows + block_rows // 2))
+        total += slices[i]
+    square = reach(least)
+
+    def deal(batches):
+        for batch in batches:
+            size, leaf, h = (batch[c].to_numpy() for c in ("size", "leaf", "h"))
+            own = np.array([start[i] for i in leaf], np.int64) + h % np.array([slices[i] for i in leaf], np.int64)
+            for s in np.unique(size):
+                rows = np.flatnonzero(size == s)
+                at, low, high = shape[int(s)]
+                near = near_boxes(_units(_read(batch["v"].take(pa.array(rows)), int(s), wide)).astype(np.float32), low, high, square)
+                for c, i in enumerate(at):
+                    close = rows[near[:, c] | (leaf[rows] == i)]
+                    for other in range(start[i], start[i] + slices[i]) if len(close) else ():
+                        lo, hi = np.minimum(own[close], other), np.maximum(own[close], other)
+                        part = batch.select(["k", "v", "label"]).take(pa.array(close))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lo), pa.array(hi), pa.array(own[close] == lo)], ["k", "v", "label", "lo", "hi", "left"])
+
+    def links(table: pa.Table) -> pa.Table:
+        left = table["left"].to_numpy()
+        k, label = table["k"].combine_chunks(), table["label"].to_numpy()
+        order = np.concatenate([np.flatnonzero(left), np.flatnonzero(~left)])
+        count, same = int(left.sum()), table["lo"][0].as_py() == table["hi"][0].as_py()
+        empty = pa.table({"a": k.slice(0, 0), "b": k.slice(0, 0)})
+        if not same and count in (0, len(order)):
+            return empty
+        x = _units(_read(table["v"].take(pa.array(order)), len(table["v"][0].as_py()) // np.dtype(wide).itemsize, wide))
+        label = label[order]
+        r, c, _ = forest_links(x, None, least, label) if same else forest_links(x[:count], x[count:], least, label)
+        if not len(r):
+            return empty
+        k = k.take(pa.array(order))
+        if firsts is not None:
+            k = pc.coalesce(firsts.take(pa.array(label, mask=label < 0)), k)
+        a, b = k.take(pa.array(r)), k.take(pa.array(c))
+        return pa.table({"a": pc.min_element_wise(a, b), "b": pc.max_element_wise(a, b)})
+
+    dealt = placed.select("k", "v", "size", "leaf", "label", "h").mapInArrow(deal, f"k {kind}, v binary, label int, lo long, hi long, left boolean")
+    found = dealt.groupBy("lo", "hi").applyInArrow(links, f"a {kind}, b {kind}")
+    told = placed.where("first is not null").select(F.least("k", "first").alias("a"), F.greatest("k", "first").alias("b"))
+    return found.unionByName(told).where("a <> b")
+
+
+def _numbers(lists, size: int) -> np.ndarray:
+    """Rows of lists of one length; a null among the numbers is NaN."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _read(raw, size: int, wide: type) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), wide).reshape(-1, size)
 
 
 BUCKET_ROWS = 2048
